@@ -87,15 +87,54 @@ def holiday_entries(year: Column, region: str | None = "NY") -> list[tuple[str,
     return out
 
 
-def is_holiday(date_col: Column | str, region: str | None = "NY") -> Column:
-    """True when the date is a holiday (or an observed holiday); null date → False."""
-    d = F.col(date_col) if isinstance(date_col, str) else date_col
-    y = F.year(d)
-    dates = [e for _, e in holiday_entries(y, region)]
-    # New Year's Day of the next year observed on 31 December of this one.
-    ny_next = F.make_date(y + 1, F.lit(1), F.lit(1))
-    dates.append(F.when(F.dayofweek(ny_next) == 7, F.date_sub(ny_next, 1)))
-    return F.coalesce(F.array_contains(F.array(*dates), d), F.lit(False))
+_DOW = {"Sun": 1, "Mon": 2, "Tue": 3, "Wed": 4, "Thu": 5, "Fri": 6, "Sat": 7}
+
+
+def _rule_day_sql(rule: Rule, y: str, m: str, dom: str, dow: str) -> str:
+    """SQL test that (year, month, day, weekday) is the rule's own date — integers only."""
+    if rule.kind == "fixed":
+        hit = f"{m} = {rule.month} AND {dom} = {rule.day}"
+    elif rule.name == "Election Day":
+        hit = f"{m} = 11 AND {dow} = {_DOW['Tue']} AND {dom} BETWEEN 2 AND 8"
+    elif rule.n == -1:
+        # last <weekday> of a 31-day month: day 25..31
+        hit = f"{m} = {rule.month} AND {dow} = {_DOW[rule.weekday]} AND {dom} >= 25"
+    else:
+        lo = 7 * (rule.n - 1) + 1
+        hit = f"{m} = {rule.month} AND {dow} = {_DOW[rule.weekday]} AND {dom} BETWEEN {lo} AND {lo + 6}"
+    return f"({hit} AND {y} >= {rule.since})" if rule.since else f"({hit})"
+
+
+def is_holiday_sql(d: str, region: str | None = "NY") -> str:
+    """SQL text of ``is_holiday`` for a date-valued SQL expression ``d``."""
+    def parts(x):
+        return f"year({x})", f"month({x})", f"dayofmonth({x})", f"dayofweek({x})"
+    y, m, dom, dow = parts(d)
+    nxt, prv = f"date_add({d}, 1)", f"date_sub({d}, 1)"
+    ny, nm, nd, _ = parts(nxt)
+    py, pm, pd, _ = parts(prv)
+    terms = []
+    for r in rules_for(region):
+        terms.append(_rule_day_sql(r, y, m, dom, dow))
+        if r.observed:
+            fri = _rule_day_sql(r, ny, nm, nd, str(_DOW["Sat"]))
+            mon = _rule_day_sql(r, py, pm, pd, str(_DOW["Sun"]))
+            terms.append(f"({dow} = {_DOW['Fri']} AND {fri})")
+            terms.append(f"({dow} = {_DOW['Mon']} AND {mon})")
+    return "coalesce(" + " OR ".join(terms) + ", false)"
+
+
+def is_holiday(date_col: str, region: str | None = "NY") -> Column:
+    """True when the date column is a holiday or an observed holiday; null → False.
+
+    Evaluated per row with integer comparisons on (month, day, weekday) — the
+    same calendar as ``holiday_calendar`` without building any date — so it
+    stays inside generated code and costs nanoseconds per row. A fixed-date
+    holiday on Saturday is observed on the Friday before (the holiday is the
+    next day), on Sunday on the Monday after (the holiday was the day before).
+    The expression is built as SQL text: one parse instead of hundreds of calls.
+    """
+    return F.expr(is_holiday_sql(f"`{date_col}`", region))
 
 
 def holiday_calendar(spark: SparkSession, first_year: int, last_year: int,

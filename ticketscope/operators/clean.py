@@ -43,10 +43,9 @@ def clean(raw: DataFrame, sla_hours: float = 24.0, source_tz: str = "UTC",
     new_cols = {"response_hours": hours, "created_dt": local}
     df = df.withColumns(new_cols)
     df = df.withColumn("within_sla", S.within_sla("response_hours", sla_hours))
-    feats = TM.time_features("created_dt")
-    feats["is_holiday"] = H.is_holiday(feats["date"], holiday_region) if holiday_region \
-        else F.lit(False)
-    df = df.withColumns(feats)
+    df = df.withColumns(TM.time_features("created_dt"))
+    df = df.withColumn("is_holiday", H.is_holiday("date", holiday_region) if holiday_region
+                       else F.lit(False))
     if holidays is not None:
         df = H.flag_with_table(df, holidays)
 

@@ -18,13 +18,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# Read contracts of the benchmark tables used here. An explicit schema skips the
+# footer-inference job a bare ``spark.read.parquet`` launches for every table.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "region": "r_regionkey int, r_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+}
 
 
-def _plus_hours(ts, hours):
-    secs = F.floor(hours * F.lit(3600)).cast("bigint")
-    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    schema = TABLE_SCHEMAS.get(name)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+# The fixture text mapping ``events`` ⋈ ``region`` rows to raw tickets.
+_END_A = "ts + make_dt_interval(0, 0, 0, cast(floor(value * 3600) as bigint))"
+FIXTURE_A_COLUMNS = [
+    "cast(event_id as string) as unique_key",
+    "ts as created_date",
+    f"case when event_id % 5 <> 0 then {_END_A} end as closed_date",
+    f"case when event_id % 10 = 0 then {_END_A} end as resolution_action_updated_date",
+    "concat('AG', cast(user_id % 3 as string)) as agency",
+    "concat(event_type, ' ', cast(user_id % 4 as string)) as complaint_type",
+    "event_type as descriptor",
+    "case when event_id % 10 = 5 then 'Open' else ' Closed ' end as status",
+    "r_name as borough",
+    "lpad(cast(user_id as string), 5, '0') as incident_zip",
+    "case when event_id % 4 <> 0 then concat('  o''brien ', lower(r_name), '-side ') end as city",
+    "case when event_id % 2 = 0 then 'PHONE' else 'ONLINE' end as open_data_channel_type",
+    "cast(40.5 as double) + (user_id % 100) / cast(200 as double) as latitude",
+    "cast(-74.2 as double) + (event_id % 100) / cast(200 as double) as longitude",
+]
 
 
 def raw_tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,25 +65,7 @@ def raw_tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     rg = table(spark, sf_dir, "region")
     j = ev.join(rg, (ev["user_id"] % 5) == rg["r_regionkey"])
-    eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
-    end = _plus_hours(ts, F.col("value"))
-    return j.select(
-        eid.cast("string").alias("unique_key"),
-        ts.alias("created_date"),
-        F.when(eid % 5 != 0, end).alias("closed_date"),
-        F.when(eid % 10 == 0, end).alias("resolution_action_updated_date"),
-        F.concat(F.lit("AG"), (uid % 3).cast("string")).alias("agency"),
-        F.concat(F.col("event_type"), F.lit(" "), (uid % 4).cast("string")).alias("complaint_type"),
-        F.col("event_type").alias("descriptor"),
-        F.when(eid % 10 == 5, F.lit("Open")).otherwise(F.lit(" Closed ")).alias("status"),
-        F.col("r_name").alias("borough"),
-        F.lpad(uid.cast("string"), 5, "0").alias("incident_zip"),
-        F.when(eid % 4 != 0, F.concat(F.lit("  o'brien "), F.lower(F.col("r_name")),
-                                      F.lit("-side "))).alias("city"),
-        F.when(eid % 2 == 0, F.lit("PHONE")).otherwise(F.lit("ONLINE")).alias("open_data_channel_type"),
-        (F.lit(40.5) + (uid % 100) / F.lit(200.0)).alias("latitude"),
-        (F.lit(-74.2) + (eid % 100) / F.lit(200.0)).alias("longitude"),
-    )
+    return j.selectExpr(*FIXTURE_A_COLUMNS)
 
 
 def raw_tickets_b(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
