@@ -153,17 +153,18 @@ def q_dow_hour_summary(spark, sf):
 def q_serve_top_types(spark, sf):
     s = _summaries(spark, sf)
     return V.serve_top_types(None, TicketFilter(boroughs=("ASIA", "AFRICA", "EUROPE")), SLA, 10,
-                             summaries=s)
+                             summaries=s, summary_sla_hours=SLA)
 
 
 def q_serve_top_types_dated(spark, sf):
     s = _summaries(spark, sf)
-    return V.serve_top_types(None, DATED_FILTER, SLA, 10, open_tickets="exclude", summaries=s)
+    return V.serve_top_types(None, DATED_FILTER, SLA, 10, open_tickets="exclude", summaries=s,
+                             summary_sla_hours=SLA)
 
 
 def q_serve_seasonality(spark, sf):
     s = _summaries(spark, sf)
-    return V.serve_seasonality(None, None, SLA, summaries=s).select(
+    return V.serve_seasonality(None, None, SLA, summaries=s, summary_sla_hours=SLA).select(
         "dow_name", "hour", "tickets", "breach_rate")
 
 

@@ -40,20 +40,30 @@ def _date_range(df: DataFrame, flt: TicketFilter) -> DataFrame:
     return df
 
 
-def top_types_route(flt: TicketFilter, sla_hours: float, summaries: dict | None) -> str:
+def _sla_of(summaries: dict, name: str, known_sla: float | None) -> float | None:
+    if name not in summaries:
+        return None
+    return float(known_sla) if known_sla is not None else summary_sla(summaries[name])
+
+
+def top_types_route(flt: TicketFilter, sla_hours: float, summaries: dict | None,
+                    summary_sla_hours: float | None = None) -> str:
     s = summaries or {}
-    if not flt.has_dates and summary_sla(s.get("complaint_type")) == float(sla_hours):
+    if not flt.has_dates and _sla_of(s, "complaint_type", summary_sla_hours) == float(sla_hours):
         return "complaint_type"
-    if summary_sla(s.get("daily")) == float(sla_hours):
+    if _sla_of(s, "daily", summary_sla_hours) == float(sla_hours):
         return "daily"
     return "live"
 
 
 def serve_top_types(clean_df: DataFrame | None, flt: TicketFilter | None = None,
                     sla_hours: float = 24.0, topn: int = 10, open_tickets: str = "met",
-                    summaries: dict | None = None) -> DataFrame:
+                    summaries: dict | None = None,
+                    summary_sla_hours: float | None = None) -> DataFrame:
+    """Top complaint types, from a summary when exact (``summary_sla_hours``: the SLA the
+    summaries were built with, if known; else read from the summary rows)."""
     flt = flt or TicketFilter()
-    route = top_types_route(flt, sla_hours, summaries)
+    route = top_types_route(flt, sla_hours, summaries, summary_sla_hours)
     if route == "live":
         return M.top_types(clean_df, flt, sla_hours, topn, open_tickets)
     if route == "complaint_type":
@@ -68,20 +78,24 @@ def serve_top_types(clean_df: DataFrame | None, flt: TicketFilter | None = None,
 
 def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = None,
                       sla_hours: float = 24.0, open_tickets: str = "exclude",
-                      summaries: dict | None = None) -> DataFrame:
+                      summaries: dict | None = None,
+                      summary_sla_hours: float | None = None) -> DataFrame:
     """Weekday × hour cells; routed results carry ``median_exact = false``."""
     flt = flt or TicketFilter()
     s = summaries or {}
     dh = s.get("dow_hour")
-    if flt.has_dates or summary_sla(dh) != float(sla_hours):
+    if flt.has_dates or _sla_of(s, "dow_hour", summary_sla_hours) != float(sla_hours):
         return M.seasonality(clean_df, flt, sla_hours, open_tickets) \
             .withColumn("median_exact", F.lit(True))
     rows = flt.apply_dimensions(dh)
     counts = SM.reaggregate_dow_hour(rows, open_tickets)
     if "median_sketch" in rows.columns:
-        med = (rows.groupBy("dow_name", "hour")
-               .agg(F.kll_sketch_get_quantile_double(
-                   F.kll_merge_agg_double("median_sketch"), F.lit(0.5)).alias("median_response")))
+        merged = (rows.groupBy("dow_name", "hour")
+                  .agg(F.kll_merge_agg_double("median_sketch").alias("__m")))
+        # a cell with only open tickets has an empty sketch: no median
+        med = merged.select("dow_name", "hour", F.when(
+            F.kll_sketch_get_n_double("__m") > 0,
+            F.kll_sketch_get_quantile_double("__m", F.lit(0.5))).alias("median_response"))
         out = counts.join(med, ["dow_name", "hour"], "left")
     else:
         out = counts.withColumn("median_response", F.lit(None).cast("double"))
