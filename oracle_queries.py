@@ -336,5 +336,10 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
                  from clean_t where created_dt >= timestamp '1996-03-01 00:00:00'
                  and created_dt < timestamp '1996-07-01 00:00:00'"""),
         "summaries_roundtrip": daily,
+        "incremental_clean": q("select * from clean_t"),
+        "batch_refresh": q(f"""select complaint_type, borough, count(*)::bigint as tickets,
+                 coalesce(cast(count(*) - count_if({RH} <= {s}) as double)
+                          / nullif(count(*), 0), 0.0) as breach_rate
+                 from clean_t where created_dt is not null group by complaint_type, borough"""),
         "csv_roundtrip": _type_breaches(),
     }

@@ -25,6 +25,7 @@ from ticketscope.operators import sampling as SP
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean, rethreshold
 from ticketscope.operators.filters import TicketFilter
+from ticketscope.plans import refresh as RF
 from ticketscope.plans import serving as V
 from ticketscope.schema import RAW_SCHEMA, SAMPLE_COLUMNS
 from ticketscope.session import scratch_dir
@@ -33,6 +34,7 @@ from ticketscope.sources import extract as E
 from ticketscope.sources import fixtures as FX
 from ticketscope.sources import storage as ST
 from ticketscope.sources import summaries_io as SIO
+from ticketscope.streaming import refresh as STR
 
 SLA = 24.0
 
@@ -318,6 +320,31 @@ def q_csv_roundtrip(spark, sf):
     return CSV.read_csv(spark, path, schema)
 
 
+# -- batch and streaming refresh ---------------------------------------------
+def _land_raw(spark, sf, out):
+    """Land fixture A as two extract runs (two windows), as the ingest would."""
+    raw = FX.raw_tickets_a(spark, sf)
+    for since, until in ((dt.date(2023, 12, 1), dt.date(2024, 1, 15)),
+                         (dt.date(2024, 1, 16), dt.date(2024, 2, 29))):
+        E.write_raw(E.extract(raw, since, until), out, since, page_size=2000)
+
+
+def q_batch_refresh(spark, sf):
+    root = scratch_dir(spark, "refresh")
+    _land_raw(spark, sf, f"{root}/raw")
+    RF.process(spark, f"{root}/raw", f"{root}/clean", SLA, min_rows=1000)
+    RF.precompute(spark, f"{root}/clean", f"{root}/summaries", SLA)
+    return SIO.read_summaries(spark, f"{root}/summaries")["complaint_type"].select(
+        *SM.TYPE_COLUMNS)
+
+
+def q_incremental_clean(spark, sf):
+    root = scratch_dir(spark, "stream")
+    _land_raw(spark, sf, f"{root}/raw")
+    STR.refresh_once(spark, f"{root}/raw", f"{root}/clean", f"{root}/_checkpoint", sla_hours=SLA)
+    return ST.read_clean(spark, f"{root}/clean").drop("year")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
