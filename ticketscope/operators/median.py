@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.session import ensure_checkpoint_dir
+from ticketscope.sources.metadata import row_upper_bound
 
 INLINE_MAX_ROWS_CONF = "ticketscope.median.inlineMaxGroupRows"
 DEFAULT_INLINE_MAX_ROWS = 5_000_000
@@ -43,11 +44,14 @@ def choose_strategy(df: DataFrame, keys: list[str], value: Column,
                     inline_max_rows: int | None = None) -> str:
     """``inline`` when no group can exceed the limit, else ``selection``.
 
-    First a cheap upper bound (total non-null values, no shuffle); only when that
-    exceeds the limit is the largest group measured.
+    Cheapest proof first: a row bound from file metadata (no job); else the total
+    count of non-null values (no shuffle); only when that exceeds the limit is the
+    largest group measured.
     """
     limit = inline_max_rows or _conf_int(df, INLINE_MAX_ROWS_CONF, DEFAULT_INLINE_MAX_ROWS)
     vals = df.where(value.isNotNull())
+    if row_upper_bound(vals, cap=limit) is not None:
+        return "inline"
     total = vals.count()
     if total <= limit:
         return "inline"

@@ -37,7 +37,26 @@ TABLE_SCHEMAS = {
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     schema = TABLE_SCHEMAS.get(name)
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    return spread((spark.read.schema(schema) if schema else spark.read).parquet(path))
+
+
+def spread(df: DataFrame, min_rows: int = 400_000) -> DataFrame:
+    """Spread a scan that has many rows but fewer row groups than task slots.
+
+    Parquet splits at row-group granularity, so a file written as one big row
+    group scans as a single task and all per-row work after it runs on one
+    core. Footers give rows and row groups without a job; only such scans are
+    hash-distributed on their first column (deterministic, no pre-sort).
+    Tables with a row group per slot (any large table) and small tables are
+    returned unchanged, so nothing changes at scale.
+    """
+    from ticketscope.sources.metadata import scan_layout
+
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    layout = scan_layout(df)
+    if layout and slots > 1 and layout[0] >= min_rows and layout[1] < slots:
+        return df.repartition(slots, df.columns[0])
+    return df
 
 
 # The fixture text mapping ``events`` ⋈ ``region`` rows to raw tickets.

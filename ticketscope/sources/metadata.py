@@ -1,0 +1,127 @@
+"""Row-count upper bounds from metadata alone (no Spark job).
+
+Parquet footers record each file's row count. Combined through the optimized
+logical plan — a join yields at most the product of its inputs, a union the
+sum, filters / projections / aggregates / limits never add rows — they bound
+the rows a DataFrame can produce. Nodes that can multiply rows (generate,
+expand, sampling with replacement) or unknown leaves give no bound.
+
+Used to prove a size before choosing a plan (e.g. whether a group can outgrow
+an in-task buffer); when no bound is available the caller measures instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+_FOOTER_ROWS: dict[tuple, tuple[int, int]] = {}
+_MAX_FILES = 2000
+
+_NON_INCREASING = {
+    "Project", "Filter", "Aggregate", "Sort", "Distinct", "Deduplicate", "SubqueryAlias",
+    "Repartition", "RepartitionByExpression", "RebalancePartitions", "Window", "ResolvedHint",
+    "LocalLimit", "GlobalLimit", "Limit", "Offset", "Tail", "WithWatermark", "Coalesce",
+    "Intersect", "Except",
+}
+
+
+def _file_rows(df: DataFrame, path: str) -> int | None:
+    return _footer(df, path)[0]
+
+
+def _footer(df: DataFrame, path: str) -> tuple[int, int]:
+    """(rows, row groups) of one Parquet file, cached by path, length and mtime."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    st = p.getFileSystem(conf).getFileStatus(p)
+    key = (path, st.getLen(), st.getModificationTime())
+    if key not in _FOOTER_ROWS:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(st, conf))
+        try:
+            _FOOTER_ROWS[key] = (int(reader.getRecordCount()), int(reader.getRowGroups().size()))
+        finally:
+            reader.close()
+    return _FOOTER_ROWS[key]
+
+
+def _leaf_rows(df: DataFrame, node) -> int | None:
+    name = node.getClass().getSimpleName()
+    if name == "LogicalRelation":
+        rel = node.relation()
+        if rel.getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        if rel.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+            return None
+        files = rel.location().inputFiles()
+        if len(files) > _MAX_FILES:
+            return None
+        return sum(_file_rows(df, f) for f in files)
+    if name == "LocalRelation":
+        return int(node.data().size())
+    if name == "Range":
+        return int(str(node.numElements()))
+    if name == "OneRowRelation":
+        return 1
+    return None
+
+
+def row_upper_bound(df: DataFrame, cap: int | None = None) -> int | None:
+    """An upper bound on ``df``'s row count from file metadata, or ``None`` when the plan
+    has no provable bound (or it exceeds ``cap``)."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+    except Exception:  # pragma: no cover - planning errors surface later anyway
+        return None
+
+    def bound(node) -> int | None:
+        kids = node.children()
+        n = kids.size()
+        if n == 0:
+            out = _leaf_rows(df, node)
+        else:
+            parts = []
+            for i in range(n):
+                b = bound(kids.apply(i))
+                if b is None:
+                    return None
+                parts.append(b)
+            name = node.getClass().getSimpleName()
+            if n == 1 and name in _NON_INCREASING:
+                out = parts[0]
+            elif name == "Join":
+                out = (parts[0] + 1) * (parts[1] + 1)
+            elif name == "Union":
+                out = sum(parts)
+            else:
+                return None
+        if out is not None and cap is not None and out > cap:
+            return None
+        return out
+
+    return bound(plan)
+
+
+def scan_layout(df: DataFrame) -> tuple[int, int] | None:
+    """(rows, row groups) of a plain Parquet scan, from footers; ``None`` otherwise."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() != 1:
+        return None
+    leaf = leaves.apply(0)
+    if leaf.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    rel = leaf.relation()
+    if rel.getClass().getSimpleName() != "HadoopFsRelation" or \
+            rel.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    files = rel.location().inputFiles()
+    if len(files) > _MAX_FILES:
+        return None
+    rows = groups = 0
+    for f in files:
+        r, g = _footer(df, f)
+        rows, groups = rows + r, groups + g
+    return rows, groups
