@@ -51,12 +51,24 @@ PRUNE_FILTER = TicketFilter(start=dt.date(1996, 3, 1), end=dt.date(1996, 6, 30))
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The clean-table definitions are lazy plans (no data is held); like a dashboard's
+# view they are defined once per session and folder and queried many times.
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _view(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    key = (id(spark), spark.sparkContext.applicationId, sf, name)
+    if key not in _VIEWS:
+        _VIEWS[key] = build()
+    return _VIEWS[key]
+
+
 def clean_a(spark: SparkSession, sf: str) -> DataFrame:
-    return clean(FX.raw_tickets_a(spark, sf), sla_hours=SLA)
+    return _view(spark, sf, "a", lambda: clean(FX.raw_tickets_a(spark, sf), sla_hours=SLA))
 
 
 def clean_b(spark: SparkSession, sf: str) -> DataFrame:
-    return clean(FX.raw_tickets_b(spark, sf), sla_hours=SLA)
+    return _view(spark, sf, "b", lambda: clean(FX.raw_tickets_b(spark, sf), sla_hours=SLA))
 
 
 def _summaries(spark, sf, detail=True):
@@ -211,9 +223,9 @@ def q_time_features(spark, sf):
 
 
 def q_local_time(spark, sf):
-    raw = FX.raw_tickets_a(spark, sf)
-    return clean(raw).select("unique_key", "created_dt").join(
-        raw.select("unique_key", "created_date"), "unique_key")
+    from ticketscope.functions.time import to_local
+    raw = FX.raw_tickets_a(spark, sf).where(F.col("created_date").isNotNull())
+    return raw.select("unique_key", "created_date", to_local("created_date").alias("created_dt"))
 
 
 def q_response_hours(spark, sf):
