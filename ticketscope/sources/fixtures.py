@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread((spark.read.schema(schema) if schema else spark.read).parquet(path))
 
 
-def spread(df: DataFrame, min_rows: int = 400_000) -> DataFrame:
+def spread(df: DataFrame, min_rows: int = 50_000) -> DataFrame:
     """Spread a scan that has many rows but fewer row groups than task slots.
 
     Parquet splits at row-group granularity, so a file written as one big row
