@@ -337,6 +337,9 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
                  and created_dt < timestamp '1996-07-01 00:00:00'"""),
         "summaries_roundtrip": daily,
         "incremental_clean": q("select * from clean_t"),
+        "view_csv_roundtrip": q(f"""select unique_key, created_dt, borough, complaint_type, {RH},
+                 within_sla from clean_t where {DEMO_WHERE}
+                 order by created_dt asc nulls last, unique_key asc nulls last limit 1200"""),
         "batch_refresh": q(f"""select complaint_type, borough, count(*)::bigint as tickets,
                  coalesce(cast(count(*) - count_if({RH} <= {s}) as double)
                           / nullif(count(*), 0), 0.0) as breach_rate

@@ -27,3 +27,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return (spark.read.option("header", True)
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
             .schema(schema).csv(path))
+
+
+def write_view_csv(view: DataFrame, out_dir: str, name: str = "current_view",
+                   columns: list[str] | None = None) -> str:
+    """The current filtered view (e.g. ``sampling.sample_view``) with the chosen columns as
+    one header CSV, rows in the view's order."""
+    cols = columns or view.columns
+    return write_csv(view.select(*cols), out_dir, name)
