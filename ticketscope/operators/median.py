@@ -88,8 +88,10 @@ def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
 
 def _join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
-        return (left.withColumn(_G, F.lit(0))
-                .join(right.withColumn(_G, F.lit(0)), _G, "left").drop(_G))
+        # one global row on each side: attach the (checkpointed, one-row) median as a value
+        row = right.first()
+        return left.select("*", *[F.lit(row[c] if row else None).cast(right.schema[c].dataType)
+                                  .alias(c) for c in right.columns])
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
