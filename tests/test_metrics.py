@@ -103,3 +103,12 @@ def test_auto_strategy_switches_on_group_size(spark):
                                 inline_max_rows=1000)
     ref = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("m"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_approx_median_is_close(spark):
+    df = _skewed(spark)
+    exact = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    approx = {r.k: r.m for r in aggregate_with_median(df, ["k"], [], "v", "m",
+                                                      strategy="approx").collect()}
+    rng = df.where(F.col("k") == "hot").agg(F.max("v") - F.min("v")).first()[0]
+    assert abs(approx["hot"] - exact["hot"]) <= rng * 0.01

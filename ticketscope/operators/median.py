@@ -64,17 +64,24 @@ def choose_strategy(df: DataFrame, keys: list[str], value: Column,
 def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
                           median_of: Column | str | None, median_alias: str,
                           strategy: str = "auto", inline_max_rows: int | None = None,
-                          order: list[str] | None = None) -> DataFrame:
+                          order: list[str] | None = None,
+                          approx_accuracy: int = 10000) -> DataFrame:
     """``groupBy(keys).agg(*aggs, median(median_of) AS median_alias)``, skew-safe.
 
     Null group keys are kept as groups. Output columns: keys, aggregates in the
     given order with the median inserted at ``order`` position if supplied.
+    ``strategy``: ``auto`` (exact; inline or selection by proven group size),
+    ``inline``, ``selection``, or ``approx`` (``percentile_approx``, opt-in).
     """
     value = F.col(median_of) if isinstance(median_of, str) else median_of
     if strategy == "auto":
         strategy = choose_strategy(df, keys, value, inline_max_rows)
     if strategy == "inline":
         out = df.groupBy(*keys).agg(*aggs, F.median(value).alias(median_alias))
+    elif strategy == "approx":
+        # opt-in: bounded-memory sketch, rank error about 1 / approx_accuracy
+        out = df.groupBy(*keys).agg(*aggs, F.percentile_approx(value, 0.5, approx_accuracy)
+                                    .alias(median_alias))
     elif strategy == "selection":
         base = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
         med = exact_median_selection(df, keys, value, median_alias)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.functions import sla as S
-from ticketscope.functions.time import weekday_order
+from ticketscope.functions.time import sort_bounded, weekday_order
 from ticketscope.operators.filters import TicketFilter, non_empty, resolved
 from ticketscope.operators.median import aggregate_with_median
 
@@ -64,7 +64,7 @@ def seasonality(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float
          F.avg(S.breach_indicator(HOURS, sla_hours, open_tickets)).alias("breach_rate")],
         HOURS, "median_response", strategy=median_strategy,
         order=["dow_name", "hour", "tickets", "breach_rate", "median_response"])
-    return out.orderBy(weekday_order("dow_name"), "hour")
+    return sort_bounded(out, weekday_order("dow_name"), "hour")
 
 
 def by_weekday(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
@@ -78,7 +78,7 @@ def by_weekday(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float
         HOURS, "median_response", strategy=median_strategy,
         order=["dow_name", "median_response", "breach_rate", "tickets"])
     out = out.withColumn("pct_within", F.lit(1.0) - F.col("breach_rate").cast("double"))
-    return out.orderBy(weekday_order("dow_name"))
+    return sort_bounded(out, weekday_order("dow_name"))
 
 
 def extent(df: DataFrame, ts_col: str = "created_dt") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.functions import sla as S
-from ticketscope.functions.time import weekday_order
+from ticketscope.functions.time import sort_bounded, weekday_order
 from ticketscope.operators.median import aggregate_with_median
 
 HOURS = "response_hours"
@@ -133,4 +133,4 @@ def reaggregate_dow_hour(rows: DataFrame, open_policy: str = "exclude") -> DataF
     return (agg.select("dow_name", "hour", tickets.alias("tickets"),
                        (num / den).alias("breach_rate"))
             .where(F.col("tickets") > 0)
-            .orderBy(weekday_order("dow_name"), "hour"))
+            .transform(lambda d: sort_bounded(d, weekday_order("dow_name"), "hour")))

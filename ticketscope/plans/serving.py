@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.functions.time import weekday_order
+from ticketscope.functions.time import sort_bounded, weekday_order
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.filters import TicketFilter
@@ -99,9 +99,9 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
         out = counts.join(med, ["dow_name", "hour"], "left")
     else:
         out = counts.withColumn("median_response", F.lit(None).cast("double"))
-    return (out.select("dow_name", "hour", "tickets", "breach_rate", "median_response",
-                       F.lit(False).alias("median_exact"))
-            .orderBy(weekday_order("dow_name"), "hour"))
+    return sort_bounded(out.select("dow_name", "hour", "tickets", "breach_rate", "median_response",
+                                   F.lit(False).alias("median_exact")),
+                        weekday_order("dow_name"), "hour")
 
 
 def serve_weekday(clean_df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
