@@ -26,7 +26,7 @@ from ticketscope.session import ensure_checkpoint_dir
 from ticketscope.sources.metadata import row_upper_bound
 
 INLINE_MAX_ROWS_CONF = "ticketscope.median.inlineMaxGroupRows"
-DEFAULT_INLINE_MAX_ROWS = 5_000_000
+DEFAULT_INLINE_MAX_ROWS = 2_000_000
 BROADCAST_TARGET_ROWS = 2_000_000
 
 _G = "__grp"

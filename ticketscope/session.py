@@ -22,8 +22,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
-    # percentile buffers are small per group; sort-based fallback only for many groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Wide projections generate large methods; let the JIT compile them anyway.

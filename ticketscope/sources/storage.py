@@ -12,9 +12,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketscope.operators.clean import with_partition_keys
 from ticketscope.operators.filters import TicketFilter
+from ticketscope.schema import CLEAN_SCHEMA
 from ticketscope.sources import files
 
 PARTITIONED = "processed_part"
@@ -40,16 +42,23 @@ def write_clean_partitioned(df: DataFrame, path: str, max_records_per_file: int
     return path
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a clean dataset; a partitioned one exposes ``year``/``month`` columns."""
-    return spark.read.parquet(path)
+def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Scan a clean dataset; a partitioned one exposes ``year``/``month`` columns. With the
+    contract ``schema`` no footer-inference job runs."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+PARTITIONED_SCHEMA = T.StructType(list(CLEAN_SCHEMA.fields) + [T.StructField("year", T.IntegerType())])
 
 
 def read_tickets(spark: SparkSession, root: str, view: str | None = "tickets") -> DataFrame:
-    """The clean table under ``root``: the partitioned copy when present, else the single
-    dataset; optionally registered as a temporary view."""
+    """The clean table under ``root`` with its contract schema: the partitioned copy when
+    present, else the single dataset; optionally registered as a temporary view."""
     part = os.path.join(root, PARTITIONED)
-    df = read_clean(spark, part if files.exists(spark, part) else os.path.join(root, SINGLE))
+    if files.exists(spark, part):
+        df = read_clean(spark, part, PARTITIONED_SCHEMA)
+    else:
+        df = read_clean(spark, os.path.join(root, SINGLE), CLEAN_SCHEMA)
     if view:
         df.createOrReplaceTempView(view)
     return df
