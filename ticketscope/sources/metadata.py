@@ -101,11 +101,21 @@ def row_upper_bound(df: DataFrame, cap: int | None = None) -> int | None:
             return None
         return out
 
-    return bound(plan)
+    try:
+        return bound(plan)
+    except Exception:  # metadata unreadable (other file system, format): no proof
+        return None
 
 
 def scan_layout(df: DataFrame) -> tuple[int, int] | None:
     """(rows, row groups) of a plain Parquet scan, from footers; ``None`` otherwise."""
+    try:
+        return _scan_layout(df)
+    except Exception:  # metadata unreadable: treat as unknown
+        return None
+
+
+def _scan_layout(df: DataFrame) -> tuple[int, int] | None:
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     if leaves.size() != 1:
