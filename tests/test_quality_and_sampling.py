@@ -53,3 +53,12 @@ def test_random_sample_is_uniform_size_and_repeatable(spark):
     assert len(ka) == 100 and len(set(ka)) == 100
     assert ka == sorted(r.unique_key for r in b.collect())
     assert SP.random_sample(c, n=10 ** 6).count() == c.count()     # fewer rows than n: all
+
+
+def test_ordered_prefix_large_path_is_exact(spark):
+    c = clean(FX.raw_tickets_a(spark, SF001))
+    order = ["created_dt", "unique_key"]
+    for n in (1, 137, 500, 999, 5000):
+        got = [r.unique_key for r in SP.ordered_prefix(c, n, order, single_task_rows=10).collect()]
+        exp = [r.unique_key for r in c.orderBy(*order).limit(n).collect()]
+        assert got == exp, n

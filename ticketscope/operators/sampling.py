@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions import sla as S
@@ -53,3 +53,82 @@ def random_sample(df: DataFrame, n: int = 50000, seed: int = 42,
             if pre.count() >= n:
                 keyed = pre
     return keyed.orderBy("__r").limit(int(n)).drop("__r")
+
+
+TOPK_SINGLE_TASK_ROWS = 1_000_000
+
+
+def _numeric_order_key(df: DataFrame, col: str):
+    """A double that orders like ``col`` (for quantiles), or ``None`` for other types."""
+    t = dict(df.dtypes)[col]
+    c = F.col(col)
+    if t == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, c).cast("double")
+    if t == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if t == "date":
+        return F.unix_date(c).cast("double")
+    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+        return c.cast("double")
+    return None
+
+
+def ordered_prefix(df: DataFrame, n: int, order: list[str],
+                   single_task_rows: int = TOPK_SINGLE_TASK_ROWS) -> DataFrame:
+    """The first ``n`` rows by ``order`` (ascending; the last column should make it total).
+
+    Small ``n``: ``orderBy().limit()`` (a top-n per task, merged in one task). Large
+    ``n``: merging ``n`` rows from every task in one task does not scale, so
+
+    1. a cutoff on the first order column from an approximate quantile shrinks the input
+       (kept only when an exact count proves at least ``n`` rows remain below it);
+    2. the remaining rows are range-partitioned and sorted, and written to the
+       checkpoint folder (so partition ids are stable);
+    3. per-partition counts (one row per partition) locate the partition holding row
+       ``n``; earlier partitions are kept whole, that one is cut by a row number
+       inside it, later ones are dropped.
+    """
+    if n <= single_task_rows:
+        return df.orderBy(*order).limit(int(n))
+    total = df.count()
+    if n >= total:
+        return df.orderBy(*order)
+    cand = df
+    key = _numeric_order_key(df, order[0])
+    for slack in (1.05, 1.25, 2.0):
+        q = min(1.0, n / total * slack)
+        if key is None or q >= 1.0:
+            break
+        cut = df.select(key.alias("__o")).approxQuantile("__o", [q], 0.001)
+        if not cut or cut[0] is None:
+            break
+        # ascending order puts nulls first, so they always stay candidates
+        pre = df.where(key.isNull() | (key <= F.lit(cut[0])))
+        if pre.count() >= n:
+            cand = pre
+            break
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = (cand.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+              .withColumn("__pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    counts = sorted((r["__pid"], r["c"]) for r in
+                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    keep_whole, cut_pid, cut_rows, acc = [], None, 0, 0
+    for pid, c in counts:
+        if acc + c <= n:
+            keep_whole.append(pid)
+            acc += c
+            if acc == n:
+                break
+        else:
+            cut_pid, cut_rows = pid, n - acc
+            break
+    w = Window.partitionBy("__pid").orderBy(*order)
+    out = ranged.where(F.col("__pid").isin(keep_whole))
+    if cut_pid is not None:
+        part = (ranged.where(F.col("__pid") == cut_pid)
+                .withColumn("__rn", F.row_number().over(w))
+                .where(F.col("__rn") <= cut_rows).drop("__rn"))
+        out = out.unionByName(part)
+    return out.orderBy("__pid", *order).drop("__pid")

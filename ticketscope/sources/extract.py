@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.operators.filters import ntz_literal
+from ticketscope.operators.sampling import ordered_prefix
 from ticketscope.schema import NUMERIC_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, TIMESTAMP_COLUMNS
 from ticketscope.sources import files
 
@@ -84,7 +85,7 @@ def extract(df: DataFrame, since: dt.date | str, until: dt.date | str,
     cols = [c for c in RAW_COLUMNS if c in df.columns]
     out = df.select(*cols).where(window_predicate(s, u))
     if limit:
-        out = out.orderBy(F.col("created_date").asc(), F.col("unique_key").asc()).limit(int(limit))
+        out = ordered_prefix(out, int(limit), ["created_date", "unique_key"])
     return out
 
 
