@@ -16,7 +16,9 @@ def test_process_aborts_before_writing_on_failed_gates(spark, tmp_dir):
     E.write_raw(raw, os.path.join(tmp_dir, "raw"), dt.date(1995, 1, 1))
     with pytest.raises(QualityError):
         RF.process(spark, os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "clean"))
-    assert not os.path.exists(os.path.join(tmp_dir, "clean"))
+    published = os.path.join(tmp_dir, "clean")
+    assert not os.path.exists(os.path.join(published, "processed"))
+    assert not os.path.exists(os.path.join(published, "processed_part"))
 
 
 def test_process_precompute_export(spark, tmp_dir):

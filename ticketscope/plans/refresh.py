@@ -9,8 +9,8 @@ single dataset and year/month-partitioned dataset.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from ticketscope.operators import exports as EX
@@ -19,22 +19,29 @@ from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean
 from ticketscope.sources import csv_export as CSV
 from ticketscope.sources import extract as E
+from ticketscope.sources import files
 from ticketscope.sources import storage as ST
 from ticketscope.sources import summaries_io as SIO
 
 
 def process(spark: SparkSession, raw_dir: str, root: str, sla_hours: float = 24.0,
             min_rows: int = 0) -> dict[str, str]:
-    """Clean the raw pages and write both clean datasets under ``root``."""
+    """Clean the raw pages and write both clean datasets under ``root``.
+
+    The cleaned rows are written once to a staging folder next to the target (shared
+    storage: it cuts the lineage, so a lost executor never forces a re-clean); the
+    gates then read only the columns they need from it. Nothing is published when a
+    gate fails (the staging folder is left for inspection). On success the staged
+    table becomes the single dataset and feeds the partitioned one.
+    """
     cleaned = clean(E.read_raw(spark, raw_dir), sla_hours=sla_hours)
-    # the gates and both writes read the cleaned rows; keep them once
-    cleaned = cleaned.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        Q.enforce(cleaned, min_rows=min_rows)
-        single = ST.write_clean(cleaned, os.path.join(root, ST.SINGLE))
-        part = ST.write_clean_partitioned(cleaned, os.path.join(root, ST.PARTITIONED))
-    finally:
-        cleaned.unpersist()
+    staging = os.path.join(root, "_staging", f"clean-{uuid.uuid4().hex[:12]}")
+    ST.write_clean(cleaned, staging)
+    Q.enforce(ST.read_clean(spark, staging), min_rows=min_rows)
+    single = os.path.join(root, ST.SINGLE)
+    files.replace_dir(spark, staging, single)
+    part = ST.write_clean_partitioned(ST.read_clean(spark, single),
+                                      os.path.join(root, ST.PARTITIONED))
     return {"single": single, "partitioned": part}
 
 

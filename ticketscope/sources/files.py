@@ -53,3 +53,16 @@ def any_data_file(spark: SparkSession, root: str, suffix: str = ".parquet") -> b
         if not (name.startswith("_") or name.startswith(".")) and name.endswith(suffix):
             return True
     return False
+
+
+def replace_dir(spark: SparkSession, src: str, dst: str) -> None:
+    """Publish a finished output folder: ``dst`` is replaced by ``src`` (a rename)."""
+    fs, s = _fs_and_path(spark, src)
+    _, d = _fs_and_path(spark, dst)
+    if fs.exists(d):
+        fs.delete(d, True)
+    parent = d.getParent()
+    if parent is not None and not fs.exists(parent):
+        fs.mkdirs(parent)
+    if not fs.rename(s, d):
+        raise OSError(f"could not move {src} to {dst}")
