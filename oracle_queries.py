@@ -282,6 +282,10 @@ def oracles() -> dict[str, str]:
                  round_even(avg(cast(within_sla as integer)) * 100.0::double, 2) as pct_within_sla
                  from clean_t where {resolved} group by date, borough"""),
         "export_type_breaches": _type_breaches(),
+        "export_daily_borough_hot_groups": q(f"""select date, borough,
+                 count(unique_key)::bigint as tickets, median({RH}) as median_response,
+                 round_even(avg(cast(within_sla as integer)) * 100.0::double, 2) as pct_within_sla
+                 from clean_t where {resolved} group by date, borough"""),
         "sample_view": q(f"""select unique_key, created_dt, borough, complaint_type, descriptor,
                  {RH}, coalesce({RH} <= 48.0, false) as within_sla, hour, dow_name, month_name,
                  not coalesce({RH} <= 48.0, false) as breach

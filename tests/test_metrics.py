@@ -98,7 +98,8 @@ def test_auto_strategy_switches_on_group_size(spark):
     from ticketscope.operators.median import choose_strategy
     df = _skewed(spark)
     assert choose_strategy(df, ["k"], F.col("v"), inline_max_rows=100000) == "inline"
-    assert choose_strategy(df, ["k"], F.col("v"), inline_max_rows=1000) == "selection"
+    assert choose_strategy(df, ["k"], F.col("v"), inline_max_rows=1000) == "split"
+    assert choose_strategy(df, [], F.col("v"), inline_max_rows=1000) == "selection"
     out = aggregate_with_median(df, ["k"], [F.count(F.lit(1)).alias("n")], "v", "m",
                                 inline_max_rows=1000)
     ref = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("m"))

@@ -7,6 +7,9 @@ would not fit. ``aggregate_with_median`` therefore chooses:
 
 * ``inline``    — ``F.median`` in the same hash aggregate as the other metrics
   (one pass), used when the largest group is within ``inline_max_rows``;
+* ``split``     — when only some groups are too big: those hot groups (at most
+  ``total / limit`` of them, a proven bound) take the selection path below and
+  every other group stays in the one-pass inline aggregate;
 * ``selection`` — a distributed order-statistic search: per-group value-range
   histograms (bounded by ``buckets`` rows per group) narrow the range holding
   the middle rank(s) until few candidates remain, which are then ranked with a
@@ -42,23 +45,34 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
 
 def choose_strategy(df: DataFrame, keys: list[str], value: Column,
                     inline_max_rows: int | None = None) -> str:
-    """``inline`` when no group can exceed the limit, else ``selection``.
+    """``inline`` when no group can exceed the limit, ``split`` when some keyed groups
+    do (hot groups take the selection path, the rest stay inline), ``selection`` for
+    an oversized global group."""
+    return _median_plan(df, keys, value, inline_max_rows)[0]
+
+
+def _median_plan(df: DataFrame, keys: list[str], value: Column,
+                 inline_max_rows: int | None = None):
+    """(strategy, hot-group keys or None, number of hot groups).
 
     Cheapest proof first: a row bound from file metadata (no job); else the total
-    count of non-null values (no shuffle); only when that exceeds the limit is the
-    largest group measured.
+    count of non-null values (no shuffle); only when that exceeds the limit are the
+    group sizes measured. There are at most ``total / limit`` hot groups, so their
+    key list has a proven size bound.
     """
     limit = inline_max_rows or _conf_int(df, INLINE_MAX_ROWS_CONF, DEFAULT_INLINE_MAX_ROWS)
     vals = df.where(value.isNotNull())
     if row_upper_bound(vals, cap=limit) is not None:
-        return "inline"
+        return "inline", None, 0
     total = vals.count()
     if total <= limit:
-        return "inline"
+        return "inline", None, 0
     if not keys:
-        return "selection"
-    biggest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return "inline" if (biggest or 0) <= limit else "selection"
+        return "selection", None, 1
+    hot = (vals.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+           .checkpoint(eager=True))
+    n_hot = hot.count()
+    return ("split", hot, n_hot) if n_hot else ("inline", None, 0)
 
 
 def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
@@ -70,12 +84,13 @@ def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
 
     Null group keys are kept as groups. Output columns: keys, aggregates in the
     given order with the median inserted at ``order`` position if supplied.
-    ``strategy``: ``auto`` (exact; inline or selection by proven group size),
+    ``strategy``: ``auto`` (exact; inline, split or selection by proven group size),
     ``inline``, ``selection``, or ``approx`` (``percentile_approx``, opt-in).
     """
     value = F.col(median_of) if isinstance(median_of, str) else median_of
+    hot, n_hot = None, 0
     if strategy == "auto":
-        strategy = choose_strategy(df, keys, value, inline_max_rows)
+        strategy, hot, n_hot = _median_plan(df, keys, value, inline_max_rows)
     if strategy == "inline":
         out = df.groupBy(*keys).agg(*aggs, F.median(value).alias(median_alias))
     elif strategy == "approx":
@@ -86,6 +101,14 @@ def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
         base = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
         med = exact_median_selection(df, keys, value, median_alias)
         out = _join_on_keys(base, med, keys)
+    elif strategy == "split":
+        # hot groups: distributed selection; all others: one inline hash aggregate
+        base = df.groupBy(*keys).agg(*aggs)
+        cold = (_null_safe_join(df, hot, keys, n_hot, "left_anti")
+                .groupBy(*keys).agg(F.median(value).alias(median_alias)))
+        hot_rows = _null_safe_join(df, hot, keys, n_hot, "left_semi")
+        med = cold.unionByName(exact_median_selection(hot_rows, keys, value, median_alias))
+        out = _join_on_keys(base, med, keys)
     else:
         raise ValueError(f"unknown median strategy {strategy!r}")
     if order:

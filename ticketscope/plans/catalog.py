@@ -191,6 +191,12 @@ def q_export_daily_borough(spark, sf):
     return EX.export_daily_borough(clean_a(spark, sf))
 
 
+def q_export_daily_borough_hot_groups(spark, sf):
+    """The same export with a 60-value in-task limit: the busiest date × borough groups
+    take the distributed selection path, the others the inline aggregate."""
+    return EX.export_daily_borough(clean_a(spark, sf), inline_max_rows=60)
+
+
 def q_export_type_breaches(spark, sf):
     return EX.export_type_breaches(clean_a(spark, sf))
 
