@@ -93,3 +93,12 @@ def test_daily_trend(data):
     _, s = data
     t = V.serve_daily_trend(s).collect()
     assert [r.date for r in t] == sorted(r.date for r in t)
+
+
+def test_weekday_lines_and_rate_clip(data, spark):
+    from ticketscope.functions.sla import clip_rate
+    c, _ = data
+    lines = V.serve_weekday(c).collect()
+    assert all(abs(r.pct_within + r.breach_rate - 1.0) < 1e-12 for r in lines)
+    df = spark.createDataFrame([(-0.5,), (0.25,), (1.5,), (None,)], "r double")
+    assert [r.c for r in df.select(clip_rate("r").alias("c")).collect()] == [0.0, 0.25, 1.0, None]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketscope.functions import holidays as H
 from ticketscope.functions import sla as S
@@ -70,14 +69,3 @@ def rethreshold(clean_df: DataFrame, sla_hours: float) -> DataFrame:
     """Recompute ``within_sla`` for another SLA and add ``breach = NOT within_sla``."""
     return (clean_df.withColumn("within_sla", S.within_sla("response_hours", sla_hours))
             .withColumn("breach", ~F.col("within_sla")))
-
-
-def normalise_types(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast the present columns to a contract schema (unknown columns kept)."""
-    out = []
-    for c in df.columns:
-        if c in schema.fieldNames():
-            out.append(F.col(c).cast(schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)

@@ -9,7 +9,6 @@ most ``page_size`` rows.
 from __future__ import annotations
 
 import datetime as dt
-import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,7 +153,3 @@ def read_raw_mixed(spark: SparkSession, roots: list[str]) -> DataFrame:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.select(*[F.col(f.name) if f.name in out.columns
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
-
-
-def pages_needed(rows: int, page_size: int) -> int:
-    return math.ceil(rows / page_size) if rows else 0

@@ -17,31 +17,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def glob(spark: SparkSession, pattern: str) -> list[str]:
-    """Sorted paths matching a glob (metadata only)."""
-    fs, p = _fs_and_path(spark, pattern)
-    st = fs.globStatus(p)
-    return sorted(str(s.getPath().toString()) for s in (st or []))
-
-
-def data_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[str]:
-    """Data files below ``root`` (recursive), skipping ``_``/``.`` marker files."""
-    fs, p = _fs_and_path(spark, root)
-    if not fs.exists(p):
-        return []
-    it = fs.listFiles(p, True)
-    out = []
-    while it.hasNext():
-        path = it.next().getPath()
-        name = path.getName()
-        if name.startswith("_") or name.startswith("."):
-            continue
-        if suffix and not name.endswith(suffix):
-            continue
-        out.append(str(path.toString()))
-    return sorted(out)
-
-
 def any_data_file(spark: SparkSession, root: str, suffix: str = ".parquet") -> bool:
     """True as soon as one data file is found below ``root`` (stops listing early)."""
     fs, p = _fs_and_path(spark, root)

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketscope.operators.clean import with_partition_keys
@@ -42,13 +41,15 @@ def write_clean_partitioned(df: DataFrame, path: str, max_records_per_file: int
     return path
 
 
-def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_clean(spark: SparkSession, path: str,
+               schema: T.StructType | None = None) -> DataFrame:
     """Scan a clean dataset; a partitioned one exposes ``year``/``month`` columns. With the
     contract ``schema`` no footer-inference job runs."""
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
-PARTITIONED_SCHEMA = T.StructType(list(CLEAN_SCHEMA.fields) + [T.StructField("year", T.IntegerType())])
+PARTITIONED_SCHEMA = T.StructType(list(CLEAN_SCHEMA.fields)
+                                  + [T.StructField("year", T.IntegerType())])
 
 
 def read_tickets(spark: SparkSession, root: str, view: str | None = "tickets") -> DataFrame:
@@ -68,12 +69,3 @@ def scan_filtered(spark: SparkSession, path: str, flt: TicketFilter) -> DataFram
     """Filtered scan of a partitioned clean table: the date range also becomes a
     ``year``/``month`` predicate, so Spark lists and reads only matching folders."""
     return flt.apply(read_clean(spark, path))
-
-
-def partition_years(df: DataFrame) -> DataFrame:
-    """Distinct (year, month) partitions present."""
-    return df.select("year", "month").distinct().orderBy("year", "month")
-
-
-def count_rows(spark: SparkSession, path: str) -> DataFrame:
-    return read_clean(spark, path).agg(F.count(F.lit(1)).alias("rows"))
