@@ -69,6 +69,7 @@ def _median_plan(df: DataFrame, keys: list[str], value: Column,
         return "inline", None, 0
     if not keys:
         return "selection", None, 1
+    ensure_checkpoint_dir(df.sparkSession)
     hot = (vals.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
            .checkpoint(eager=True))
     n_hot = hot.count()
