@@ -66,7 +66,7 @@ def time_features(ts: Column | str) -> dict[str, Column]:
 
 
 def sort_bounded(df, *cols):
-    """Order a result whose size is bounded by construction (at most 7 × 24 weekday-hour
-    cells): its rows are moved to one partition and sorted there. The aggregation above
-    stays parallel, and no range-partition sampling job is needed."""
+    """Order a result whose size is bounded by construction (7 × 24 weekday-hour cells,
+    the values of one dimension): its rows are moved to one partition and sorted there.
+    The aggregation above stays parallel, and no range-partition sampling job is needed."""
     return df.repartition(1).sortWithinPartitions(*cols)

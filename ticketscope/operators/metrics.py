@@ -89,8 +89,13 @@ def extent(df: DataFrame, ts_col: str = "created_dt") -> DataFrame:
 
 
 def dimension_values(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-null, non-empty values of a dimension column."""
-    return df.select(col).where(non_empty(col)).distinct().orderBy(col)
+    """Sorted distinct non-null, non-empty values of a dimension column.
+
+    The distinct values of a dimension (boroughs, complaint types) are bounded by its
+    domain, not by the data volume, so they are sorted in one partition after the
+    (partially aggregated, parallel) distinct — no range-sampling pass.
+    """
+    return sort_bounded(df.select(col).where(non_empty(col)).distinct(), col)
 
 
 def row_count(df: DataFrame) -> DataFrame:
