@@ -103,13 +103,15 @@ def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
         med = exact_median_selection(df, keys, value, median_alias)
         out = _join_on_keys(base, med, keys)
     elif strategy == "split":
-        # hot groups: distributed selection; all others: one inline hash aggregate
-        base = df.groupBy(*keys).agg(*aggs)
+        # cold groups: every aggregate and the median in one inline hash aggregate;
+        # hot groups (few, proven bound): their aggregates plus the selection median
         cold = (_null_safe_join(df, hot, keys, n_hot, "left_anti")
-                .groupBy(*keys).agg(F.median(value).alias(median_alias)))
+                .groupBy(*keys).agg(*aggs, F.median(value).alias(median_alias)))
         hot_rows = _null_safe_join(df, hot, keys, n_hot, "left_semi")
-        med = cold.unionByName(exact_median_selection(hot_rows, keys, value, median_alias))
-        out = _join_on_keys(base, med, keys)
+        hot_out = _join_on_keys(hot_rows.groupBy(*keys).agg(*aggs),
+                                exact_median_selection(hot_rows, keys, value, median_alias),
+                                keys)
+        out = cold.unionByName(hot_out)
     else:
         raise ValueError(f"unknown median strategy {strategy!r}")
     if order:
