@@ -92,7 +92,8 @@ def dow_hour_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool
     out = out.withColumn("breach_rate", F.col("breaches") / F.col("tickets"))
     out = out.withColumn("sla_hours", F.lit(float(sla_hours)))
     cols = DOW_HOUR_COLUMNS + (extra if detail else [])
-    return out.select(*cols).orderBy("dow_name", "hour")
+    # rows are bounded by the dimension domains (7 × 24 × boroughs × types), not by volume
+    return sort_bounded(out.select(*cols), "dow_name", "hour")
 
 
 def policy_rate(tickets: str, open_tickets: str, breaches: str, open_policy: str):
