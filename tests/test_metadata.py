@@ -1,0 +1,45 @@
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from ticketscope.sources import fixtures as FX
+from ticketscope.sources.metadata import row_upper_bound, scan_layout
+
+
+def test_bounds_hold_through_joins_unions_and_filters(spark):
+    ev = FX.table(spark, SF001, "events")
+    rg = FX.table(spark, SF001, "region")
+    cases = [
+        ev,
+        ev.where(F.col("value") > 10),
+        ev.join(rg, (ev.user_id % 5) == rg.r_regionkey),
+        ev.unionByName(ev),
+        ev.groupBy("event_type").count(),
+        ev.limit(7),
+    ]
+    for df in cases:
+        b = row_upper_bound(df)
+        assert b is not None and b >= df.count()
+    assert row_upper_bound(ev) == ev.count()                    # a plain scan is exact
+    assert row_upper_bound(ev, cap=10) is None                  # beyond the cap: no proof
+
+
+def test_no_bound_when_rows_can_multiply(spark):
+    ev = FX.table(spark, SF001, "events")
+    assert row_upper_bound(ev.select(F.explode(F.array("event_id", "user_id")))) is None
+
+
+def test_spread_only_touches_single_row_group_scans(spark, tmp_dir):
+    n = 60000
+    t = pa.table({"id": list(range(n)), "x": [float(i) for i in range(n)]})
+    one = os.path.join(tmp_dir, "one.parquet")
+    many = os.path.join(tmp_dir, "many.parquet")
+    pq.write_table(t, one)                                      # one row group
+    pq.write_table(t, many, row_group_size=n // 16)             # 16 row groups
+    a, b = spark.read.parquet(one), spark.read.parquet(many)
+    assert scan_layout(a) == (n, 1) and scan_layout(b) == (n, 16)
+    assert "Exchange" in FX.spread(a)._jdf.queryExecution().executedPlan().toString()
+    assert FX.spread(b) is b
