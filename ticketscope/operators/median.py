@@ -16,7 +16,8 @@ would not fit. ``aggregate_with_median`` therefore chooses:
   window over at most ``final_max_rows`` rows per group. Every pass is a
   built-in aggregate; nothing unbounded lands in one task or on the driver.
 
-Both give Spark's exact ``percentile(x, 0.5)`` value, interpolation included.
+All three give Spark's exact ``percentile(x, 0.5)`` value, interpolation included
+(``approx`` — ``percentile_approx`` — is available as an explicit opt-in).
 """
 
 from __future__ import annotations
