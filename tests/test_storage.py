@@ -149,3 +149,22 @@ def test_summaries_and_csv_roundtrip(spark, tmp_dir):
     assert len(glob.glob(os.path.join(path, "*.csv"))) == 1
     back = CSV.read_csv(spark, path, ex.schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, ex.collect()), key=str)
+
+
+def test_foreign_pages_with_nanosecond_and_zoned_timestamps(spark, tmp_dir):
+    a, b = os.path.join(tmp_dir, "ns"), os.path.join(tmp_dir, "tz")
+    os.makedirs(a)
+    os.makedirs(b)
+    pq.write_table(pa.table({
+        "unique_key": ["n1", "n2"],
+        "created_date": pa.array([pd.Timestamp("2025-01-01 10:00:00.123456789"), None],
+                                 pa.timestamp("ns"))}), os.path.join(a, "p.parquet"), version="2.6")
+    pq.write_table(pa.table({
+        "unique_key": ["z1"],
+        "created_date": pa.array([pd.Timestamp("2025-01-01 10:00:00", tz="America/New_York")],
+                                 pa.timestamp("us", tz="America/New_York"))}),
+        os.path.join(b, "p.parquet"))
+    got = {r.unique_key: r.created_date for r in E.read_raw_mixed(spark, [a, b]).collect()}
+    assert got["n1"] == dt.datetime(2025, 1, 1, 10, 0, 0, 123456)
+    assert got["n2"] is None
+    assert got["z1"] == dt.datetime(2025, 1, 1, 15, 0, 0)          # the instant's UTC wall clock

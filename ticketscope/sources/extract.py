@@ -128,25 +128,62 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
 
 
+NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def _read_foreign(spark: SparkSession, root: str) -> DataFrame:
+    """Read a page set with its own schema. Pages written by pandas may hold nanosecond
+    timestamps, which Spark refuses; then they are read as epoch nanoseconds (a
+    documented Spark setting, switched on only when such a file is met)."""
+    try:
+        d = spark.read.parquet(root)
+        d.schema  # noqa: B018 - forces schema resolution
+        return d
+    except Exception as exc:
+        if "PARQUET_TYPE_ILLEGAL" not in str(exc) or "NANOS" not in str(exc):
+            raise
+    spark.conf.set(NANOS_AS_LONG, "true")
+    return spark.read.parquet(root)
+
+
+def _as_ntz(col: str, source_type: str):
+    """A raw timestamp column of any physical type as zone-less UTC wall clock."""
+    c = F.col(col)
+    if source_type == "string":
+        return c.try_cast("timestamp_ntz")
+    if source_type in ("bigint", "int"):       # epoch nanoseconds (pandas pages)
+        micros = F.floor(c / F.lit(1000)).cast("bigint")
+        return F.timestamp_add("MICROSECOND", micros,
+                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    if source_type == "timestamp":             # an instant: its UTC wall clock
+        return F.timestamp_add("MICROSECOND", F.unix_micros(c),
+                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return c.cast("timestamp_ntz")
+
+
 def read_raw_mixed(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Raw page sets written by other tools with differing layouts: each set is read with
-    its own schema, every column cast to the contract type (a column that is entirely
-    null may carry any type), then unioned by name; absent columns become null."""
+    its own schema, every column brought to the contract type (text parsed leniently,
+    nanosecond or zone-aware timestamps converted, a column that is entirely null may
+    carry any type), then unioned by name; absent columns become null."""
     parts = []
     for r in roots:
         if not files.any_data_file(spark, r):
             raise ExtractError(f"No raw parquet files found in {r}.")
-        d = spark.read.parquet(r)
+        d = _read_foreign(spark, r)
+        types = dict(d.dtypes)
         sel = []
         for f in RAW_SCHEMA:
-            if f.name in d.columns:
-                src = F.col(f.name)
-                if f.name in TIMESTAMP_COLUMNS or f.name in NUMERIC_COLUMNS:
-                    src = src.cast("string").try_cast(f.dataType) \
-                        if dict(d.dtypes)[f.name] == "string" else src.cast(f.dataType)
-                else:
-                    src = src.cast("string")
-                sel.append(src.alias(f.name))
+            if f.name not in d.columns:
+                continue
+            if f.name in TIMESTAMP_COLUMNS:
+                src = _as_ntz(f.name, types[f.name])
+            elif f.name in NUMERIC_COLUMNS:
+                src = F.col(f.name).cast("string").try_cast(f.dataType) \
+                    if types[f.name] == "string" else F.col(f.name).cast(f.dataType)
+            else:
+                src = F.col(f.name).cast("string")
+            sel.append(src.alias(f.name))
         parts.append(d.select(*sel))
     out = parts[0]
     for p in parts[1:]:
