@@ -241,6 +241,12 @@ def oracles() -> dict[str, str]:
         "top_types_resolved": _top(resolved, late, 10),
         "top_types_filtered": _top(DEMO_WHERE, f"case when {RH} > 72.0 then 1 else 0 end", 5),
         "seasonality": _season(resolved, s),
+        "seasonality_open_met": _season("true", s),
+        "top_types_open_breached": _top(
+            "true", f"case when {RH} is null then 1 when {RH} > {s} then 1 else 0 end", 10),
+        "serve_top_types_breached": _top(
+            "complaint_type in ('view 0', 'view 1', 'click 2', 'error 3', 'signup 0')",
+            f"case when {RH} is null then 1 when {RH} > {s} then 1 else 0 end", 3),
         "seasonality_filtered": _season(f"{resolved} and {DEMO_WHERE}", 12.0),
         "by_weekday": q(f"""select dow_name, median({RH}) as median_response,
                  avg({late}) as breach_rate, count(*)::bigint as tickets,

@@ -115,6 +115,14 @@ def q_top_types_filtered(spark, sf):
     return M.top_types(clean_a(spark, sf), DEMO_FILTER, 72.0, 5)
 
 
+def q_top_types_open_breached(spark, sf):
+    return M.top_types(clean_a(spark, sf), None, SLA, 10, open_tickets="breached")
+
+
+def q_seasonality_open_met(spark, sf):
+    return M.seasonality(clean_a(spark, sf), None, SLA, open_tickets="met")
+
+
 def q_seasonality(spark, sf):
     return M.seasonality(clean_a(spark, sf), None, SLA)
 
@@ -176,6 +184,13 @@ def q_serve_top_types_dated(spark, sf):
                              summary_sla_hours=SLA)
 
 
+def q_serve_top_types_breached(spark, sf):
+    s = _summaries(spark, sf)
+    return V.serve_top_types(None, TicketFilter(complaint_types=("view 0", "view 1", "click 2",
+                                                                 "error 3", "signup 0")),
+                             SLA, 3, open_tickets="breached", summaries=s, summary_sla_hours=SLA)
+
+
 def q_serve_seasonality(spark, sf):
     s = _summaries(spark, sf)
     return V.serve_seasonality(None, None, SLA, summaries=s, summary_sla_hours=SLA).select(
