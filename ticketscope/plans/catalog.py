@@ -357,7 +357,7 @@ def q_view_csv_roundtrip(spark, sf):
     out = scratch_dir(spark, "view-csv")
     cols = ["unique_key", "created_dt", "borough", "complaint_type", "response_hours", "within_sla"]
     view = SP.sample_view(clean_a(spark, sf), DEMO_FILTER, limit=1200)
-    path = CSV.write_view_csv(view, out, "nyc_current_view", cols)
+    path = CSV.write_view_csv(view, out, "current_view", cols)
     return CSV.read_csv(spark, path, view.select(*cols).schema)
 
 
