@@ -113,3 +113,14 @@ def test_approx_median_is_close(spark):
                                                       strategy="approx").collect()}
     rng = df.where(F.col("k") == "hot").agg(F.max("v") - F.min("v")).first()[0]
     assert abs(approx["hot"] - exact["hot"]) <= rng * 0.01
+
+
+def test_raw_window_is_a_superset_of_the_local_filter(spark):
+    raw = edge_raw(spark)
+    for flt in (TicketFilter(start="2024-01-15", end="2024-01-15"),
+                TicketFilter(start="2024-01-16"), TicketFilter(end="2024-01-12")):
+        narrowed = flt.apply(clean(raw.where(flt.raw_predicate())))
+        full = flt.apply(clean(raw))
+        assert sorted(r.unique_key for r in narrowed.collect()) == \
+            sorted(r.unique_key for r in full.collect())
+    assert TicketFilter(boroughs=["X"]).raw_predicate() is None

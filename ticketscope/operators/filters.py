@@ -71,6 +71,24 @@ class TicketFilter:
             parts.append(ym <= self.end.year * 100 + self.end.month)
         return _and(parts)
 
+    def raw_predicate(self, col: str = "created_date", max_offset_hours: int = 26) -> Column | None:
+        """A superset of the date range on the raw (source-zone) creation time.
+
+        Local and source wall clocks differ by less than ``max_offset_hours``, so
+        widening the window by that much on both sides keeps every matching ticket.
+        Applied before cleaning it reaches the raw Parquet scan (row-group skipping);
+        the exact local-time filter still runs after cleaning.
+        """
+        ts = F.col(col)
+        pad = dt.timedelta(hours=max_offset_hours)
+        parts = []
+        if self.start is not None:
+            parts.append(ts >= ntz_literal(dt.datetime.combine(self.start, dt.time()) - pad))
+        if self.end is not None:
+            parts.append(ts < ntz_literal(dt.datetime.combine(self.end + dt.timedelta(days=1),
+                                                              dt.time()) + pad))
+        return _and(parts)
+
     def predicate(self, partitioned: bool = False) -> Column | None:
         parts = [self.date_predicate()]
         if self.boroughs:
