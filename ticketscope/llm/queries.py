@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ticketscope.llm import (decontaminate, line_dedup, mixing, quality_model, quality_rules, simhash, token_store, toxicity,
                              url_filter, warc)
 from ticketscope.llm.common import read_table
+from ticketscope.llm.oracles import ORACLES  # noqa: F401  for the driver
 from ticketscope.session import ensure_checkpoint_dir, scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
