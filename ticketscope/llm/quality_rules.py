@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +35,15 @@ LEAST = 1e-4  # smaller rates share one bucket
 MIN_DOCS = 200
 REACH = 4.0
 
-#: rate -> (numerator, denominator, least spread, lower fence too)
+#: rate -> (numerator, denominator, added to the denominator, least spread, lower fence too).
+#: What is added keeps a single odd line or word of a short text from making a rate high.
 RATES = {
-    "symbols_per_word": ("n_symbols", "n_words", 0.04, False),
-    "dup_lines_per_line": ("n_dup_lines", "n_lines", 0.06, False),
-    "repeats_per_word": ("n_repeat_words", "n_words", 0.05, False),
-    "chars_per_word": ("word_chars", "n_words", 0.4, True),
-    "shouts_per_word": ("n_shouts", "n_words", 0.06, False),
-    "marks_per_word": ("n_marks", "n_words", 0.06, False),
+    "symbols_per_word": ("n_symbols", "n_words", 20, 0.04, False),
+    "dup_lines_per_line": ("n_dup_lines", "n_lines", 15, 0.03, False),
+    "repeats_per_word": ("n_repeat_words", "n_words", 100, 0.05, False),
+    "chars_per_word": ("word_chars", "n_words", 0, 0.4, True),
+    "shouts_per_word": ("n_shouts", "n_words", 20, 0.06, False),
+    "marks_per_word": ("n_marks", "n_words", 20, 0.06, False),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_shouts", "n_marks"]
@@ -114,8 +114,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _rate(name: str):
-    top, bottom, *_ = RATES[name]
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+    top, bottom, more, *_ = RATES[name]
+    return F.when(F.col(bottom) > 0, F.col(top) / (F.col(bottom) + more)).otherwise(F.lit(0.0))
 
 
 _LOG_STEP = math.log((1 + ACCURACY) / (1 - ACCURACY))
@@ -150,36 +150,43 @@ def quantiles(sketches: DataFrame, by: list[str], shares: dict[str, float]) -> D
                    for name, share in shares.items())))
 
 
-def _fences(sketches: DataFrame, by: list[str], reach: float, name: str) -> DataFrame:
-    """Per group: its rows, and a map from rate to (low, high)."""
-    spread = reduce(lambda c, n: c.when(F.col("rate") == n, RATES[n][2]),
-                    list(RATES)[1:], F.when(F.col("rate") == next(iter(RATES)), RATES[next(iter(RATES))][2]))
-    both = F.col("rate").isin([n for n in RATES if RATES[n][3]])
+def fences(sketches: DataFrame, by: list[str], reach: float = REACH) -> DataFrame:
+    """Per group: its `rows`, and `fences`, a map from rate to (low, high)."""
+    least = F.create_map(*(F.lit(x) for n, r in RATES.items() for x in (n, r[3])))
+    both = F.col("rate").isin([n for n, r in RATES.items() if r[4]])
     q = quantiles(sketches, by, {"q1": 0.25, "q3": 0.75}).withColumn(
-        "wide", reach * F.greatest(F.col("q3") - F.col("q1"), spread))
+        "wide", reach * F.greatest(F.col("q3") - F.col("q1"), least[F.col("rate")]))
     fence = F.struct(F.when(both, F.col("q1") - F.col("wide")).otherwise(F.lit(-1.0)).alias("low"),
                      (F.col("q3") + F.col("wide")).alias("high"))
-    return q.groupBy(*by).agg(
-        F.max("rows").alias(f"{name}_rows"),
-        F.map_from_entries(F.collect_list(F.struct("rate", fence))).alias(name))
+    return q.groupBy(*by).agg(F.max("rows").alias("rows"),
+                              F.map_from_entries(F.collect_list(F.struct("rate", fence))).alias("fences"))
+
+
+#: From fine to coarse: which of lang and source name a group.
+LEVELS = (("source", True, True), ("lang", True, False), ("all", False, False))
+
+
+def _with_levels(rows: DataFrame) -> DataFrame:
+    """Each row once per level, with the level's keys (null where the level has none)."""
+    none = F.lit(None).cast("string")
+    keys = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(n).alias("level"), (F.col("lang") if lang else none).alias("l"),
+                              (F.col("source") if source else none).alias("s")) for i, (n, lang, source) in enumerate(LEVELS)))
+    return rows.select("*", F.inline(keys))
 
 
 def thresholds(rows: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
     """(lang, source, level, fences): one row per lang and source, with the fences of the finest
-    level of at least `min_docs` rows."""
+    level of at least `min_docs` rows, or else of all rows."""
     own = store(sketch(rows), "quality-sketch")
-    lang = merge(own, ["lang"])
-    fine = _fences(own, ["lang", "source"], reach, "own")
-    mid = _fences(lang, ["lang"], reach, "by_lang").withColumnRenamed("lang", "of_lang")
-    top = _fences(merge(lang.withColumn("g", F.lit(0)), ["g"]), ["g"], reach, "by_all")
-    joined = (fine.join(mid, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-              .withColumn("g", F.lit(0)).join(top, "g", "left"))
-    finest = (F.when(F.col("own_rows") >= min_docs, F.lit("source"))
-              .when(F.col("by_lang_rows") >= min_docs, F.lit("lang")).otherwise(F.lit("all")))
-    return joined.withColumn("level", finest).select(
-        "lang", "source", "level",
-        F.when(F.col("level") == "source", F.col("own")).when(F.col("level") == "lang", F.col("by_lang"))
-        .otherwise(F.col("by_all")).alias("fences"))
+    merged = merge(_with_levels(own), ["level", "l", "s"])
+    known = fences(merged, ["level", "l", "s"], reach).withColumnsRenamed({"level": "of_level", "l": "of_l", "s": "of_s"})
+    groups = _with_levels(own.select("lang", "source").distinct())
+    joined = groups.join(known, (F.col("level") == F.col("of_level")) & F.col("l").eqNullSafe(F.col("of_l"))
+                         & F.col("s").eqNullSafe(F.col("of_s")))
+    fit = (F.col("rows") >= min_docs) | (F.col("level") == LEVELS[-1][0])
+    return (joined.filter(fit).groupBy("lang", "source")
+            .agg(F.min_by(F.struct("level", "fences"), "rank").alias("finest"))
+            .select("lang", "source", "finest.level", "finest.fences"))
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
