@@ -3,13 +3,13 @@
 Each SQL text runs on the driver's pre-registered views (``events``,
 ``region``, ``orders``, ``lineitem``, …). The driver tables are first mapped to
 raw tickets with the same fixture text as ``ticketscope.sources.fixtures``, then
-cleaned with plain SQL, then queried.
+cleaned with plain SQL, then queried. Nothing here is imported from the engine.
 """
 
 from __future__ import annotations
 
-from ticketscope.functions.holidays import rules_for
-from ticketscope.functions.text import STRIP_PATTERN, WORD_PATTERN
+import calendar
+import datetime as dt
 
 SLA = 24
 
@@ -40,51 +40,49 @@ select concat(cast(o_orderkey as string), '-', cast(l_linenumber as string)) as
 from orders join lineitem on o_orderkey = l_orderkey
 """
 
-# DuckDB's RE2 has no \p{IsUppercase}; the general categories give the same words
-# on these tables.
-_WORD_RE2 = WORD_PATTERN.replace(r"\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}",
-                                 r"\p{Lu}\p{Ll}\p{Lt}")
-assert _WORD_RE2 != WORD_PATTERN
+# White space as Python's str.strip() sees it, and words as runs of cased letters, in RE2's terms.
+_BLANK = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+_WORDS = r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace(cast({x} as varchar), '{STRIP_PATTERN}', '', 'g')"
+    return f"regexp_replace(cast({x} as varchar), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 
 
 def title_sql(x: str) -> str:
-    return (f"array_to_string(list_transform(regexp_extract_all({x}, '{_WORD_RE2}'), "
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '{_WORDS}'), "
             f"lambda w: upper(w[1]) || lower(w[2:])), '')")
 
 
-def _rule_date_sql(rule, y: str) -> str:
-    if rule.kind == "fixed":
-        return f"make_date({y}, {rule.month}, {rule.day})"
-    iso = {"Mon": 1, "Tue": 2, "Wed": 3, "Thu": 4, "Fri": 5, "Sat": 6, "Sun": 7}[rule.weekday]
-    if rule.name == "Election Day":
-        first = f"make_date({y}, 11, 1)"
-        return f"({first} + cast((1 - isodow({first}) + 7) % 7 + 1 as integer))"
-    if rule.n == -1:
-        last = f"last_day(make_date({y}, {rule.month}, 1))"
-        return f"({last} - cast((isodow({last}) - {iso} + 7) % 7 as integer))"
-    first = f"make_date({y}, {rule.month}, 1)"
-    return f"({first} + cast(({iso} - isodow({first}) + 7) % 7 + {7 * (rule.n - 1)} as integer))"
+def _weekday_of(year: int, month: int, weekday: int, n: int) -> dt.date:
+    """The n-th weekday (Monday 0) of a month; n = -1 is the last."""
+    days = [dt.date(year, month, d) for d in range(1, calendar.monthrange(year, month)[1] + 1)]
+    return [d for d in days if d.weekday() == weekday][n - 1 if n > 0 else n]
 
 
-def _observed_sql(d: str) -> str:
-    return (f"case isodow({d}) when 6 then {d} - 1 when 7 then {d} + 1 end")
+def holidays_between(first: int, last: int) -> list[dt.date]:
+    """The days off of the New York calendar, from Python's own calendar (years from 1986 on)."""
+    out = set()
+    for y in range(first, last + 2):
+        moved = [dt.date(y, 1, 1), dt.date(y, 7, 4), dt.date(y, 11, 11), dt.date(y, 12, 25)]
+        if y >= 2021:
+            moved.append(dt.date(y, 6, 19))
+        for d in moved:  # also kept on the Friday before or the Monday after
+            out |= {d, d - dt.timedelta(days=1) if d.weekday() == 5 else d + dt.timedelta(days=1) if d.weekday() == 6 else d}
+        out |= {_weekday_of(y, 1, 0, 3), _weekday_of(y, 2, 0, 3), _weekday_of(y, 5, 0, -1), _weekday_of(y, 9, 0, 1),
+                _weekday_of(y, 10, 0, 2), _weekday_of(y, 11, 3, 4), dt.date(y, 2, 12)}
+        if y >= 2004:
+            out.add(dt.date(y, 2, 15))
+        if y >= 2015:
+            out.add(_weekday_of(y, 11, 0, 1) + dt.timedelta(days=1))
+    return sorted(d for d in out if first <= d.year <= last)
 
 
-def holiday_sql(d: str, region: str = "NY") -> str:
-    y = f"year({d})"
-    items = []
-    for r in rules_for(region):
-        rd = _rule_date_sql(r, y)
-        items.append(f"case when {y} >= {r.since} then {rd} end")
-        if r.observed:
-            items.append(f"case when {y} >= {r.since} then {_observed_sql(rd)} end")
-    nxt = f"make_date({y} + 1, 1, 1)"
-    items.append(f"case when isodow({nxt}) = 6 then {nxt} - 1 end")
-    return f"coalesce(list_contains([{', '.join(items)}], {d}), false)"
+_DAYS_OFF = ", ".join(f"'{d}'" for d in holidays_between(1986, 2030))
+
+
+def holiday_sql(d: str) -> str:
+    return f"coalesce(list_contains(cast([{_DAYS_OFF}] as date[]), {d}), false)"
 
 
 ALL_RAW = ["unique_key", "created_date", "closed_date", "resolution_action_updated_date",
@@ -210,15 +208,31 @@ from span, generate_series(make_date(first_year, 1, 1), make_date(last_year, 12,
 where {holiday_sql('cast(d as date)')}"""
 
 
-def _type_breaches() -> str:
+def _type_breaches(key: str = "unique_key") -> str:
     late = "sum(case when within_sla then 0 else 1 end)"
-    return q(f"""select complaint_type, count(unique_key)::bigint as tickets,
+    return q(f"""select complaint_type, count({key})::bigint as tickets,
                  {late}::bigint as breaches,
-                 round_even(cast({late} as double) / count(unique_key) * 100.0::double, 2)
+                 round_even(cast({late} as double) / nullif(count({key}), 0) * 100.0::double, 2)
                    as breach_rate
                  from clean_t where {RH} is not null group by complaint_type""")
 
 
+def _rank(body: str, order: str, columns: str, limit: int | None = None) -> str:
+    """The place of every row in the stated order."""
+    cut = f"where rank <= {limit}" if limit else ""
+    return f"""select * from (select cast(row_number() over (order by {order}) as integer) as rank, {columns}
+               from ({body})) {cut}"""
+
+
+# Every fourth ticket 400 days older.
+LATE_A = "with " + clean_sql(f"""
+select * replace (created_date - to_days(cast(case when cast(unique_key as bigint) % 4 = 0 then 400 else 0 end as integer)) as created_date,
+  closed_date - to_days(cast(case when cast(unique_key as bigint) % 4 = 0 then 400 else 0 end as integer)) as closed_date,
+  resolution_action_updated_date - to_days(cast(case when cast(unique_key as bigint) % 4 = 0 then 400 else 0 end as integer))
+    as resolution_action_updated_date)
+from ({RAW_A})""") + " select * from clean_t"
+
+
 def oracles() -> dict[str, str]:
     s = float(SLA)
     within = f"case when {RH} <= {s} then 1 else 0 end"
@@ -278,8 +292,8 @@ def oracles() -> dict[str, str]:
             f"{resolved} and created_dt >= timestamp '2024-01-08 00:00:00' "
             f"and created_dt < timestamp '2024-01-15 00:00:00'", late, 10),
         "serve_seasonality": q(f"""select dow_name, hour, count(*)::bigint as tickets,
-                 avg({late}) as breach_rate from clean_t where {resolved}
-                 group by dow_name, hour"""),
+                 avg({late}) as breach_rate, median({RH}) as median_response, true as median_exact
+                 from clean_t where {resolved} group by dow_name, hour"""),
         "daily_trend": q(f"""select date, count(*)::bigint as tickets,
                  cast(count_if({RH} <= {s}) as double) / count(*) as pct_within
                  from clean_t where borough in ('AMERICA') group by date"""),
@@ -325,19 +339,32 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
                  select count(*)::bigint as rows_in_window, count(*)::bigint as rows_to_fetch,
                  cast(ceil(count(*) / 1000.0) as bigint) as pages
                  from raw_t where {WINDOW_WHERE}""",
-        "raw_roundtrip": f"""with raw_t as ({RAW_A}) select {RAW_COLS} from raw_t
-                 where created_date >= timestamp '2023-12-01'
-                 and created_date < timestamp '2024-03-01'""",
-        "raw_union_missing_columns": f"""with raw_t as ({RAW_A})
+        "extract_dry_run": f"""with raw_t as ({RAW_A})
+                 select count(*)::bigint as rows_in_window, count(*)::bigint as rows_to_fetch,
+                 cast(ceil(count(*) / 700.0) as bigint) as pages, 'out/since=2024-01-10' as folder
+                 from raw_t where {WINDOW_WHERE}""",
+        "raw_roundtrip": f"with raw_t as ({RAW_A}) select {RAW_COLS} from raw_t",
+        "raw_union_missing_columns": f"""with raw_t as ({RAW_A}),
+                 split_t as (select *, cast(unique_key as bigint) % 2 = 0 as whole from raw_t)
                  select unique_key, created_date, closed_date,
-                   case when created_date < timestamp '2024-01-16'
-                        then resolution_action_updated_date end as resolution_action_updated_date,
-                   case when created_date < timestamp '2024-01-16' then agency end as agency,
+                   case when whole then resolution_action_updated_date end as resolution_action_updated_date,
+                   case when whole then agency end as agency,
                    complaint_type, descriptor, status, borough, incident_zip,
-                   case when created_date < timestamp '2024-01-16' then city end as city,
+                   case when whole then city end as city,
                    open_data_channel_type, latitude, longitude
-                 from raw_t where created_date >= timestamp '2024-01-01'
-                 and created_date < timestamp '2024-03-01'""",
+                 from split_t""",
+        "raw_folder_mixed_files": f"""with raw_t as ({RAW_A}),
+                 four_t as (select *, cast(unique_key as bigint) % 4 as part, cast(unique_key as bigint) as id from raw_t)
+                 select unique_key,
+                   case when part = 3 and id % 7 = 3 then null else created_date end as created_date, closed_date,
+                   case when part <> 1 then resolution_action_updated_date end as resolution_action_updated_date,
+                   case when part <> 1 then agency end as agency, case when part <> 1 then complaint_type end as complaint_type,
+                   case when part <> 1 then descriptor end as descriptor, case when part <> 1 then status end as status, borough,
+                   case when part <> 1 then incident_zip end as incident_zip, case when part <> 1 then city end as city,
+                   case when part <> 1 then open_data_channel_type end as open_data_channel_type,
+                   case when part = 3 and id % 9 = 4 then null else latitude end as latitude,
+                   case when part <> 1 then longitude end as longitude
+                 from four_t""",
         "clean_roundtrip": qb("""select * exclude (month), cast(year(created_dt) as integer) as year,
                  cast(month(created_dt) as integer) as month from clean_t"""),
         "partition_pruned_scan": qb(f"""select unique_key, created_dt, {RH},
@@ -346,7 +373,38 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
                  from clean_t where created_dt >= timestamp '1996-03-01 00:00:00'
                  and created_dt < timestamp '1996-07-01 00:00:00'"""),
         "summaries_roundtrip": daily,
+        "summaries_roundtrip_types": q(f"""select complaint_type, borough, count(*)::bigint as tickets,
+                 coalesce(cast(count(*) - count_if({RH} <= {s}) as double)
+                          / nullif(count(*), 0), 0.0) as breach_rate
+                 from clean_t where created_dt is not null group by complaint_type, borough"""),
+        "summaries_roundtrip_dow_hour": q(f"""select dow_name, hour, borough, complaint_type,
+                 count(*)::bigint as tickets, avg({late}) as breach_rate, median({RH}) as median_response
+                 from clean_t where created_dt is not null
+                 group by dow_name, hour, borough, complaint_type"""),
+        "clean_single_roundtrip": qb("select * from clean_t"),
         "incremental_clean": q("select * from clean_t"),
+        "incremental_late_pages": LATE_A,
+        "rebuild_drops_months": q("select unique_key, created_dt from clean_t where cast(unique_key as bigint) % 4 <> 0"),
+        "local_time_zoned": q(f"select unique_key, created_dt, hour, {RH} from clean_t"),
+        "clipped_rates": qb(f"select unique_key, greatest(0.0, least(1.0, {RH} / 2400.0::double)) as clipped from clean_t"),
+        "holiday_user_table": qb(f"""select distinct date, is_holiday or dayofmonth(date) = 1 as is_holiday from clean_t"""),
+        "export_type_breaches_null_keys": _type_breaches(
+            "case when not starts_with(complaint_type, 'error') then unique_key end"),
+        "sample_columns": q("select unique_key, borough, hour from clean_t"),
+        "random_sample": q("select * from clean_t order by md5('7:' || unique_key), unique_key limit 500"),
+        "sample_roundtrip": q("select * from clean_t order by md5('11:' || unique_key), unique_key limit 700"),
+        "order_top_types": _rank(q("""select complaint_type, count(*) as tickets from clean_t group by complaint_type"""),
+                                 "tickets desc, complaint_type nulls last", "complaint_type", 10),
+        "order_seasonality": _rank(q(f"select distinct dow_name, hour, day_of_week from clean_t where {resolved}"),
+                                   "day_of_week, hour", "dow_name, hour"),
+        "order_by_weekday": _rank(q(f"select distinct dow_name, day_of_week from clean_t where {resolved}"),
+                                  "day_of_week", "dow_name"),
+        "order_export_days": _rank(q(f"select distinct date, borough from clean_t where {resolved}"),
+                                   "date nulls last, borough nulls last", "date, borough"),
+        "order_sample_view": _rank(q(f"select unique_key, created_dt from clean_t where {DEMO_WHERE}"),
+                                   "created_dt nulls last, unique_key nulls last", "unique_key", 1200),
+        "order_extract_limited": _rank(f"with raw_t as ({RAW_A}) select unique_key, created_date from raw_t where {WINDOW_WHERE}",
+                                       "created_date, unique_key", "unique_key", 500),
         "view_csv_roundtrip": q(f"""select unique_key, created_dt, borough, complaint_type, {RH},
                  within_sla from clean_t where {DEMO_WHERE}
                  order by created_dt asc nulls last, unique_key asc nulls last limit 1200"""),

@@ -7,7 +7,7 @@ from helpers import edge_raw
 from ticketscope.operators import metrics as M
 from ticketscope.operators.clean import clean
 from ticketscope.operators.filters import TicketFilter
-from ticketscope.operators.median import aggregate_with_median, exact_median_selection
+from ticketscope.operators.median import aggregate_with_median
 
 
 def cleaned(spark):
@@ -71,12 +71,11 @@ def _skewed(spark, n_hot=60000):
     return hot.unionByName(ties).unionByName(small).unionByName(nulls)
 
 
-def test_selection_median_equals_inline_and_numpy(spark):
+def test_exact_median_equals_inline_and_numpy(spark):
     df = _skewed(spark)
     inline = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
-    sel = {r.k: r.m for r in exact_median_selection(df, ["k"], F.col("v"), "m", buckets=16,
-                                                    final_max_rows=500).collect()}
-    assert sel.pop("allnull", None) is None and inline.pop("allnull") is None
+    sel = {r.k: r.m for r in aggregate_with_median(df, ["k"], [], "v", "m", accuracy=300).collect()}
+    assert sel.pop("allnull") is None and inline.pop("allnull") is None
     assert sel == inline
     pdf = df.toPandas()
     for k, g in pdf.groupby("k", dropna=False):
@@ -86,31 +85,33 @@ def test_selection_median_equals_inline_and_numpy(spark):
         assert math.isclose(inline[key], float(np.median(g["v"])), rel_tol=0, abs_tol=1e-12)
 
 
-def test_selection_global_median_even_count(spark):
+def test_global_median_even_count(spark):
     df = spark.range(10000).select((F.col("id") % 997 * 0.25).alias("v"))
-    got = aggregate_with_median(df, [], [F.count(F.lit(1)).alias("n")], "v", "m",
-                                strategy="selection").first()
+    got = aggregate_with_median(df, [], [F.count(F.lit(1)).alias("n")], "v", "m").first()
     exp = df.agg(F.median("v").alias("m")).first().m
     assert got.n == 10000 and got.m == exp
 
 
-def test_auto_strategy_switches_on_group_size(spark):
-    from ticketscope.operators.median import choose_strategy
-    df = _skewed(spark)
-    assert choose_strategy(df, ["k"], F.col("v"), inline_max_rows=100000) == "inline"
-    assert choose_strategy(df, ["k"], F.col("v"), inline_max_rows=1000) == "split"
-    assert choose_strategy(df, [], F.col("v"), inline_max_rows=1000) == "selection"
-    out = aggregate_with_median(df, ["k"], [F.count(F.lit(1)).alias("n")], "v", "m",
-                                inline_max_rows=1000)
+def test_exact_median_of_groups_larger_than_the_sketch(spark):
+    """200,000 values a group: the bracket is narrower than the group, the result still exact."""
+    df = spark.range(400_000).select((F.col("id") % 2).alias("k"), F.rand(3).alias("v"))
+    got = aggregate_with_median(df, ["k"], [F.count(F.lit(1)).alias("n")], "v", "m", accuracy=500)
     ref = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("v").alias("m"))
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_export_type_breaches_of_null_keys(spark):
+    from ticketscope.operators.exports import export_type_breaches
+    df = spark.createDataFrame([(None, "a", 1.0, False), (None, "a", 2.0, True)],
+                               "unique_key string, complaint_type string, response_hours double, within_sla boolean")
+    assert tuple(export_type_breaches(df).first()) == ("a", 0, 1, None)
 
 
 def test_approx_median_is_close(spark):
     df = _skewed(spark)
     exact = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     approx = {r.k: r.m for r in aggregate_with_median(df, ["k"], [], "v", "m",
-                                                      strategy="approx").collect()}
+                                                      method="approx").collect()}
     rng = df.where(F.col("k") == "hot").agg(F.max("v") - F.min("v")).first()[0]
     assert abs(approx["hot"] - exact["hot"]) <= rng * 0.01
 

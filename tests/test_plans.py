@@ -28,7 +28,7 @@ def test_clean_table_scan_pushes_filters_and_prunes_columns(spark, tmp_dir):
     ST.write_clean(clean(FX.raw_tickets_a(spark, SF001)), tmp_dir)
     df = ST.read_clean(spark, tmp_dir)
     flt = TicketFilter(start=dt.date(2024, 1, 5), end=dt.date(2024, 1, 9), boroughs=["ASIA"])
-    p = plan_of(M.kpi(df, flt, median_strategy="inline"))
+    p = plan_of(M.kpi(df, flt, median_method="inline"))
     assert "GreaterThanOrEqual(created_dt,2024-01-05T00:00)" in p
     assert "LessThan(created_dt,2024-01-10T00:00)" in p
     assert "EqualTo(borough,ASIA)" in p or "In(borough, [ASIA])" in p

@@ -55,10 +55,24 @@ def test_random_sample_is_uniform_size_and_repeatable(spark):
     assert SP.random_sample(c, n=10 ** 6).count() == c.count()     # fewer rows than n: all
 
 
-def test_ordered_prefix_large_path_is_exact(spark):
+def test_random_sample_ignores_the_file_layout(spark):
     c = clean(FX.raw_tickets_a(spark, SF001))
-    order = ["created_dt", "unique_key"]
+    a = {r.unique_key for r in SP.random_sample(c, n=100, seed=3).collect()}
+    assert a == {r.unique_key for r in SP.random_sample(c.repartition(13), n=100, seed=3).collect()}
+    assert a != {r.unique_key for r in SP.random_sample(c, n=100, seed=4).collect()}
+
+
+def test_first_rows_is_exact(spark):
+    c = clean(FX.raw_tickets_a(spark, SF001))
+    c = c.withColumn("created_dt", F.when(F.col("unique_key").cast("int") % 9 > 0, F.col("created_dt")))
+    order = [F.col("created_dt").asc_nulls_last(), F.col("unique_key")]
     for n in (1, 137, 500, 999, 5000):
-        got = [r.unique_key for r in SP.ordered_prefix(c, n, order, single_task_rows=10).collect()]
-        exp = [r.unique_key for r in c.orderBy(*order).limit(n).collect()]
-        assert got == exp, n
+        got = [r.unique_key for r in SP.first_rows(c, n, F.to_date("created_dt"), order).collect()]
+        assert got == [r.unique_key for r in c.orderBy(*order).limit(n).collect()], n
+
+
+def test_sample_sink(spark, tmp_dir):
+    from ticketscope.sources import storage as ST
+    ST.write_clean_partitioned(clean(FX.raw_tickets_a(spark, SF001)), f"{tmp_dir}/{ST.PARTITIONED}")
+    SP.write_sample(spark, tmp_dir, f"{tmp_dir}/sample", n=50)
+    assert spark.read.parquet(f"{tmp_dir}/sample").count() == 50

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from ticketscope.operators.filters import TicketFilter
 from ticketscope.session import ensure_checkpoint_dir, scratch_dir
 
@@ -10,7 +12,25 @@ def test_checkpoint_folder_is_read_from_the_session_not_replaced(spark):
     assert ensure_checkpoint_dir(spark) == before
     assert spark.sparkContext.getCheckpointDir() == before
     path = scratch_dir(spark, "t")
-    assert path.startswith(before.replace("file:", "")) and "/tables/t-" in path
+    assert path.startswith(before) and "/tables/t-" in path
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
 
 
 def test_partition_bounds_cover_whole_months():

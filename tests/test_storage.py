@@ -37,16 +37,20 @@ def test_extract_limit_writes_pages_of_page_size(spark, tmp_dir):
         sorted(r[0] for r in first.collect())
 
 
-def test_same_window_twice_is_an_error(spark, tmp_dir):
-    raw = E.extract(FX.raw_tickets_a(spark, SF001), "2024-01-01", "2024-01-02")
-    E.write_raw(raw, tmp_dir, dt.date(2024, 1, 1))
-    with pytest.raises(Exception):
-        E.write_raw(raw, tmp_dir, dt.date(2024, 1, 1))
+def test_a_window_run_again_replaces_its_pages_only(spark, tmp_dir):
+    raw = FX.raw_tickets_a(spark, SF001)
+    E.write_raw(E.extract(raw, "2024-01-10", "2024-01-12"), tmp_dir, dt.date(2024, 1, 10))
+    E.write_raw(E.extract(raw, "2024-01-01", "2024-01-02"), tmp_dir, dt.date(2024, 1, 1))
+    E.write_raw(E.extract(raw, "2024-01-01", "2024-01-05"), tmp_dir, dt.date(2024, 1, 1))
+    want = E.extract(raw, "2024-01-10", "2024-01-12").count() + E.extract(raw, "2024-01-01", "2024-01-05").count()
+    assert E.read_raw(spark, tmp_dir).count() == want
 
 
-def test_dry_run_writes_nothing(spark, tmp_dir):
-    raw = E.extract(FX.raw_tickets_a(spark, SF001), "2024-01-01", "2024-01-02")
-    E.write_raw(raw, tmp_dir, dt.date(2024, 1, 1), dry_run=True)
+def test_dry_run_reports_and_writes_nothing(spark, tmp_dir):
+    raw = FX.raw_tickets_a(spark, SF001)
+    r = E.dry_run(raw, tmp_dir, "2024-01-01", "2024-01-02", page_size=10).first()
+    assert r.rows_in_window == E.extract(raw, "2024-01-01", "2024-01-02").count()
+    assert r.pages == -(-r.rows_in_window // 10) and r.folder.endswith("since=2024-01-01")
     assert not os.listdir(tmp_dir)
 
 
@@ -72,7 +76,7 @@ def test_extract_plan_pages(spark):
     r = E.extract_plan(raw, "2024-01-01", "2024-01-31", page_size=123).first()
     assert r.rows_in_window == raw.count() and r.pages == -(-r.rows_in_window // 123)
     r2 = E.extract_plan(raw, "2024-01-01", "2024-01-31", page_size=123, limit=5).first()
-    assert (r2.rows_to_fetch, r2.pages) == (5, 1)
+    assert (r2.rows_in_window, r2.rows_to_fetch, r2.pages) == (None, 5, 1)     # nothing is counted
 
 
 def test_foreign_pages_with_null_typed_and_missing_columns(spark, tmp_dir):
@@ -87,7 +91,7 @@ def test_foreign_pages_with_null_typed_and_missing_columns(spark, tmp_dir):
     pq.write_table(pa.table({
         "unique_key": ["k2"], "created_date": pa.array([pd.Timestamp("2025-01-02")], pa.timestamp("us")),
         "city": ["queens"], "borough": ["QUEENS"], "latitude": [40.5]}), os.path.join(b, "p1.parquet"))
-    df = E.read_raw_mixed(spark, [a, b])
+    df = E.read_raw_mixed(spark, a, b)
     assert df.count() == 2
     got = {r.unique_key: r for r in df.collect()}
     assert got["k1"].city is None and got["k1"].latitude == 40.0 and got["k1"].borough is None
@@ -144,8 +148,8 @@ def test_summaries_and_csv_roundtrip(spark, tmp_dir):
     got = SIO.read_summaries(spark, tmp_dir)
     assert set(got) == {"daily"} and got["daily"].count() == daily.count()
     ex = EX.export_type_breaches(c)
-    path = CSV.write_csv(ex, tmp_dir, "complaint_type_breach_rates")
-    assert os.path.basename(path).startswith("complaint_type_breach_rates_")
+    path = CSV.write_csv(ex, tmp_dir, "type_breaches")
+    assert os.path.basename(path).startswith("type_breaches_")
     assert len(glob.glob(os.path.join(path, "*.csv"))) == 1
     back = CSV.read_csv(spark, path, ex.schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, ex.collect()), key=str)
@@ -164,7 +168,33 @@ def test_foreign_pages_with_nanosecond_and_zoned_timestamps(spark, tmp_dir):
         "created_date": pa.array([pd.Timestamp("2025-01-01 10:00:00", tz="America/New_York")],
                                  pa.timestamp("us", tz="America/New_York"))}),
         os.path.join(b, "p.parquet"))
-    got = {r.unique_key: r.created_date for r in E.read_raw_mixed(spark, [a, b]).collect()}
+    got = {r.unique_key: r.created_date for r in E.read_raw_mixed(spark, a, b).collect()}
     assert got["n1"] == dt.datetime(2025, 1, 1, 10, 0, 0, 123456)
     assert got["n2"] is None
     assert got["z1"] == dt.datetime(2025, 1, 1, 15, 0, 0)          # the instant's UTC wall clock
+
+
+def test_one_folder_of_files_with_different_columns(spark, tmp_dir):
+    """A file lacks columns that another has: nothing is dropped, and whole microseconds stay whole."""
+    times = [pd.Timestamp("1969-12-31 23:59:59.999999") + pd.Timedelta(microseconds=997 * i) for i in range(500)]
+    pq.write_table(pa.table({"unique_key": ["a"], "created_date": ["2025-01-01T10:00:00"]}), os.path.join(tmp_dir, "a.parquet"))
+    pq.write_table(pa.table({"unique_key": [f"b{i}" for i in range(500)], "created_date": pa.array(times, pa.timestamp("ns")),
+                             "borough": ["BRONX"] * 500, "city": pa.array(["NYC"] * 500).dictionary_encode(),
+                             "incident_zip": [10001] * 500, "other": [1] * 500}),
+                   os.path.join(tmp_dir, "b.parquet"), version="2.6")
+    got = {r.unique_key: r for r in E.read_raw_mixed(spark, tmp_dir).collect()}
+    assert got["a"].created_date == dt.datetime(2025, 1, 1, 10) and got["a"].borough is None
+    assert all(got[f"b{i}"].created_date == t.to_pydatetime() for i, t in enumerate(times))
+    assert {(r.borough, r.city, r.incident_zip) for k, r in got.items() if k != "a"} == {("BRONX", "NYC", "10001")}
+
+
+def test_replace_dir_swaps(spark, tmp_dir):
+    from ticketscope.sources import files
+    for name in ("old", "new"):
+        os.makedirs(f"{tmp_dir}/{name}")
+        open(f"{tmp_dir}/{name}/{name}.txt", "w").close()
+    files.replace_dir(spark, f"{tmp_dir}/new", f"{tmp_dir}/old")
+    assert os.listdir(tmp_dir) == ["old"] and os.listdir(f"{tmp_dir}/old") == ["new.txt"]
+    with pytest.raises(OSError):
+        files.replace_dir(spark, f"{tmp_dir}/missing", f"{tmp_dir}/old")
+    assert os.listdir(f"{tmp_dir}/old") == ["new.txt"]          # a failed move leaves the table

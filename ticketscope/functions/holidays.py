@@ -139,17 +139,25 @@ def is_holiday(date_col: str, region: str | None = "NY") -> Column:
 
 def holiday_calendar(spark: SparkSession, first_year: int, last_year: int,
                      region: str | None = "NY", extra: DataFrame | None = None) -> DataFrame:
-    """``(date, name)`` for the years ``first_year..last_year``, unique on date.
+    """``(date, name)`` for the years ``first_year..last_year``, unique on date."""
+    return calendar_of(spark.range(1).select(F.lit(first_year).alias("first_year"), F.lit(last_year).alias("last_year")),
+                       region, extra)
+
+
+def calendar_of(span: DataFrame, region: str | None = "NY", extra: DataFrame | None = None) -> DataFrame:
+    """``(date, name)`` for the years of ``span`` (one row: ``first_year``, ``last_year``, such as
+    ``metrics.year_range`` of a table), unique on date. Lazy.
 
     ``extra`` is an optional user table ``(date, name)`` unioned in (state or local days).
     Size is bounded by ~20 rows per year.
     """
     # one year past the end: New Year's Day of that year may be observed on 31 December
-    years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("year"))
+    years = span.where(F.col("first_year").isNotNull()).select(
+        "first_year", "last_year", F.explode(F.sequence(F.col("first_year"), F.col("last_year") + 1)).alias("year"))
     entries = holiday_entries(F.col("year"), region)
     structs = F.array(*[F.struct(d.alias("date"), F.lit(n).alias("name")) for n, d in entries])
-    cal = years.select(F.inline(structs)).where(F.col("date").isNotNull())
-    cal = cal.where(F.year("date").between(first_year, last_year))
+    cal = years.select("first_year", "last_year", F.inline(structs)).where(F.col("date").isNotNull())
+    cal = cal.where(F.year("date").between(F.col("first_year"), F.col("last_year"))).select("date", "name")
     if extra is not None:
         cal = cal.unionByName(extra.select(F.col("date").cast("date"), F.col("name").cast("string")))
     return (cal.groupBy("date")
@@ -157,15 +165,10 @@ def holiday_calendar(spark: SparkSession, first_year: int, last_year: int,
 
 
 def flag_with_table(df: DataFrame, calendar: DataFrame, date_col: str = "date",
-                    out_col: str = "is_holiday", broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Left-join membership against a user calendar table.
-
-    The calendar is broadcast only after its row count is checked; beyond the
-    limit a shuffle join is used (AQE splits skewed dates).
-    """
-    cal = calendar.select(F.col("date").alias("__hd")).distinct()
-    n = cal.count()
-    side = F.broadcast(cal) if n <= broadcast_limit else cal
-    joined = df.join(side, F.col(date_col) == F.col("__hd"), "left")
+                    out_col: str = "is_holiday") -> DataFrame:
+    """Left-join membership against a user calendar table ``(date, name)``. Spark broadcasts it
+    if its size is known to be small; else the join shuffles (AQE splits skewed dates)."""
+    cal = calendar.select(F.col("date").cast("date").alias("__hd")).distinct()
+    joined = df.join(cal, F.col(date_col) == F.col("__hd"), "left")
     prev = F.col(out_col) if out_col in df.columns else F.lit(False)
     return joined.withColumn(out_col, prev | F.col("__hd").isNotNull()).drop("__hd")

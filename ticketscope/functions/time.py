@@ -23,16 +23,21 @@ def _c(col: Column | str) -> Column:
 
 
 def to_local(col: Column | str, source_tz: str = "UTC", local_tz: str = "America/New_York",
-             data_type: T.DataType | None = None, session_tz: str = "UTC") -> Column:
+             data_type: T.DataType | None = None) -> Column:
     """Wall-clock time in ``local_tz``.
 
     Zone-less input is read as ``source_tz``; zone-aware input (TIMESTAMP) is an
-    instant and is only converted.
+    instant and is only converted, whatever the session's zone.
     """
-    c = _c(col)
     if isinstance(data_type, T.TimestampType):
-        return F.convert_timezone(F.lit(session_tz), F.lit(local_tz), c.cast("timestamp_ntz"))
-    return F.convert_timezone(F.lit(source_tz), F.lit(local_tz), c)
+        return F.convert_timezone(F.lit("UTC"), F.lit(local_tz), utc_clock(col))
+    return F.convert_timezone(F.lit(source_tz), F.lit(local_tz), _c(col))
+
+
+def utc_clock(col: Column | str) -> Column:
+    """The UTC wall clock (TIMESTAMP_NTZ) of an instant, independent of the session's zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(col)),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def weekday_name(col: Column | str) -> Column:

@@ -1,217 +1,102 @@
-"""Exact grouped median that stays correct and bounded under heavy key skew.
-
-Spark's ``median``/``percentile`` keeps every distinct value of a group in one
-map and merges all maps of that group in a single task. That is fine for
-groups of a few million values, but one group holding a third of a 100 TB table
-would not fit. ``aggregate_with_median`` therefore chooses:
-
-* ``inline``    — ``F.median`` in the same hash aggregate as the other metrics
-  (one pass), used when the largest group is within ``inline_max_rows``;
-* ``split``     — when only some groups are too big: those hot groups (at most
-  ``total / limit`` of them, a proven bound) take the selection path below and
-  every other group stays in the one-pass inline aggregate;
-* ``selection`` — a distributed order-statistic search: per-group value-range
-  histograms (bounded by ``buckets`` rows per group) narrow the range holding
-  the middle rank(s) until few candidates remain, which are then ranked with a
-  window over at most ``final_max_rows`` rows per group. Every pass is a
-  built-in aggregate; nothing unbounded lands in one task or on the driver.
-
-All three give Spark's exact ``percentile(x, 0.5)`` value, interpolation included
-(``approx`` — ``percentile_approx`` — is available as an explicit opt-in).
+"""Exact grouped median in two scans, whatever the group sizes.
+
+Spark's ``median`` keeps every distinct value of a group in one map merged by one
+task, which a group holding a third of a 100 TB table would not fit. Here
+
+1. the first scan computes the other aggregates and, per group, a bracket around
+   the middle from ``percentile_approx`` (bounded, mergeable sketches): ranks
+   ``0.5 ± 2 / ACCURACY``, wider than the sketch's own error of ``1 / ACCURACY``.
+   This small table is stored, so the join of the second scan is planned from
+   its true size and the lineage is cut;
+2. the second scan counts the values below each group's bracket and pre-aggregates
+   those inside it as ``(keys, value, count)``. Only about ``4 / ACCURACY`` of a
+   group's values are inside, and their running counts give the exact ranks.
+
+The result is Spark's exact ``percentile(x, 0.5)``, interpolation included. There is
+no switch by size: every query takes this path. A caller who knows that all
+groups are small can ask for ``method="inline"`` (``F.median`` in one scan), or for
+``method="approx"`` (``percentile_approx``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.session import ensure_checkpoint_dir
-from ticketscope.sources.metadata import row_upper_bound
+from ticketscope.session import scratch_dir
 
-INLINE_MAX_ROWS_CONF = "ticketscope.median.inlineMaxGroupRows"
-DEFAULT_INLINE_MAX_ROWS = 2_000_000
-BROADCAST_TARGET_ROWS = 2_000_000
-
-_G = "__grp"
-
-
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    try:
-        v = df.sparkSession.conf.get(key, None)
-        return int(v) if v else default
-    except Exception:  # pragma: no cover - conf access is best effort
-        return default
-
-
-def choose_strategy(df: DataFrame, keys: list[str], value: Column,
-                    inline_max_rows: int | None = None) -> str:
-    """``inline`` when no group can exceed the limit, ``split`` when some keyed groups
-    do (hot groups take the selection path, the rest stay inline), ``selection`` for
-    an oversized global group."""
-    return _median_plan(df, keys, value, inline_max_rows)[0]
-
-
-def _median_plan(df: DataFrame, keys: list[str], value: Column,
-                 inline_max_rows: int | None = None):
-    """(strategy, hot-group keys or None, number of hot groups).
-
-    Cheapest proof first: a row bound from file metadata (no job); else the total
-    count of non-null values (no shuffle); only when that exceeds the limit are the
-    group sizes measured. There are at most ``total / limit`` hot groups, so their
-    key list has a proven size bound.
-    """
-    limit = inline_max_rows or _conf_int(df, INLINE_MAX_ROWS_CONF, DEFAULT_INLINE_MAX_ROWS)
-    vals = df.where(value.isNotNull())
-    if row_upper_bound(vals, cap=limit) is not None:
-        return "inline", None, 0
-    total = vals.count()
-    if total <= limit:
-        return "inline", None, 0
-    if not keys:
-        return "selection", None, 1
-    ensure_checkpoint_dir(df.sparkSession)
-    hot = (vals.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-           .checkpoint(eager=True))
-    n_hot = hot.count()
-    return ("split", hot, n_hot) if n_hot else ("inline", None, 0)
+METHODS = ("exact", "inline", "approx")
+ACCURACY = 10_000
+_ALL = "__all"
 
 
 def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
                           median_of: Column | str | None, median_alias: str,
-                          strategy: str = "auto", inline_max_rows: int | None = None,
-                          order: list[str] | None = None,
-                          approx_accuracy: int = 10000) -> DataFrame:
+                          method: str = "exact", order: list[str] | None = None,
+                          accuracy: int = ACCURACY) -> DataFrame:
     """``groupBy(keys).agg(*aggs, median(median_of) AS median_alias)``, skew-safe.
 
-    Null group keys are kept as groups. Output columns: keys, aggregates in the
-    given order with the median inserted at ``order`` position if supplied.
-    ``strategy``: ``auto`` (exact; inline, split or selection by proven group size),
-    ``inline``, ``selection``, or ``approx`` (``percentile_approx``, opt-in).
+    Null group keys are kept as groups. Output columns: keys, aggregates and the
+    median, or those of ``order``.
     """
     value = F.col(median_of) if isinstance(median_of, str) else median_of
-    hot, n_hot = None, 0
-    if strategy == "auto":
-        strategy, hot, n_hot = _median_plan(df, keys, value, inline_max_rows)
-    if strategy == "inline":
+    if method == "inline":
         out = df.groupBy(*keys).agg(*aggs, F.median(value).alias(median_alias))
-    elif strategy == "approx":
-        # opt-in: bounded-memory sketch, rank error about 1 / approx_accuracy
-        out = df.groupBy(*keys).agg(*aggs, F.percentile_approx(value, 0.5, approx_accuracy)
-                                    .alias(median_alias))
-    elif strategy == "selection":
-        base = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-        med = exact_median_selection(df, keys, value, median_alias)
-        out = _join_on_keys(base, med, keys)
-    elif strategy == "split":
-        # cold groups: every aggregate and the median in one inline hash aggregate;
-        # hot groups (few, proven bound): their aggregates plus the selection median
-        cold = (_null_safe_join(df, hot, keys, n_hot, "left_anti")
-                .groupBy(*keys).agg(*aggs, F.median(value).alias(median_alias)))
-        hot_rows = _null_safe_join(df, hot, keys, n_hot, "left_semi")
-        hot_out = _join_on_keys(hot_rows.groupBy(*keys).agg(*aggs),
-                                exact_median_selection(hot_rows, keys, value, median_alias),
-                                keys)
-        out = cold.unionByName(hot_out)
+    elif method == "approx":
+        out = df.groupBy(*keys).agg(*aggs, F.percentile_approx(value, 0.5, accuracy).alias(median_alias))
+    elif method == "exact":
+        out = _exact(df, keys, aggs, value.cast("double"), median_alias, accuracy)
     else:
-        raise ValueError(f"unknown median strategy {strategy!r}")
-    if order:
-        out = out.select(*order)
-    return out
-
-
-def _join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        raise ValueError(f"unknown median method {method!r}, not one of {METHODS}")
+    return out.select(*order) if order else out
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _exact(df: DataFrame, keys: list[str], aggs: list[Column], value: Column, alias: str,
+           accuracy: int) -> DataFrame:
+    reach = 2.0 / accuracy
+    bracket = F.percentile_approx(value, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(accuracy))
+    base = _stored(df.groupBy(*keys).agg(*aggs, F.count(value).alias("__n"), bracket.alias("__at")), "median-brackets")
+    names = [c for c in base.columns if c not in ("__n", "__at")]
+
+    if keys:
+        ends = base.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__n", F.get("__at", F.lit(0)).alias("__lo"),
+                           F.get("__at", F.lit(1)).alias("__hi"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        rows = df.select(*keys, value.alias("__v")).where(F.col("__v").isNotNull()).join(ends, same)
+    else:
+        # one row: its bracket becomes literals, which also reach the scan as filters
+        row = base.select("__n", "__at").first()
+        lo, hi = row["__at"] or (None, None)
+        rows = df.select(F.lit(0).alias(_ALL), value.alias("__v")).where(F.col("__v") <= F.lit(hi).cast("double")).select(
+            _ALL, "__v", F.lit(row["__n"]).alias("__n"), F.lit(lo).cast("double").alias("__lo"),
+            F.lit(hi).cast("double").alias("__hi"))
+    by = keys or [_ALL]
+    # values below the bracket share one row per group, marked by a null value
+    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+    counts = (rows.where(F.col("__v") <= F.col("__hi")).groupBy(*by, inside.alias("__v"))
+              .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n")))
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first())
+                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def at(rank):  # the value that holds a rank counted from 0
+        return F.min(F.when((F.col("__v").isNotNull()) & (F.col("__upto") > rank), F.col("__v")))
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    middle = counts.withColumn("__upto", upto).groupBy(*by).agg(at(low).alias("__a"), at(high).alias("__b"))
+    med = middle.select(*by, F.when(F.col("__a") == F.col("__b"), F.col("__a"))
+                        .otherwise(F.lit(0.5) * F.col("__a") + F.lit(0.5) * F.col("__b")).alias(alias))
     if not keys:
-        # one global row on each side: attach the (checkpointed, one-row) median as a value
-        row = right.first()
-        return left.select("*", *[F.lit(row[c] if row else None).cast(right.schema[c].dataType)
-                                  .alias(c) for c in right.columns])
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
-
-
-def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int,
-                    how: str = "inner") -> DataFrame:
-    s = small.select(*[F.col(k).alias(f"__t_{k}") for k in keys],
-                     *[c for c in small.columns if c not in keys])
-    if small_rows <= BROADCAST_TARGET_ROWS:
-        s = F.broadcast(s)
-    cond = None
+        row = med.select(alias).first()
+        return base.select(*names, F.lit(row[0] if row else None).cast("double").alias(alias))
+    right = med.select(*[F.col(k).alias(f"__m_{k}") for k in keys], alias)
+    same = F.lit(True)
     for k in keys:
-        c = big[k].eqNullSafe(s[f"__t_{k}"])
-        cond = c if cond is None else cond & c
-    return big.join(s, cond, how).drop(*[f"__t_{k}" for k in keys])
-
-
-def exact_median_selection(df: DataFrame, keys: list[str], value: Column,
-                           alias: str = "median", buckets: int = 4096,
-                           final_max_rows: int = 200_000, max_iterations: int = 32) -> DataFrame:
-    """Exact per-group median by iterative histogram narrowing (see module doc)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    gkeys = list(keys) if keys else [_G]
-    src = df if keys else df.withColumn(_G, F.lit(0))
-    d = (src.select(*[F.col(k) for k in gkeys], value.cast("double").alias("__v"))
-         .where(F.col("__v").isNotNull())
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        stats = d.groupBy(*gkeys).agg(F.count("__v").alias("__n"), F.min("__v").alias("__lo"),
-                                      F.max("__v").alias("__hi"))
-        ranks = F.array(
-            F.struct(F.lit(0).alias("__which"), ((F.col("__n") - 1) / 2).cast("long").alias("__k")),
-            F.struct(F.lit(1).alias("__which"), (F.col("__n") / 2).cast("long").alias("__k")))
-        targets = (stats.select(*gkeys, F.inline(ranks), "__lo", "__hi",
-                                F.col("__n").alias("__cnt"))
-                   .withColumn("__done", F.col("__lo") == F.col("__hi"))
-                   .checkpoint(eager=True))
-        for _ in range(max_iterations):
-            open_t = targets.where(~F.col("__done") & (F.col("__cnt") > final_max_rows))
-            n_open = open_t.count()
-            if n_open == 0:
-                break
-            cand = _null_safe_join(d, open_t, gkeys, n_open).where(
-                F.col("__v").between(F.col("__lo"), F.col("__hi")))
-            width = F.col("__hi") - F.col("__lo")
-            bucket = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(float(buckets))),
-                             F.lit(buckets - 1)).cast("int")
-            hist = (cand.withColumn("__b", bucket)
-                    .groupBy(*gkeys, "__which", "__k", "__b")
-                    .agg(F.count("*").alias("__bc"), F.min("__v").alias("__bmin"),
-                         F.max("__v").alias("__bmax")))
-            w = (Window.partitionBy(*gkeys, "__which").orderBy("__b")
-                 .rowsBetween(Window.unboundedPreceding, -1))
-            hist = hist.withColumn("__before", F.coalesce(F.sum("__bc").over(w), F.lit(0)))
-            chosen = (hist.where((F.col("__before") <= F.col("__k"))
-                                 & (F.col("__k") < F.col("__before") + F.col("__bc")))
-                      .select(*gkeys, "__which", (F.col("__k") - F.col("__before")).alias("__k"),
-                              F.col("__bmin").alias("__lo"), F.col("__bmax").alias("__hi"),
-                              F.col("__bc").alias("__cnt"),
-                              (F.col("__bmin") == F.col("__bmax")).alias("__done")))
-            kept = targets.where(F.col("__done") | (F.col("__cnt") <= final_max_rows))
-            targets = kept.unionByName(chosen).checkpoint(eager=True)
-
-        done = targets.where(F.col("__done")).select(*gkeys, "__which", F.col("__lo").alias("__val"))
-        todo = targets.where(~F.col("__done"))
-        n_todo = todo.count()
-        cand = _null_safe_join(d, todo, gkeys, n_todo).where(
-            F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        w = Window.partitionBy(*gkeys, "__which").orderBy("__v")
-        picked = (cand.withColumn("__rn", F.row_number().over(w) - 1)
-                  .where(F.col("__rn") == F.col("__k"))
-                  .select(*gkeys, "__which", F.col("__v").alias("__val")))
-        vals = done.unionByName(picked)
-        lo = F.max(F.when(F.col("__which") == 0, F.col("__val")))
-        hi = F.max(F.when(F.col("__which") == 1, F.col("__val")))
-        med = (vals.groupBy(*gkeys).agg(lo.alias("__mlo"), hi.alias("__mhi"))
-               .select(*gkeys, F.when(F.col("__mlo") == F.col("__mhi"), F.col("__mlo"))
-                       .otherwise(F.lit(0.5) * F.col("__mlo") + F.lit(0.5) * F.col("__mhi"))
-                       .alias(alias))
-               .checkpoint(eager=True))
-    finally:
-        d.unpersist()
-    return med.drop(_G) if not keys else med
+        same = same & F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+    return base.select(*names).join(right, same, "left").select(*names, alias)

@@ -33,13 +33,13 @@ def _within_rate(sla_hours: float, open_tickets: str):
 
 
 def kpi(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
-        open_tickets: str = "exclude", median_strategy: str = "auto") -> DataFrame:
+        open_tickets: str = "exclude", median_method: str = "exact") -> DataFrame:
     """One row: ``med_hrs``, ``pct_within``, ``tickets`` (empty input → null, null, 0)."""
     d = _scope(df, flt, open_tickets)
     return aggregate_with_median(
         d, [], [_within_rate(sla_hours, open_tickets).alias("pct_within"),
                 F.count(F.lit(1)).alias("tickets")],
-        HOURS, "med_hrs", strategy=median_strategy,
+        HOURS, "med_hrs", method=median_method,
         order=["med_hrs", "pct_within", "tickets"])
 
 
@@ -55,27 +55,27 @@ def top_types(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float =
 
 
 def seasonality(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
-                open_tickets: str = "exclude", median_strategy: str = "auto") -> DataFrame:
+                open_tickets: str = "exclude", median_method: str = "exact") -> DataFrame:
     """Weekday × hour: ``tickets``, ``breach_rate``, ``median_response``."""
     d = _scope(df, flt, open_tickets)
     out = aggregate_with_median(
         d, ["dow_name", "hour"],
         [F.count(F.lit(1)).alias("tickets"),
          F.avg(S.breach_indicator(HOURS, sla_hours, open_tickets)).alias("breach_rate")],
-        HOURS, "median_response", strategy=median_strategy,
+        HOURS, "median_response", method=median_method,
         order=["dow_name", "hour", "tickets", "breach_rate", "median_response"])
     return sort_bounded(out, weekday_order("dow_name"), "hour")
 
 
 def by_weekday(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
-               open_tickets: str = "exclude", median_strategy: str = "auto") -> DataFrame:
+               open_tickets: str = "exclude", median_method: str = "exact") -> DataFrame:
     """Per weekday: ``median_response``, ``breach_rate``, ``tickets``, ``pct_within``."""
     d = _scope(df, flt, open_tickets)
     out = aggregate_with_median(
         d, ["dow_name"],
         [F.avg(S.breach_indicator(HOURS, sla_hours, open_tickets)).alias("breach_rate"),
          F.count(F.lit(1)).alias("tickets")],
-        HOURS, "median_response", strategy=median_strategy,
+        HOURS, "median_response", method=median_method,
         order=["dow_name", "median_response", "breach_rate", "tickets"])
     out = out.withColumn("pct_within", F.lit(1.0) - F.col("breach_rate").cast("double"))
     return sort_bounded(out, weekday_order("dow_name"))
@@ -89,13 +89,8 @@ def extent(df: DataFrame, ts_col: str = "created_dt") -> DataFrame:
 
 
 def dimension_values(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-null, non-empty values of a dimension column.
-
-    The distinct values of a dimension (boroughs, complaint types) are bounded by its
-    domain, not by the data volume, so they are sorted in one partition after the
-    (partially aggregated, parallel) distinct — no range-sampling pass.
-    """
-    return sort_bounded(df.select(col).where(non_empty(col)).distinct(), col)
+    """Sorted distinct non-null, non-empty values of a column."""
+    return df.select(col).where(non_empty(col)).distinct().orderBy(col)
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Sample grid and random samples."""
+"""Ordered prefixes, the sample grid and random samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketscope.functions import sla as S
@@ -10,6 +10,24 @@ from ticketscope.operators.filters import TicketFilter
 from ticketscope.schema import SAMPLE_COLUMNS
 
 
+def first_rows(df: DataFrame, n: int, coarse: Column, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows by ``order`` (all of them if there are fewer).
+
+    ``coarse`` is a step function of the order (rows of a smaller step come first,
+    null steps last) with a bounded number of steps, such as the day of a time.
+    Rows are counted per step, the step that holds row ``n`` is found from the
+    running count (one row to the driver), and only rows up to it are sorted. So
+    the sort meets about ``n`` rows plus those of one step, however large the table
+    is, and the literal bound reaches the scan where the step allows it.
+    """
+    steps = df.select(coarse.alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy(F.col("step").asc_nulls_last()))
+    last = (steps.withColumn("upto", upto).where((F.col("upto") >= int(n)) & F.col("step").isNotNull())
+            .agg(F.min("step")).first()[0])
+    near = df if last is None else df.where(coarse <= F.lit(last))
+    return near.orderBy(*order).limit(int(n))
+
+
 def sample_view(clean_df: DataFrame, flt: TicketFilter | None = None, limit: int = 20000,
                 sla_hours: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """First ``limit`` filtered tickets in creation order (repeatable), with optional
@@ -18,11 +36,9 @@ def sample_view(clean_df: DataFrame, flt: TicketFilter | None = None, limit: int
     if sla_hours is not None:
         d = d.withColumn("within_sla", S.within_sla("response_hours", sla_hours)) \
              .withColumn("breach", ~F.col("within_sla"))
-    d = d.orderBy(F.col("created_dt").asc_nulls_last(), F.col("unique_key").asc_nulls_last())
-    d = d.limit(int(limit))
-    if columns is not None:
-        d = d.select(*columns)
-    return d
+    d = first_rows(d, limit, F.to_date("created_dt"),
+                   [F.col("created_dt").asc_nulls_last(), F.col("unique_key").asc_nulls_last()])
+    return d if columns is None else d.select(*columns)
 
 
 def sample_columns(available: list[str], chosen: list[str] | None = None) -> list[str]:
@@ -34,101 +50,20 @@ def sample_columns(available: list[str], chosen: list[str] | None = None) -> lis
     return cols
 
 
-def random_sample(df: DataFrame, n: int = 50000, seed: int = 42,
-                  expected_rows: int | None = None) -> DataFrame:
-    """Uniform random ``n``-row sample (all rows when fewer).
-
-    Rows get a seeded random key; a Bernoulli pre-filter sized with a safety
-    margin keeps the top-``n`` sort small on large tables, and is dropped when it
-    would not be safe (then the full table feeds a bounded top-``n``).
-    """
-    total = expected_rows if expected_rows is not None else df.count()
-    keyed = df.withColumn("__r", F.rand(seed))
-    if total > 0 and n < total:
-        # Rows whose key is below p are exactly the smallest keys, so when at
-        # least n of them exist the top-n over them equals the top-n overall.
-        p = min(1.0, (n + 10.0 * (n ** 0.5) + 100.0) / total)
-        if p < 1.0:
-            pre = keyed.where(F.col("__r") < F.lit(p))
-            if pre.count() >= n:
-                keyed = pre
-    return keyed.orderBy("__r").limit(int(n)).drop("__r")
-
-
-TOPK_SINGLE_TASK_ROWS = 1_000_000
-
+def random_sample(df: DataFrame, n: int = 50000, seed: int = 42, key: str = "unique_key") -> DataFrame:
+    """Uniform random ``n``-row sample (all rows when fewer): the ``n`` rows with the smallest
+    ``md5(seed:key)``. It depends on the rows, the seed and nothing else: neither the file layout
+    nor a retried task changes it. Rows that share a key are ordered by their other columns."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    keyed = df.withColumn("__r", mark)
+    out = first_rows(keyed, n, F.substring("__r", 1, 4),
+                     [F.col("__r"), *[F.col(c).asc_nulls_last() for c in df.columns]])
+    return out.drop("__r")
 
-def _numeric_order_key(df: DataFrame, col: str):
-    """A double that orders like ``col`` (for quantiles), or ``None`` for other types."""
-    t = dict(df.dtypes)[col]
-    c = F.col(col)
-    if t == "timestamp_ntz":
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, c).cast("double")
-    if t == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if t == "date":
-        return F.unix_date(c).cast("double")
-    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
-        return c.cast("double")
-    return None
 
+def write_sample(spark: SparkSession, root: str, path: str, n: int = 50000, seed: int = 42) -> str:
+    """A random sample of the stored clean table, written as Parquet."""
+    from ticketscope.sources import storage
 
-def ordered_prefix(df: DataFrame, n: int, order: list[str],
-                   single_task_rows: int = TOPK_SINGLE_TASK_ROWS) -> DataFrame:
-    """The first ``n`` rows by ``order`` (ascending; the last column should make it total).
-
-    Small ``n``: ``orderBy().limit()`` (a top-n per task, merged in one task). Large
-    ``n``: merging ``n`` rows from every task in one task does not scale, so
-
-    1. a cutoff on the first order column from an approximate quantile shrinks the input
-       (kept only when an exact count proves at least ``n`` rows remain below it);
-    2. the remaining rows are range-partitioned and sorted, and written to the
-       checkpoint folder (so partition ids are stable);
-    3. per-partition counts (one row per partition) locate the partition holding row
-       ``n``; earlier partitions are kept whole, that one is cut by a row number
-       inside it, later ones are dropped.
-    """
-    if n <= single_task_rows:
-        return df.orderBy(*order).limit(int(n))
-    total = df.count()
-    if n >= total:
-        return df.orderBy(*order)
-    cand = df
-    key = _numeric_order_key(df, order[0])
-    for slack in (1.05, 1.25, 2.0):
-        q = min(1.0, n / total * slack)
-        if key is None or q >= 1.0:
-            break
-        cut = df.select(key.alias("__o")).approxQuantile("__o", [q], 0.001)
-        if not cut or cut[0] is None:
-            break
-        # ascending order puts nulls first, so they always stay candidates
-        pre = df.where(key.isNull() | (key <= F.lit(cut[0])))
-        if pre.count() >= n:
-            cand = pre
-            break
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = (cand.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-              .withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    counts = sorted((r["__pid"], r["c"]) for r in
-                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    keep_whole, cut_pid, cut_rows, acc = [], None, 0, 0
-    for pid, c in counts:
-        if acc + c <= n:
-            keep_whole.append(pid)
-            acc += c
-            if acc == n:
-                break
-        else:
-            cut_pid, cut_rows = pid, n - acc
-            break
-    w = Window.partitionBy("__pid").orderBy(*order)
-    out = ranged.where(F.col("__pid").isin(keep_whole))
-    if cut_pid is not None:
-        part = (ranged.where(F.col("__pid") == cut_pid)
-                .withColumn("__rn", F.row_number().over(w))
-                .where(F.col("__rn") <= cut_rows).drop("__rn"))
-        out = out.unionByName(part)
-    return out.orderBy("__pid", *order).drop("__pid")
+    random_sample(storage.read_tickets(spark, root, view=None), n, seed).write.mode("overwrite").parquet(path)
+    return path

@@ -34,19 +34,24 @@ def _count_columns(sla_hours: float):
 
 
 def daily_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool = False,
-                  median_strategy: str = "auto") -> DataFrame:
+                  median_method: str = "exact") -> DataFrame:
     """Date × borough × complaint type: tickets, median, share within the SLA.
 
-    Open tickets are in ``tickets`` and count as outside the SLA. Newest first.
+    Open tickets are in ``tickets`` and count as outside the SLA. Unordered: a stored
+    summary is written in parallel and sorted when it is read (``newest_first``).
     """
     d = clean_df.where(F.col("created_dt").isNotNull())
     counts = _count_columns(sla_hours)
     out = aggregate_with_median(d, ["date", "borough", "complaint_type"], counts, HOURS,
-                                "median_response", strategy=median_strategy)
-    out = out.withColumn("pct_within", F.col("within") / F.col("tickets"))
+                                "median_response", method=median_method)
+    out = out.withColumn("pct_within", S.safe_ratio(F.col("within"), F.col("tickets")))
     out = out.withColumn("sla_hours", F.lit(float(sla_hours)))
     cols = DAILY_COLUMNS + (["open_tickets", "breaches", "within", "sla_hours"] if detail else [])
-    return out.select(*cols).orderBy(F.col("date").desc())
+    return out.select(*cols)
+
+
+def newest_first(daily: DataFrame) -> DataFrame:
+    return daily.orderBy(F.col("date").desc())
 
 
 def type_summary(daily: DataFrame, detail: bool = False) -> DataFrame:
@@ -74,7 +79,7 @@ def type_summary(daily: DataFrame, detail: bool = False) -> DataFrame:
 
 
 def dow_hour_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool = False,
-                     median_strategy: str = "auto") -> DataFrame:
+                     median_method: str = "exact") -> DataFrame:
     """Weekday × hour × borough × complaint type: tickets, breach rate, median.
 
     Open tickets are in ``tickets`` but are not breaches. The detailed form also
@@ -88,12 +93,15 @@ def dow_hour_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool
         aggs.append(F.kll_sketch_agg_double(HOURS).alias("median_sketch"))
         extra.append("median_sketch")
     out = aggregate_with_median(d, ["dow_name", "hour", "borough", "complaint_type"],
-                                aggs, HOURS, "median_response", strategy=median_strategy)
-    out = out.withColumn("breach_rate", F.col("breaches") / F.col("tickets"))
+                                aggs, HOURS, "median_response", method=median_method)
+    out = out.withColumn("breach_rate", S.safe_ratio(F.col("breaches"), F.col("tickets")))
     out = out.withColumn("sla_hours", F.lit(float(sla_hours)))
     cols = DOW_HOUR_COLUMNS + (extra if detail else [])
-    # rows are bounded by the dimension domains (7 × 24 × boroughs × types), not by volume
-    return sort_bounded(out.select(*cols), "dow_name", "hour")
+    return out.select(*cols)
+
+
+def calendar_order(dow_hour: DataFrame) -> DataFrame:
+    return dow_hour.orderBy(weekday_order("dow_name"), "hour", "borough", "complaint_type")
 
 
 def policy_rate(tickets: str, open_tickets: str, breaches: str, open_policy: str):
@@ -119,7 +127,7 @@ def reaggregate_types(rows: DataFrame, late_col: str, open_policy: str = "met")
     tickets = F.col("tickets") - F.col("open_tickets") if open_policy == "exclude" \
         else F.col("tickets")
     return (agg.select("complaint_type", tickets.alias("tickets"),
-                       (num / den).alias("breach_rate"))
+                       S.clip_rate(S.safe_ratio(num, den)).alias("breach_rate"))
             .where(F.col("tickets") > 0))
 
 
@@ -132,6 +140,6 @@ def reaggregate_dow_hour(rows: DataFrame, open_policy: str = "exclude") -> DataF
     tickets = F.col("tickets") - F.col("open_tickets") if open_policy == "exclude" \
         else F.col("tickets")
     return (agg.select("dow_name", "hour", tickets.alias("tickets"),
-                       (num / den).alias("breach_rate"))
+                       S.clip_rate(S.safe_ratio(num, den)).alias("breach_rate"))
             .where(F.col("tickets") > 0)
             .transform(lambda d: sort_bounded(d, weekday_order("dow_name"), "hour")))

@@ -32,16 +32,19 @@ def process(spark: SparkSession, raw_dir: str, root: str, sla_hours: float = 24.
     storage: it cuts the lineage, so a lost executor never forces a re-clean); the
     gates then read only the columns they need from it. Nothing is published when a
     gate fails (the staging folder is left for inspection). On success the staged
-    table becomes the single dataset and feeds the partitioned one.
+    table becomes the single dataset and feeds the partitioned one, which is built
+    aside and swapped in whole, so months that are gone from the raw pages are gone
+    from both. Pages may come from any writer, each file with its own schema.
     """
-    cleaned = clean(E.read_raw(spark, raw_dir), sla_hours=sla_hours)
+    cleaned = clean(E.read_raw_mixed(spark, raw_dir), sla_hours=sla_hours)
     staging = os.path.join(root, "_staging", f"clean-{uuid.uuid4().hex[:12]}")
     ST.write_clean(cleaned, staging)
     Q.enforce(ST.read_clean(spark, staging), min_rows=min_rows)
     single = os.path.join(root, ST.SINGLE)
     files.replace_dir(spark, staging, single)
-    part = ST.write_clean_partitioned(ST.read_clean(spark, single),
-                                      os.path.join(root, ST.PARTITIONED))
+    part, fresh = os.path.join(root, ST.PARTITIONED), f"{staging}-by-month"
+    ST.write_clean_partitioned(ST.read_clean(spark, single), fresh)
+    files.replace_dir(spark, fresh, part)
     return {"single": single, "partitioned": part}
 
 
@@ -63,7 +66,7 @@ def export(spark: SparkSession, root: str, out_dir: str) -> dict[str, str]:
     tickets = ST.read_tickets(spark, root, view=None)
     return {
         "daily_borough": CSV.write_csv(EX.export_daily_borough(tickets), out_dir,
-                                       "daily_borough_summary"),
+                                       "borough_days"),
         "complaint_type": CSV.write_csv(EX.export_type_breaches(tickets), out_dir,
-                                        "complaint_type_breach_rates"),
+                                        "type_breaches"),
     }

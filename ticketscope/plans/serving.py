@@ -7,7 +7,8 @@ Spark has no automatic view matching, so the routing is explicit:
   the ``date`` grain is exact), else live;
 * weekday × hour — ticket counts and breach rates from the weekday-hour
   summary when no date range is set; the median is not mergeable, so the
-  routed median is merged from per-row KLL sketches and flagged approximate;
+  routed median is merged from per-row KLL sketches and flagged approximate, or,
+  on request, computed from the tickets;
 * weekday lines — always live.
 
 A route is taken only when the summary was built for the same SLA. Counts are
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.functions import sla as S
 from ticketscope.functions.time import sort_bounded, weekday_order
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
@@ -78,9 +80,10 @@ def serve_top_types(clean_df: DataFrame | None, flt: TicketFilter | None = None,
 
 def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = None,
                       sla_hours: float = 24.0, open_tickets: str = "exclude",
-                      summaries: dict | None = None,
-                      summary_sla_hours: float | None = None) -> DataFrame:
-    """Weekday × hour cells; routed results carry ``median_exact = false``."""
+                      summaries: dict | None = None, summary_sla_hours: float | None = None,
+                      exact_median: bool = False) -> DataFrame:
+    """Weekday × hour cells; ``median_exact`` tells whether the median is exact. A routed one is
+    merged from sketches unless ``exact_median`` asks for the tickets' own."""
     flt = flt or TicketFilter()
     s = summaries or {}
     dh = s.get("dow_hour")
@@ -89,7 +92,10 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
             .withColumn("median_exact", F.lit(True))
     rows = flt.apply_dimensions(dh)
     counts = SM.reaggregate_dow_hour(rows, open_tickets)
-    if "median_sketch" in rows.columns:
+    if exact_median:
+        med = M.seasonality(clean_df, flt, sla_hours, open_tickets).select("dow_name", "hour", "median_response")
+        out = counts.join(med, ["dow_name", "hour"], "left")
+    elif "median_sketch" in rows.columns:
         merged = (rows.groupBy("dow_name", "hour")
                   .agg(F.kll_merge_agg_double("median_sketch").alias("__m")))
         # a cell with only open tickets has an empty sketch: no median
@@ -100,7 +106,7 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
     else:
         out = counts.withColumn("median_response", F.lit(None).cast("double"))
     return sort_bounded(out.select("dow_name", "hour", "tickets", "breach_rate", "median_response",
-                                   F.lit(False).alias("median_exact")),
+                                   F.lit(exact_median).alias("median_exact")),
                         weekday_order("dow_name"), "hour")
 
 
@@ -115,5 +121,5 @@ def serve_daily_trend(summaries: dict, flt: TicketFilter | None = None) -> DataF
     rows = flt.apply_dimensions(_date_range(summaries["daily"], flt))
     return (rows.groupBy("date")
             .agg(F.sum("tickets").alias("tickets"), F.sum("within").alias("within"))
-            .select("date", "tickets", (F.col("within") / F.col("tickets")).alias("pct_within"))
+            .select("date", "tickets", S.safe_ratio(F.col("within"), F.col("tickets")).alias("pct_within"))
             .orderBy("date"))

@@ -1,13 +1,13 @@
 """Session construction and scratch locations.
 
-Library code never assumes a machine-local folder: scratch output goes under
-the cluster's ``spark.checkpoint.dir`` (a shared file system). Only when the
-session has none (local tests) is a private temporary folder set.
+Scratch output goes under the cluster's ``spark.checkpoint.dir``, a folder that the
+driver and all executors share. Only a session with a ``local`` master may do
+without: it gets a private temporary folder. On any other master a missing
+checkpoint folder is an error, because a machine-local one would lose rows.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,9 +24,6 @@ _DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Wide projections generate large methods; let the JIT compile them anyway.
-    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
-    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
@@ -50,12 +47,14 @@ def build_session(master: str | None = None, app_name: str = "ticketscope",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a private one only if unset."""
+    """Return the session's checkpoint folder; a local session without one gets a private folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             current = tempfile.mkdtemp(prefix="ticketscope-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current
@@ -64,7 +63,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"

@@ -31,7 +31,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def write_view_csv(view: DataFrame, out_dir: str, name: str = "current_view",
                    columns: list[str] | None = None) -> str:
-    """The current filtered view (e.g. ``sampling.sample_view``) with the chosen columns as
-    one header CSV, rows in the view's order."""
-    cols = columns or view.columns
-    return write_csv(view.select(*cols), out_dir, name)
+    """The current filtered view (e.g. ``sampling.sample_view``) with the chosen columns as a
+    folder of header CSV files: one file of a limited view, as many as the view has
+    partitions else. File names follow the view's order."""
+    path = os.path.join(out_dir, stamped_name(name))
+    (view.select(*(columns or view.columns)).write.mode("errorifexists").option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+    return path

@@ -1,72 +1,65 @@
-"""Raw-ticket extract: window resolution, lenient parsing, bounded extract, paged sink.
+"""Raw-ticket extract: window, lenient parsing, bounded extract, paged sink, raw scans.
 
-The reference pulls pages over HTTP; here the same data work runs over a
-landed file dump: the window predicate and column list are pushed into the
-scan, the optional row cap is an ordered top-n, and the sink writes files of at
-most ``page_size`` rows.
+The window predicate and column list of an extract are pushed into the scan of a
+landed dump, the optional row cap is an ordered prefix, and the sink writes files
+of at most ``page_size`` rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketscope.functions.time import utc_clock
 from ticketscope.operators.filters import ntz_literal
-from ticketscope.operators.sampling import ordered_prefix
+from ticketscope.operators.sampling import first_rows
 from ticketscope.schema import NUMERIC_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, TIMESTAMP_COLUMNS
 from ticketscope.sources import files
 
+DAYS_PER_YEAR = 365
+
 
 class ExtractError(ValueError):
     pass
 
 
-def parse_date(s: str) -> dt.date:
+def as_date(value: str | dt.date) -> dt.date:
+    """A date, or the ISO text of one."""
+    if isinstance(value, dt.date):
+        return value
     try:
-        return dt.datetime.strptime(s, "%Y-%m-%d").date()
-    except Exception as exc:
-        raise ExtractError(f"Invalid date format (expected YYYY-MM-DD): {s}") from exc
+        return dt.date.fromisoformat(value) if len(value) == 10 else dt.date.fromisoformat("")
+    except ValueError:
+        raise ExtractError(f"{value!r} is no date of the form 2024-01-31") from None
 
 
 def resolve_window(since: str | None = None, until: str | None = None,
                    env: dict | None = None, years_back: int = 5,
                    today: dt.date | None = None) -> tuple[dt.date, dt.date]:
-    """Explicit dates, else ``SINCE_DATE``/``UNTIL_DATE`` from ``env``, else
-    ``today − 365·years_back`` … ``today``. ``since`` after ``until`` is an error."""
-    env = env if env is not None else {}
-    today = today or dt.date.today()
-    years = int(env.get("YEARS_BACK", years_back))
-    if since:
-        s = parse_date(since)
-    elif env.get("SINCE_DATE"):
-        s = parse_date(env["SINCE_DATE"])
-    else:
-        s = today - dt.timedelta(days=365 * years)
-    if until:
-        u = parse_date(until)
-    elif env.get("UNTIL_DATE"):
-        u = parse_date(env["UNTIL_DATE"])
-    else:
-        u = today
-    if s > u:
-        raise ExtractError(f"since ({s.isoformat()}) is after until ({u.isoformat()})")
-    return s, u
+    """Both bounds, each the first that is given of: the argument, the setting
+    (``SINCE_DATE``, ``UNTIL_DATE``), the default. The defaults are today and
+    ``YEARS_BACK`` (else ``years_back``) years of 365 days before today."""
+    settings = env or {}
+    last = today or dt.date.today()
+    first = last - dt.timedelta(days=DAYS_PER_YEAR * int(settings.get("YEARS_BACK") or years_back))
+    asked = ((since, "SINCE_DATE", first), (until, "UNTIL_DATE", last))
+    lower, upper = (as_date(next(v for v in (given, settings.get(name), default) if v)) for given, name, default in asked)
+    if lower > upper:
+        raise ExtractError(f"the window ends ({upper}) before it begins ({lower})")
+    return lower, upper
 
 
 def parse_landed(df: DataFrame) -> DataFrame:
     """Lenient typing of landed text: bad timestamps / numbers become null (ANSI-safe)."""
-    out = []
-    for c in df.columns:
-        if c in TIMESTAMP_COLUMNS:
-            out.append(F.col(c).cast("string").try_cast("timestamp_ntz").alias(c))
-        elif c in NUMERIC_COLUMNS:
-            out.append(F.col(c).cast("string").try_cast("double").alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    kinds = dict.fromkeys(TIMESTAMP_COLUMNS, "timestamp_ntz") | dict.fromkeys(NUMERIC_COLUMNS, "double")
+    return df.select(*[F.col(c).cast("string").try_cast(kinds[c]).alias(c) if c in kinds else F.col(c)
+                       for c in df.columns])
 
 
 def window_predicate(since: dt.date, until: dt.date, col: str = "created_date"):
@@ -79,114 +72,141 @@ def extract(df: DataFrame, since: dt.date | str, until: dt.date | str,
             limit: int | None = None) -> DataFrame:
     """The 14 contract columns of tickets created in the window; with ``limit`` the
     first ``limit`` by creation time (key as tie-break). ``0``/``None`` = no cap."""
-    s = since if isinstance(since, dt.date) else parse_date(since)
-    u = until if isinstance(until, dt.date) else parse_date(until)
     cols = [c for c in RAW_COLUMNS if c in df.columns]
-    out = df.select(*cols).where(window_predicate(s, u))
+    out = df.select(*cols).where(window_predicate(as_date(since), as_date(until)))
     if limit:
-        out = ordered_prefix(out, int(limit), ["created_date", "unique_key"])
+        out = first_rows(out, int(limit), F.to_date("created_date"), [F.col("created_date"), F.col("unique_key")])
     return out
 
 
 def extract_plan(df: DataFrame, since, until, page_size: int = 50000,
                  limit: int | None = None) -> DataFrame:
-    """Rows in the window, rows to fetch (capped by ``limit``) and pages of ``page_size``."""
-    s = since if isinstance(since, dt.date) else parse_date(since)
-    u = until if isinstance(until, dt.date) else parse_date(until)
-    n = df.where(window_predicate(s, u)).agg(F.count(F.lit(1)).alias("rows_in_window"))
-    fetch = F.col("rows_in_window")
+    """What an extract would fetch: rows in the window, rows to fetch and pages of
+    ``page_size``. With ``limit`` nothing is counted: the rows in the window stay
+    unknown (null) and the limit is what would be fetched at most."""
     if limit:
-        fetch = F.least(fetch, F.lit(int(limit)).cast("long"))
-    return n.select("rows_in_window", fetch.alias("rows_to_fetch"),
-                    F.ceil(fetch / F.lit(float(page_size))).cast("long").alias("pages"))
+        rows = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("rows_in_window"),
+                                               F.lit(int(limit)).cast("long").alias("rows_to_fetch"))
+    else:
+        rows = (df.where(window_predicate(as_date(since), as_date(until)))
+                .agg(F.count(F.lit(1)).alias("rows_in_window"))
+                .withColumn("rows_to_fetch", F.col("rows_in_window")))
+    pages = F.ceil(F.col("rows_to_fetch") / F.lit(float(page_size))).cast("long")
+    return rows.withColumn("pages", pages)
 
 
 def raw_folder(out_dir: str, since: dt.date) -> str:
-    """Runs for different windows land in different folders and never overwrite."""
-    return os.path.join(out_dir, f"since={since.isoformat()}")
+    """The folder of the window that begins at ``since``."""
+    return f"{out_dir}/since={since.isoformat()}"
+
 
+def dry_run(df: DataFrame, out_dir: str, since, until, page_size: int = 50000,
+            limit: int | None = None) -> DataFrame:
+    """``extract_plan`` with the folder that ``write_raw`` would fill. Writes nothing."""
+    return extract_plan(df, since, until, page_size, limit).withColumn(
+        "folder", F.lit(raw_folder(out_dir, as_date(since))))
 
-def write_raw(df: DataFrame, out_dir: str, since: dt.date, page_size: int = 50000,
-              dry_run: bool = False) -> str:
+
+def write_raw(df: DataFrame, out_dir: str, since: dt.date, page_size: int = 50000) -> str:
     """Write the extract as Parquet files of at most ``page_size`` rows with the full
-    raw contract schema. Existing output for the same window is an error."""
+    raw contract schema. A window that is run again (same ``since``, a later end)
+    replaces its pages; other windows are left alone."""
     path = raw_folder(out_dir, since)
-    if dry_run:
-        return path
     typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
-    (typed.sortWithinPartitions("created_date")
-     .write.mode("errorifexists").option("maxRecordsPerFile", int(page_size)).parquet(path))
+    (typed.sortWithinPartitions("created_date").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").option("maxRecordsPerFile", int(page_size)).parquet(path))
     return path
 
 
-def read_raw(spark: SparkSession, root: str) -> DataFrame:
-    """All raw Parquet pages under ``root`` with the contract schema (columns a file
-    lacks read as null). No files is an error."""
+def _check_files(spark: SparkSession, root: str) -> None:
     if not files.any_data_file(spark, root):
-        raise ExtractError(f"No raw parquet files found in {root}. Run the extract first.")
-    return spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
+        raise ExtractError(f"{root} holds no Parquet pages; land an extract there first")
 
 
-NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+def read_raw(spark: SparkSession, root: str) -> DataFrame:
+    """All raw Parquet pages under ``root`` that ``write_raw`` wrote, with the contract schema
+    (columns a file lacks read as null). No files is an error."""
+    _check_files(spark, root)
+    return spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
 
 
-def _read_foreign(spark: SparkSession, root: str) -> DataFrame:
-    """Read a page set with its own schema. Pages written by pandas may hold nanosecond
-    timestamps, which Spark refuses; then they are read as epoch nanoseconds (a
-    documented Spark setting, switched on only when such a file is met)."""
-    try:
-        d = spark.read.parquet(root)
-        d.schema  # noqa: B018 - forces schema resolution
-        return d
-    except Exception as exc:
-        if "PARQUET_TYPE_ILLEGAL" not in str(exc) or "NANOS" not in str(exc):
-            raise
-    spark.conf.set(NANOS_AS_LONG, "true")
-    return spark.read.parquet(root)
-
-
-def _as_ntz(col: str, source_type: str):
-    """A raw timestamp column of any physical type as zone-less UTC wall clock."""
-    c = F.col(col)
-    if source_type == "string":
-        return c.try_cast("timestamp_ntz")
-    if source_type in ("bigint", "int"):       # epoch nanoseconds (pandas pages)
-        micros = F.floor(c / F.lit(1000)).cast("bigint")
-        return F.timestamp_add("MICROSECOND", micros,
-                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    if source_type == "timestamp":             # an instant: its UTC wall clock
-        return F.timestamp_add("MICROSECOND", F.unix_micros(c),
-                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return c.cast("timestamp_ntz")
-
-
-def read_raw_mixed(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Raw page sets written by other tools with differing layouts: each set is read with
-    its own schema, every column brought to the contract type (text parsed leniently,
-    nanosecond or zone-aware timestamps converted, a column that is entirely null may
-    carry any type), then unioned by name; absent columns become null."""
-    parts = []
-    for r in roots:
-        if not files.any_data_file(spark, r):
-            raise ExtractError(f"No raw parquet files found in {r}.")
-        d = _read_foreign(spark, r)
-        types = dict(d.dtypes)
-        sel = []
-        for f in RAW_SCHEMA:
-            if f.name not in d.columns:
-                continue
-            if f.name in TIMESTAMP_COLUMNS:
-                src = _as_ntz(f.name, types[f.name])
-            elif f.name in NUMERIC_COLUMNS:
-                src = F.col(f.name).cast("string").try_cast(f.dataType) \
-                    if types[f.name] == "string" else F.col(f.name).cast(f.dataType)
-            else:
-                src = F.col(f.name).cast("string")
-            sel.append(src.alias(f.name))
-        parts.append(d.select(*sel))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*[F.col(f.name) if f.name in out.columns
-                        else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
+_EPOCH_UNITS = {"s": 1_000_000, "ms": 1000, "us": 1}
+
+
+def _micros(column: pa.Array) -> pa.Array:
+    """Microseconds since 1970 of a timestamp, date or epoch-nanosecond column, floored."""
+    kind = column.type
+    if pa.types.is_date(kind):
+        return _scaled(column.cast(pa.date32()).cast(pa.int32()).cast(pa.int64()), 86_400_000_000)
+    if pa.types.is_timestamp(kind) and kind.unit != "ns":
+        return _scaled(column.cast(pa.int64()), _EPOCH_UNITS[kind.unit])
+    nanos = column.cast(pa.int64())
+    known = np.asarray(nanos.is_valid())
+    return pa.array(nanos.fill_null(0).to_numpy(zero_copy_only=False) // 1000, pa.int64(), mask=~known)
+
+
+def _scaled(column: pa.Array, factor: int) -> pa.Array:
+    return pa.compute.multiply(column, pa.scalar(factor, pa.int64()))
+
+
+def _page_columns(batch: pa.RecordBatch, names: dict[str, str]) -> Iterator[pa.Array]:
+    """The contract columns of a page of any layout, as the types of ``names``."""
+    for name, kind in names.items():
+        source = name.removesuffix("__text")
+        at = batch.schema.get_field_index(source)
+        target = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]
+        column = batch.column(at) if at >= 0 else None
+        if column is not None and pa.types.is_dictionary(column.type):
+            column = column.dictionary_decode()
+        text = column is not None and (pa.types.is_string(column.type) or pa.types.is_large_string(column.type))
+        wants_text = kind == "string"
+        parsed_elsewhere = source in TIMESTAMP_COLUMNS + NUMERIC_COLUMNS and text != wants_text
+        if column is None or pa.types.is_null(column.type) or parsed_elsewhere:
+            yield pa.nulls(batch.num_rows, target)
+        elif kind == "long":
+            yield _micros(column)
+        else:
+            yield column.cast(target)
+
+
+def _decode_pages(batches: Iterator[pa.RecordBatch], names: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for content in b.column(0):
+            for page in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches(batch_size=20_000):
+                yield pa.RecordBatch.from_arrays(list(_page_columns(page, names)), names=list(names))
+
+
+def read_raw_mixed(spark: SparkSession, *roots: str) -> DataFrame:
+    """Raw pages of any writer, each *file* with its own schema, as one contract table.
+
+    Every file is read as a binary row and decoded in the task that holds it, so a
+    folder may mix layouts: absent or entirely null columns, text, nanosecond, zone-aware
+    and date timestamps, numbers as text. Unparseable text becomes null, absent columns are null,
+    columns outside the contract are left out. Pages are extract pages of bounded size
+    (a file of over 2 GB is an error).
+    """
+    for root in roots:
+        _check_files(spark, root)
+    names: dict[str, str] = {}
+    for f in RAW_SCHEMA:
+        if f.name in TIMESTAMP_COLUMNS:
+            names |= {f.name: "long", f.name + "__text": "string"}
+        elif f.name in NUMERIC_COLUMNS:
+            names |= {f.name: "double", f.name + "__text": "string"}
+        else:
+            names[f.name] = "string"
+    pages = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+             .load(list(roots)).select("content"))
+    rows = pages.mapInArrow(lambda it: _decode_pages(it, names), ", ".join(f"{n} {t}" for n, t in names.items()))
+    out = []
+    for f in RAW_SCHEMA:
+        text = F.col(f.name + "__text") if f.name + "__text" in names else None
+        if f.name in TIMESTAMP_COLUMNS:
+            clock = utc_clock(F.timestamp_micros(f.name))
+            out.append(F.coalesce(clock, text.try_cast("timestamp_ntz")).alias(f.name))
+        elif text is not None:
+            out.append(F.coalesce(F.col(f.name), text.try_cast("double")).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return rows.select(*out)

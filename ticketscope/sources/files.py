@@ -31,13 +31,29 @@ def any_data_file(spark: SparkSession, root: str, suffix: str = ".parquet") -> b
 
 
 def replace_dir(spark: SparkSession, src: str, dst: str) -> None:
-    """Publish a finished output folder: ``dst`` is replaced by ``src`` (a rename)."""
+    """Publish a finished output folder: ``dst`` is replaced by ``src``.
+
+    The old folder is renamed aside first and deleted last, so a failed move puts it back
+    and at no time is the table neither old nor new for longer than two renames.
+    """
     fs, s = _fs_and_path(spark, src)
     _, d = _fs_and_path(spark, dst)
-    if fs.exists(d):
-        fs.delete(d, True)
+    _, aside = _fs_and_path(spark, f"{dst.rstrip('/')}.replaced")
     parent = d.getParent()
     if parent is not None and not fs.exists(parent):
         fs.mkdirs(parent)
-    if not fs.rename(s, d):
+    if not fs.exists(s):
+        raise FileNotFoundError(src)
+    if fs.exists(d):
+        fs.delete(aside, True)
+        if not fs.rename(d, aside):
+            raise OSError(f"could not move {dst} aside")
+    moved = False
+    try:
+        moved = fs.rename(s, d)
+    finally:
+        if not moved and fs.exists(aside):
+            fs.rename(aside, d)
+    if not moved:
         raise OSError(f"could not move {src} to {dst}")
+    fs.delete(aside, True)

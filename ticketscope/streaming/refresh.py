@@ -1,55 +1,84 @@
 """Incremental clean-table refresh with Structured Streaming.
 
 New raw pages landing under ``raw_dir`` are picked up by the file source, cleaned
-with the same expressions as the batch job and appended to the year/month
-partitioned clean table through the exactly-once file sink. Run with
-``availableNow`` from a scheduler (each run processes what has landed since the
-last one, then stops) or continuously. Progress lives in the checkpoint folder,
-so a lost executor or a restarted job resumes without reprocessing or losing pages.
-
-Duplicate keys across runs are dropped with bounded state: a key seen again
-within ``dedupe_within`` of its creation time (event-time watermark) is skipped.
+with the same expressions as the batch job and merged by ``unique_key`` into the
+year/month partitioned clean table: only the months that the new tickets touch are
+read and replaced, and of rows with one key that with the latest end stays. So a
+ticket that landed open and again once closed becomes closed, a page of any age
+counts, and a batch that is run again after a failure changes nothing.
+
+Run with ``availableNow`` from a scheduler (each run processes what has landed since
+the last one, then stops) or continuously. Progress lives in the checkpoint folder,
+which belongs to one output folder and must be given.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticketscope.operators.clean import clean, with_partition_keys
 from ticketscope.schema import RAW_SCHEMA
-from ticketscope.session import ensure_checkpoint_dir
+from ticketscope.session import scratch_dir
+from ticketscope.sources import files, storage
+
+
+def latest_per_key(rows: DataFrame) -> DataFrame:
+    """One row per ``unique_key``: that with the latest end (open last), then the smallest of its
+    other columns, so the choice never depends on row order. Rows without a key can't be
+    merged; equal ones among them are one."""
+    end = F.timestamp_add("MICROSECOND", (F.col("response_hours") * 3.6e9).cast("bigint"), F.col("created_dt"))
+    others = [F.col(c).asc_nulls_last() for c in rows.columns if c != "unique_key"]
+    best = Window.partitionBy("unique_key").orderBy(end.desc_nulls_last(), *others)
+    keyed = rows.where(F.col("unique_key").isNotNull())
+    kept = keyed.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    return kept.unionByName(rows.where(F.col("unique_key").isNull()).distinct())
+
 
+def merge_batch(fresh: DataFrame, clean_dir: str) -> None:
+    """Merge cleaned rows into the partitioned table at ``clean_dir``.
 
-def start_clean_stream(spark: SparkSession, raw_dir: str, clean_dir: str,
-                       checkpoint: str | None = None, sla_hours: float = 24.0,
-                       dedupe_within: str | None = "30 days", available_now: bool = True,
+    A key's earlier row lies in a touched month, because a ticket's creation time doesn't
+    change; if it did, both rows would stay and the uniqueness gate would report them. The merged
+    months are staged in shared storage before they replace the old ones."""
+    spark = fresh.sparkSession
+    keyed = with_partition_keys(fresh)
+    if files.exists(spark, clean_dir):
+        months = keyed.select("year", "month").distinct()
+        old = storage.read_clean(spark, clean_dir, storage.PARTITIONED_SCHEMA)
+        # one row per month; as a list of literals it prunes the folders that are read
+        touched = [(r.year, r.month) for r in months.collect()]
+        pick = F.lit(False)
+        for y, m in touched:
+            pick = pick | ((F.col("year") == y) & (F.col("month") == m))
+        keyed = keyed.unionByName(old.where(pick).select(*keyed.columns))
+    staged = scratch_dir(spark, "merge")
+    latest_per_key(keyed).write.parquet(staged)
+    rows = spark.read.schema(keyed.schema).parquet(staged)
+    storage.write_clean_partitioned(rows, clean_dir)
+
+
+def start_clean_stream(spark: SparkSession, raw_dir: str, clean_dir: str, checkpoint: str,
+                       sla_hours: float = 24.0, available_now: bool = True,
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""),
-                                      "streams", "clean_refresh")
+    if not checkpoint:
+        raise ValueError("a checkpoint folder of the output's own is needed")
     reader = spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    raw = reader.parquet(raw_dir)
-    if dedupe_within:
-        # watermarks need an instant type; the zone-less creation time serves as one
-        raw = (raw.withColumn("__event_ts", F.col("created_date").cast("timestamp"))
-               .withWatermark("__event_ts", dedupe_within)
-               .dropDuplicatesWithinWatermark(["unique_key"])
-               .drop("__event_ts"))
-    out = with_partition_keys(clean(raw, sla_hours=sla_hours))
-    writer = (out.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", ckpt).partitionBy("year", "month"))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(clean(batch, sla_hours=sla_hours), clean_dir)
+
+    writer = (reader.parquet(raw_dir).writeStream.foreachBatch(merge)
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="1 minute")
-    return writer.start(clean_dir)
+    return writer.start()
 
 
-def refresh_once(spark: SparkSession, raw_dir: str, clean_dir: str,
-                 checkpoint: str | None = None, **kw) -> None:
+def refresh_once(spark: SparkSession, raw_dir: str, clean_dir: str, checkpoint: str, **kw) -> None:
     """Process everything that has landed, then return."""
     q = start_clean_stream(spark, raw_dir, clean_dir, checkpoint, available_now=True, **kw)
     q.awaitTermination()
