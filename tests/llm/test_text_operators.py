@@ -210,3 +210,40 @@ def test_suffix_array_order():
     codes = rng.integers(1, 4, 300).astype(np.uint64)
     order = decontaminate.suffix_array(codes, 300)
     assert order.tolist() == sorted(range(300), key=lambda i: codes[i:].tolist())
+
+
+def plain_judge(rows):
+    """Verdicts from sorted values: rates, log buckets, quartiles per group, fences."""
+    import math
+    measured = [(r.doc_id, r.lang, r.source, dict(zip(quality_rules.COUNTS, quality_rules.measure(
+        None if r.text is None else r.text.encode())))) for r in rows]
+
+    def rate(c, name):
+        top, bottom, more, *_ = quality_rules.RATES[name]
+        return c[top] / (c[bottom] + more) if c[bottom] else 0.0
+    step = math.log(1.01 / 0.99)
+
+    def rounded(v):
+        return 0.0 if v < quality_rules.LEAST else math.exp(math.ceil(math.log(v) / step) * step) * 0.99
+    out = []
+    for doc, lang, source, c in measured:
+        for same in (lambda m: m[1:3] == (lang, source), lambda m: m[1] == lang, lambda m: True):
+            group = [m[3] for m in measured if same(m)]
+            if len(group) >= quality_rules.MIN_DOCS:
+                break
+        broken = set()
+        for name, (*_, spread, both) in quality_rules.RATES.items():
+            v = sorted(rounded(rate(g, name)) for g in group)
+            q1, q3 = v[math.ceil(len(v) * 0.25) - 1], v[math.ceil(len(v) * 0.75) - 1]
+            wide = quality_rules.REACH * max(q3 - q1, spread)
+            if rate(c, name) > q3 + wide or both and rate(c, name) < q1 - wide:
+                broken.add(name)
+        failed = c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]
+        out.append((doc, failed, not failed and not broken))
+    return sorted(out, key=str)
+
+
+def test_judge_by_brute_force(spark, odd):
+    for df in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
+        got = sorted(((r.doc_id, r.base_failed, r.kept) for r in quality_rules.judge(df).collect()), key=str)
+        assert got == plain_judge(df.collect())
