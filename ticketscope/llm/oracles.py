@@ -131,4 +131,62 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op2_mixing": OP2, "op4_url_filter": OP4, "op7_line_dedup": OP7, "op8_warc": OP8, "op9_decontaminate": OP9}
+_STEP = "ln(1.01e0 / 0.99e0)"
+#: rate: numerator, denominator, added to it, least spread, lower fence
+_RATES = (("symbols_per_word", "n_symbols", "n_words", 20, 0.04, False), ("dup_lines_per_line", "n_dup_lines", "n_lines", 15, 0.03, False),
+          ("repeats_per_word", "n_repeat_words", "n_words", 100, 0.05, False), ("chars_per_word", "word_chars", "n_words", 0, 0.4, True),
+          ("shouts_per_word", "n_shouts", "n_words", 20, 0.06, False), ("marks_per_word", "n_marks", "n_words", 20, 0.06, False))
+_RATE_ROWS = " UNION ALL ".join(
+    f"SELECT doc_id, lang, source, {i} AS nr, '{n}' AS rate, CASE WHEN {b} > 0 THEN {a}::DOUBLE / ({b} + {m}) ELSE 0e0 END AS v, "
+    f"{sp}e0 AS spread, {str(both).lower()} AS two_sided FROM m" for i, (n, a, b, m, sp, both) in enumerate(_RATES))
+
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS.format(text='text')} AS w,
+         string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(len(w) - 7), lambda i: w[i + 1:i + 8])) AS gram
+  FROM d WHERE len(w) > 8),
+r AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS place FROM g
+    QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+          - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_shouts,
+         length(text) - length(replace(text, '!', '')) AS n_marks
+  FROM d LEFT JOIN r USING (doc_id)),
+v AS ({_RATE_ROWS}),
+x AS (
+  SELECT *, CASE WHEN v < 1e-4 THEN 0e0 ELSE exp(ceil(ln(v) / {_STEP}) * {_STEP}) * 0.99e0 END AS held FROM v),
+lv AS (
+  SELECT x.*, y.level, y.nth, CASE WHEN y.nth < 2 THEN lang END AS l, CASE WHEN y.nth < 1 THEN source END AS s
+  FROM x, (VALUES ('source', 0), ('lang', 1), ('all', 2)) AS y(level, nth)),
+q AS (
+  SELECT level, nth, l, s, rate, any_value(spread) AS spread, any_value(two_sided) AS two_sided, count(*) AS n,
+         quantile_disc(held, 0.25) AS q1, quantile_disc(held, 0.75) AS q3
+  FROM lv GROUP BY level, nth, l, s, rate),
+f AS (
+  SELECT *, 4e0 * greatest(q3 - q1, spread) AS wide FROM q WHERE n >= 200 OR level = 'all'),
+j AS (
+  SELECT v.doc_id, v.nr, v.rate, f.level,
+         v.v > f.q3 + f.wide OR (f.two_sided AND v.v < f.q1 - f.wide) AS outside
+  FROM v JOIN f ON v.rate = f.rate AND (f.nth > 1 OR f.l IS NOT DISTINCT FROM v.lang)
+                AND (f.nth > 0 OR f.s IS NOT DISTINCT FROM v.source)
+  QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.rate ORDER BY f.nth) = 1),
+b AS (
+  SELECT doc_id, any_value(level) AS level, coalesce(string_agg(rate, ',' ORDER BY nr) FILTER (WHERE outside), '') AS broken
+  FROM j GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND broken = '' AS kept, broken, level
+FROM m JOIN b USING (doc_id)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_url_filter": OP4, "op7_line_dedup": OP7, "op8_warc": OP8,
+           "op9_decontaminate": OP9}
