@@ -90,49 +90,48 @@ def holiday_entries(year: Column, region: str | None = "NY") -> list[tuple[str,
 _DOW = {"Sun": 1, "Mon": 2, "Tue": 3, "Wed": 4, "Thu": 5, "Fri": 6, "Sat": 7}
 
 
-def _rule_day_sql(rule: Rule, y: str, m: str, dom: str, dow: str) -> str:
-    """SQL test that (year, month, day, weekday) is the rule's own date — integers only."""
-    if rule.kind == "fixed":
-        hit = f"{m} = {rule.month} AND {dom} = {rule.day}"
-    elif rule.name == "Election Day":
-        hit = f"{m} = 11 AND {dow} = {_DOW['Tue']} AND {dom} BETWEEN 2 AND 8"
-    elif rule.n == -1:
-        # last <weekday> of a 31-day month: day 25..31
-        hit = f"{m} = {rule.month} AND {dow} = {_DOW[rule.weekday]} AND {dom} >= 25"
-    else:
-        lo = 7 * (rule.n - 1) + 1
-        hit = f"{m} = {rule.month} AND {dow} = {_DOW[rule.weekday]} AND {dom} BETWEEN {lo} AND {lo + 6}"
-    return f"({hit} AND {y} >= {rule.since})" if rule.since else f"({hit})"
+def _since_map(entries: dict[int, int]) -> str:
+    return "map(" + ", ".join(f"{code}, {since}" for code, since in entries.items()) + ")"
 
 
 def is_holiday_sql(d: str, region: str | None = "NY") -> str:
-    """SQL text of ``is_holiday`` for a date-valued SQL expression ``d``."""
-    def parts(x):
-        return f"year({x})", f"month({x})", f"dayofmonth({x})", f"dayofweek({x})"
-    y, m, dom, dow = parts(d)
+    """SQL text of ``is_holiday`` for a date-valued SQL expression ``d``.
+
+    A day is coded as month * 100 + day, and as month * 100 + weekday * 10 + its
+    week in the month; constant maps give the first year in force of each code.
+    """
+    rules = rules_for(region)
+    fixed = {r.month * 100 + r.day: r.since for r in rules if r.kind == "fixed"}
+    moved = {r.month * 100 + r.day: r.since for r in rules if r.observed}
+    plain = [r for r in rules if r.kind == "nth" and r.n > 0 and r.name != "Election Day"]
+    weeks = {r.month * 100 + _DOW[r.weekday] * 10 + r.n: r.since for r in plain}
+
+    def in_force(entries: dict[int, int], code: str, day: str) -> str:
+        return f"coalesce(try_element_at({_since_map(entries)}, {code}) <= year({day}), false)"
+
+    def day_code(x: str) -> str:
+        return f"month({x}) * 100 + day({x})"
     nxt, prv = f"date_add({d}, 1)", f"date_sub({d}, 1)"
-    ny, nm, nd, _ = parts(nxt)
-    py, pm, pd, _ = parts(prv)
-    terms = []
-    for r in rules_for(region):
-        terms.append(_rule_day_sql(r, y, m, dom, dow))
-        if r.observed:
-            fri = _rule_day_sql(r, ny, nm, nd, str(_DOW["Sat"]))
-            mon = _rule_day_sql(r, py, pm, pd, str(_DOW["Sun"]))
-            terms.append(f"({dow} = {_DOW['Fri']} AND {fri})")
-            terms.append(f"({dow} = {_DOW['Mon']} AND {mon})")
+    terms = [in_force(fixed, day_code(d), d),
+             f"(dayofweek({d}) = {_DOW['Fri']} AND {in_force(moved, day_code(nxt), nxt)})",
+             f"(dayofweek({d}) = {_DOW['Mon']} AND {in_force(moved, day_code(prv), prv)})",
+             in_force(weeks, f"month({d}) * 100 + dayofweek({d}) * 10 + (day({d}) + 6) div 7", d)]
+    for r in rules:
+        if r.kind == "nth" and r.n == -1:  # the last of a 31-day month: day 25..31
+            terms.append(f"(month({d}) = {r.month} AND dayofweek({d}) = {_DOW[r.weekday]} AND day({d}) >= 25 AND year({d}) >= {r.since})")
+        elif r.name == "Election Day":     # the Tuesday after the first Monday
+            terms.append(f"(month({d}) = {r.month} AND dayofweek({d}) = {_DOW['Tue']} AND day({d}) BETWEEN 2 AND 8 AND year({d}) >= {r.since})")
     return "coalesce(" + " OR ".join(terms) + ", false)"
 
 
 def is_holiday(date_col: str, region: str | None = "NY") -> Column:
     """True when the date column is a holiday or an observed holiday; null → False.
 
-    Evaluated per row with integer comparisons on (month, day, weekday) — the
-    same calendar as ``holiday_calendar`` without building any date — so it
-    stays inside generated code and costs nanoseconds per row. A fixed-date
+    Evaluated per row with look-ups of (month, day, weekday) in constant maps — the
+    same calendar as ``holiday_calendar`` without building any date. The generated
+    code is small enough for the JVM's compiler without any flag. A fixed-date
     holiday on Saturday is observed on the Friday before (the holiday is the
     next day), on Sunday on the Monday after (the holiday was the day before).
-    The expression is built as SQL text: one parse instead of hundreds of calls.
     """
     return F.expr(is_holiday_sql(f"`{date_col}`", region))
 
