@@ -30,6 +30,11 @@ def any_data_file(spark: SparkSession, root: str, suffix: str = ".parquet") -> b
     return False
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_and_path(spark, path)
+    fs.delete(p, True)
+
+
 def replace_dir(spark: SparkSession, src: str, dst: str) -> None:
     """Publish a finished output folder: ``dst`` is replaced by ``src``.
 
