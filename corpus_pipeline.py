@@ -11,9 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketscope.llm import decontaminate, mixing, quality_model, simhash, token_store
-from ticketscope.llm.common import read_table, store
+from ticketscope.llm.common import read_table, scratch_scope
 from ticketscope.llm.queries import END_ID, QUALITY_LEAST, TOKENIZER, fold
-from ticketscope.session import ensure_checkpoint_dir
+from ticketscope.session import ensure_checkpoint_dir, scratch_dir
+from ticketscope.sources import files
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents of sf_dir."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        path = scratch_dir(spark, "pipeline-" + name.split()[0].lower())
+        with scratch_scope(spark):  # the stage's own tables go once its result is written
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if before:
+            files.delete(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(path), path
     return docs

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.session import scratch_dir
+from ticketscope.sources import files
 
 #: A word: a longest run of characters other than space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,16 +52,35 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
-def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to the shared scratch folder and read back: cuts the lineage, and a lost executor
-    costs only a re-read."""
-    spark = df.sparkSession
+_scopes: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared scratch place, known to the scope it is made in."""
     path = scratch_dir(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders made inside. For callers that write out what they need before
+    they leave; a query that returns a lazy DataFrame keeps its tables."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files.delete(spark, path)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch place and read back: cuts the lineage, and a lost executor
+    costs only a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def null_safe_keys(df: DataFrame, column: str, prefix: str) -> tuple[DataFrame, list[str]]:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketscope.llm.common import as_bytes, batch_of, null_safe_keys, store
+from ticketscope.llm.common import as_bytes, batch_of, null_safe_keys, scratch_path, scratch_scope, store
+from ticketscope.sources import files
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -228,34 +229,41 @@ def links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
             .mapInArrow(partial(_compare_batches, radius=radius), "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of the edges.
-
-    Alternating large-star and small-star steps; each grows no edges and is stored, and the loop
-    ends when the edge set no longer changes. Hot nodes are only met by partial aggregates and
-    by joins whose large partitions Spark splits.
-    """
-    e = store(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-              .filter("u < v").distinct(), "components")
-    mark = None
-    while True:
+def _star_step(e: DataFrame, path: str) -> None:
+    """One large-star and one small-star step over edges (v, u), v > u; written to `path`."""
+    with scratch_scope(e.sparkSession):
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select(
             F.col("v").alias("c"), F.least("v", "m").alias("m"))
         # large star: neighbours above a node move to the smallest of its neighbourhood
-        big = (both.join(low, both.v == low.c).filter(F.col("u") > F.col("v"))
-               .select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct())
-        big = store(big, "components")
+        big = store(both.join(low, both.v == low.c).filter(F.col("u") > F.col("v"))
+                    .select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct(), "large-star")
         # small star: neighbours below a node, and the node, move to the smallest of them
         least = big.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "c")
-        small = big.join(least, big.v == least.c)
-        e = store(small.select(F.col("u").alias("v"), F.col("m").alias("u"))
-                  .union(least.select(F.col("c").alias("v"), F.col("m").alias("u")))
-                  .filter("u < v").distinct(), "components")
+        (big.join(least, big.v == least.c).select(F.col("u").alias("v"), F.col("m").alias("u"))
+         .union(least.select(F.col("c").alias("v"), F.col("m").alias("u")))
+         .filter("u < v").distinct().write.parquet(path))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of the edges.
+
+    Alternating large-star and small-star steps; none grows the edges, each is stored and replaces
+    the one before, and the loop ends when the edge set no longer changes. Hot nodes are only
+    met by partial aggregates and by joins whose large partitions Spark splits.
+    """
+    spark, mark = edges.sparkSession, None
+    path = scratch_path(spark, "components")
+    (edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+     .filter("u < v").distinct().write.parquet(path))
+    while True:
+        e = spark.read.schema("v long, u long").parquet(path)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        mark = now
+        mark, old, path = now, path, scratch_path(spark, "components")
+        _star_step(e, path)
+        files.delete(spark, old)
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS,

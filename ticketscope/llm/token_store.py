@@ -35,8 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import as_bytes, batch_of, store
-from ticketscope.session import scratch_dir
+from ticketscope.llm.common import as_bytes, batch_of, scratch_path, store
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
@@ -115,7 +114,7 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): every whole text, encoded, with the end id; a stored table."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     encoded = rows.mapInArrow(partial(_encode_batches, path=tokenizer_path, end_id=end_id), "doc_id long, ids binary")
-    path = scratch_dir(docs.sparkSession, "token-ids")
+    path = scratch_path(docs.sparkSession, "token-ids")
     encoded.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(encoded.schema).parquet(path)
 
@@ -307,6 +306,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write to a scratch folder, read back."""
-    path = scratch_dir(docs.sparkSession, "tokens")
+    path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer_path, end_id)
     return read_tokens(docs.sparkSession, path)
