@@ -156,7 +156,7 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
     codes[starts + lengths] = 0
     hit = np.zeros(len(flat), bool)
     items: list[set[str]] = [set() for _ in docs]
-    best = [(0, -1, None)] * len(docs)
+    best: list[tuple[int, int, str | None]] = [(0, -1, None)] * len(docs)
     order = depth = None
     for handle in blocks:
         block: Block = handle.value
@@ -170,12 +170,14 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
         for at in (np.where(place > 0, order[np.maximum(place - 1, 0)], -1),
                    np.where(place < len(order), order[np.minimum(place, len(order) - 1)], -1)):
             same = block.agree(codes, own, at)
-            for q in np.flatnonzero(same):
-                d = int(np.searchsorted(starts, at[q], side="right")) - 1
-                if same[q] > best[d][0]:
-                    a, b = int(at[q]), int(block.start[q])
-                    if flat[a:a + same[q]] == block.words[b:b + same[q]]:
-                        best[d] = (int(same[q]), a - int(starts[d]), block.names[block.item[q]])
+            near = np.flatnonzero(same)
+            doc = np.searchsorted(starts, at[near], side="right") - 1
+            turn = np.lexsort((near, -same[near], doc))
+            found, first = np.unique(doc[turn], return_index=True)  # the longest match in each document
+            for d, q in zip(found.tolist(), near[turn][first].tolist()):
+                n, a, b = int(same[q]), int(at[q]), int(block.start[q])
+                if n > best[d][0] and flat[a:a + n] == block.words[b:b + n]:
+                    best[d] = (n, a - int(starts[d]), block.names[block.item[q]])
         test = block.windows
         low = block.search(codes, order, own, test, block.sizes, upper=False)
         high = block.search(codes, order, own, test, block.sizes, upper=True)

@@ -7,8 +7,9 @@ from document labels alone which passages tell, and the attention-weighted repre
 scored. So a document with a junk passage among good ones can be told without passage labels.
 
 The model is fitted with numpy on a bounded sample of labelled rows (`sample_rows` of each label,
-by a hash of doc_id; only rows that the caller gives as training rows); scoring runs over all
-documents, whole texts, in batches of bounded size.
+by a hash of doc_id; only rows that the caller gives as training rows; of a training document
+of over `SAMPLE_PASSAGES` passages that many, evenly spread), so what the driver gets is bounded.
+Scoring runs over all documents and all their passages, in batches of bounded size.
 
 A null or blank text is a bag of one empty passage. Null labels are left out. Rows that repeat a
 doc_id are scored each. Without labelled rows of both kinds the scores are 1 (0 if all known labels
@@ -29,6 +30,7 @@ from ticketscope.llm.common import as_bytes, batch_of, slices, store
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 2000
+SAMPLE_PASSAGES = 128
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH_DOCS, RATE = 30, 64, 0.01
 CHUNK_BYTES = 2 << 20
@@ -169,9 +171,9 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for part in slices(b, "text", CHUNK_BYTES):
             x, counts = encode(as_bytes(batch_of(part, "text")))
             ends = np.cumsum(counts)
+            spread = [np.unique(np.linspace(e - n, e - 1, min(n, SAMPLE_PASSAGES)).astype(int)) for e, n in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays(
-                [batch_of(part, "doc_id"), batch_of(part, "label"),
-                 pa.array([x[e - n:e].tobytes() for e, n in zip(ends, counts)], pa.binary())],
+                [batch_of(part, "doc_id"), batch_of(part, "label"), pa.array([x[k].tobytes() for k in spread], pa.binary())],
                 names=["doc_id", "label", "x"])
 
 
