@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF01, SF001
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean
@@ -102,3 +102,20 @@ def test_weekday_lines_and_rate_clip(data, spark):
     assert all(abs(r.pct_within + r.breach_rate - 1.0) < 1e-12 for r in lines)
     df = spark.createDataFrame([(-0.5,), (0.25,), (1.5,), (None,)], "r double")
     assert [r.c for r in df.select(clip_rate("r").alias("c")).collect()] == [0.0, 0.25, 1.0, None]
+
+
+def test_routed_median_is_within_its_rank_error(spark):
+    """The sketch median of a cell lies within 3 % of its ranks of the middle; on request it is exact."""
+    c = clean(FX.raw_tickets_a(spark, SF01)).where("response_hours is not null")
+    summaries = {"dow_hour": SM.dow_hour_summary(c, 24.0, detail=True)}
+    values = {}
+    for r in c.select("dow_name", "hour", "response_hours").collect():
+        values.setdefault((r.dow_name, r.hour), []).append(r.response_hours)
+    for r in V.serve_seasonality(None, None, 24.0, summaries=summaries).collect():
+        own = sorted(values[r.dow_name, r.hour])
+        assert not r.median_exact
+        below, upto = sum(v < r.median_response for v in own), sum(v <= r.median_response for v in own)
+        assert below - 1 <= len(own) * 0.53 and upto + 1 >= len(own) * 0.47
+    exact = V.serve_seasonality(c, None, 24.0, summaries=summaries, exact_median=True).collect()
+    live = {(r.dow_name, r.hour): r.median_response for r in M.seasonality(c, None, 24.0).collect()}
+    assert {(r.dow_name, r.hour): r.median_response for r in exact} == live

@@ -50,9 +50,6 @@ def _raw_type(name: str) -> T.DataType:
 RAW_SCHEMA = T.StructType([T.StructField(c, _raw_type(c), True) for c in RAW_COLUMNS])
 """Typed raw ticket contract (after lenient parsing)."""
 
-RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
-"""Landed raw tickets before parsing: every column is text."""
-
 CLEAN_SCHEMA = T.StructType([
     T.StructField("unique_key", T.StringType()),
     T.StructField("created_dt", T.TimestampNTZType()),
