@@ -17,6 +17,7 @@ from ticketscope.operators import exports as EX
 from ticketscope.operators import quality as Q
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean
+from ticketscope.session import scratch_scope
 from ticketscope.sources import csv_export as CSV
 from ticketscope.sources import extract as E
 from ticketscope.sources import files
@@ -52,18 +53,24 @@ def precompute(spark: SparkSession, root: str, out_dir: str, sla_hours: float =
                detail: bool = True) -> dict[str, str]:
     """Write the daily, complaint-type and weekday-hour summaries of the clean table."""
     tickets = ST.read_tickets(spark, root, view=None)
-    daily = SM.daily_summary(tickets, sla_hours, detail=True)
-    daily_path = SIO.write_summaries({"daily": daily if detail else
-                                      daily.select(*SM.DAILY_COLUMNS)}, out_dir)
-    # the complaint-type summary re-aggregates the stored daily one (small), not the tickets
-    stored_daily = SIO.read_summaries(spark, out_dir)["daily"]
-    rest = {"complaint_type": SM.type_summary(stored_daily, detail=detail),
-            "dow_hour": SM.dow_hour_summary(tickets, sla_hours, detail=detail)}
-    return {**daily_path, **SIO.write_summaries(rest, out_dir)}
+    with scratch_scope(spark):
+        daily = SM.daily_summary(tickets, sla_hours, detail=True)
+        daily_path = SIO.write_summaries({"daily": daily if detail else
+                                          daily.select(*SM.DAILY_COLUMNS)}, out_dir)
+        # the complaint-type summary re-aggregates the stored daily one (small), not the tickets
+        stored_daily = SIO.read_summaries(spark, out_dir)["daily"]
+        rest = {"complaint_type": SM.type_summary(stored_daily, detail=detail),
+                "dow_hour": SM.dow_hour_summary(tickets, sla_hours, detail=detail)}
+        return {**daily_path, **SIO.write_summaries(rest, out_dir)}
 
 
 def export(spark: SparkSession, root: str, out_dir: str) -> dict[str, str]:
     tickets = ST.read_tickets(spark, root, view=None)
+    with scratch_scope(spark):
+        return _export(tickets, out_dir)
+
+
+def _export(tickets, out_dir: str) -> dict[str, str]:
     return {
         "daily_borough": CSV.write_csv(EX.export_daily_borough(tickets), out_dir,
                                        "borough_days"),

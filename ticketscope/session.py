@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from ticketscope.sources import files
+
 # Settings the engine relies on. Shuffle partitions are left to the caller on a
 # cluster (AQE coalesces small ones); local runs use the core count.
 _DEFAULTS = {
@@ -61,6 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location for written tables."""
-    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint location for written tables, known to the
+    ``scratch_scope`` that it is made in."""
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders made inside. For jobs that have written what they need when
+    they leave; a query that returns a lazy DataFrame keeps its tables."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files.delete(spark, path)

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ticketscope.operators.clean import clean, with_partition_keys
 from ticketscope.schema import RAW_SCHEMA
-from ticketscope.session import scratch_dir
+from ticketscope.session import scratch_dir, scratch_scope
 from ticketscope.sources import files, storage
 
 
@@ -53,10 +53,11 @@ def merge_batch(fresh: DataFrame, clean_dir: str) -> None:
         for y, m in touched:
             pick = pick | ((F.col("year") == y) & (F.col("month") == m))
         keyed = keyed.unionByName(old.where(pick).select(*keyed.columns))
-    staged = scratch_dir(spark, "merge")
-    latest_per_key(keyed).write.parquet(staged)
-    rows = spark.read.schema(keyed.schema).parquet(staged)
-    storage.write_clean_partitioned(rows, clean_dir)
+    with scratch_scope(spark):
+        staged = scratch_dir(spark, "merge")
+        latest_per_key(keyed).write.parquet(staged)
+        rows = spark.read.schema(keyed.schema).parquet(staged)
+        storage.write_clean_partitioned(rows, clean_dir)
 
 
 def start_clean_stream(spark: SparkSession, raw_dir: str, clean_dir: str, checkpoint: str,
