@@ -11,9 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketscope.llm import decontaminate, mixing, quality_model, simhash, token_store
-from ticketscope.llm.common import read_table, scratch_scope
+from ticketscope.llm.common import read_table
 from ticketscope.llm.queries import END_ID, QUALITY_LEAST, TOKENIZER, fold
-from ticketscope.session import ensure_checkpoint_dir, scratch_dir
+from ticketscope.session import ensure_checkpoint_dir, scratch_dir, scratch_scope
 from ticketscope.sources import files
 
 

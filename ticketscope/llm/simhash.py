@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketscope.llm.common import as_bytes, batch_of, null_safe_keys, scratch_path, scratch_scope, store
+from ticketscope.llm.common import as_bytes, batch_of, null_safe_keys, store
+from ticketscope.session import scratch_dir, scratch_scope
 from ticketscope.sources import files
 
 SHINGLE_WORDS = 3
@@ -253,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
     met by partial aggregates and by joins whose large partitions Spark splits.
     """
     spark, mark = edges.sparkSession, None
-    path = scratch_path(spark, "components")
+    path = scratch_dir(spark, "components")
     (edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
      .filter("u < v").distinct().write.parquet(path))
     while True:
@@ -261,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        mark, old, path = now, path, scratch_path(spark, "components")
+        mark, old, path = now, path, scratch_dir(spark, "components")
         _star_step(e, path)
         files.delete(spark, old)
 
