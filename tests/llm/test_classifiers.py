@@ -77,6 +77,15 @@ def test_toxicity_learns_words_and_handles_odd_rows(spark, small):
     assert {r.score for r in toxicity.score(docs, labels.limit(0), "toxic", F.lit(True)).collect()} == {0.0}
 
 
+def test_toxicity_of_a_handful_of_rows(spark):
+    docs = spark.createDataFrame([(1, "nice words here"), (2, "you stupid idiot"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels, "toxic", F.lit(True)).collect()}
+    assert set(got) == {1, 2, 3} and all(0 <= s <= 1 for s in got.values())
+    only = toxicity.score(docs, labels.filter("toxic = 1"), "toxic", F.lit(True)).collect()
+    assert {r.score for r in only} == {1.0}
+
+
 def test_toxicity_features():
     lexicon, stems = {b"idiot": 3.0}, {b"lowei": 4.0}
     f = dict(zip(toxicity.FEATURES, toxicity.features(b"You IDIOT! an id10t and loweiart sooooo", lexicon, stems)))

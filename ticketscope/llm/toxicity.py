@@ -10,6 +10,7 @@
    in the lexicon once cleaned.
 4. Spark ML's GBTClassifier is fitted on three quarters of the sample, IsotonicRegression turns
    its margin into a probability on the last quarter (rows are first summed per rounded margin).
+   If either part lacks a label, as with a handful of rows, both use the whole sample.
 
 Null texts count as empty and get the score of the features of an empty text. Labels that are
 null are left out. Rows that repeat a doc_id are scored each. Without labelled rows of both
@@ -169,15 +170,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str, training: Column, samp
     spark = docs.sparkSession
     chosen = store(sample(labels, label, training, sample_rows), "toxic-sample")
     texts = store(chosen.join(docs.select("doc_id", "text"), "doc_id"), "toxic-texts")
-    base = dict.fromkeys((0, 1), 0) | {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    if not base[0] or not base[1]:
-        return docs.select("doc_id", F.lit(float(base[1] > 0)).alias("score"))
-    words = spark.sparkContext.broadcast(lexicon(texts.filter("part > 0")))
+    parts = {(r[0], r[1]) for r in texts.select("label", F.col("part") > 0).distinct().collect()}  # at most four
+    if len({label for label, _ in parts}) < 2:
+        return docs.select("doc_id", F.lit(float((1, True) in parts or (1, False) in parts)).alias("score"))
+    fit, calibrate = ("part > 0", "part = 0") if len(parts) == 4 else ("true", "true")
+    words = spark.sparkContext.broadcast(lexicon(texts.filter(fit)))
     train = store(with_features(texts, words), "toxic-features").withColumn("features", array_to_vector("features"))
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxMemoryInMB=64).fit(
-        train.filter("part > 0"))
+        train.filter(fit))
     margin = F.round(vector_to_array("rawPrediction")[1], 2)
-    steps = (trees.transform(train.filter("part = 0")).groupBy(margin.alias("margin"))
+    steps = (trees.transform(train.filter(calibrate)).groupBy(margin.alias("margin"))
              .agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")))
     curve = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight", predictionCol="score").fit(steps)
     rows = with_features(docs.select("doc_id", "text"), words).withColumn("features", array_to_vector("features"))
