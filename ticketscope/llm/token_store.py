@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -41,7 +41,7 @@ from ticketscope.session import scratch_dir
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
 CODE_BITS = 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 # What the fast path takes: ASCII without white space, apostrophe and "<" (special tokens begin
 # with it), and Latin-1 letters.
@@ -71,25 +71,37 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer, self.limit, self.alphabet = Tokenizer.from_file(path), limit, _byte_alphabet()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model = self.tokenizer.model
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        text = piece.decode("utf-8", "replace")
-        if _SIMPLE.fullmatch(text):
-            low = text.lower()
-            parts = _PIECES.findall(low)
-            if len(parts) > 1 or low != text:
-                ids = b"".join(self[p.encode()] for p in parts)
+        body = piece[:-1] if piece[-1:] in (b".", b",") else piece
+        if body.isalpha():  # ASCII letters alone
+            low = body.lower()
+            if low != piece:
+                ids = self[low] if body is piece else self[low] + self[piece[-1:]]
             else:
-                word = piece.decode("latin-1").translate(self.alphabet)
-                ids = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+                ids = self._pack([t.id for t in self.model.tokenize(low.decode())])
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            ids = self._mixed(piece)
         self[piece] = ids
         return ids
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _mixed(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace")
+        if not _SIMPLE.fullmatch(text):
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        low = text.lower()
+        parts = _PIECES.findall(low)
+        if len(parts) > 1 or low != text:
+            return b"".join(self[p.encode()] for p in parts)
+        word = piece.decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.model.tokenize(word)])
+
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
