@@ -6,8 +6,10 @@ task, which a group holding a third of a 100 TB table would not fit. Here
 1. the first scan computes the other aggregates and, per group, a bracket around
    the middle from ``percentile_approx`` (bounded, mergeable sketches): ranks
    ``0.5 ± 2 / ACCURACY``, wider than the sketch's own error of ``1 / ACCURACY``.
-   This small table is stored, so the join of the second scan is planned from
-   its true size and the lineage is cut;
+   This table is stored, so the join of the second scan is planned from its true
+   size and the lineage is cut. Where the groups are the cells of a fixed domain
+   (the whole table, weekdays, hours; ``fixed_groups``), its few rows are held as
+   local rows instead;
 2. the second scan counts the values below each group's bracket and pre-aggregates
    those inside it as ``(keys, value, count)``. Only about ``4 / ACCURACY`` of a
    group's values are inside, and their running counts give the exact ranks.
@@ -33,11 +35,12 @@ _ALL = "__all"
 def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
                           median_of: Column | str | None, median_alias: str,
                           method: str = "exact", order: list[str] | None = None,
-                          accuracy: int = ACCURACY) -> DataFrame:
+                          accuracy: int = ACCURACY, fixed_groups: bool = False) -> DataFrame:
     """``groupBy(keys).agg(*aggs, median(median_of) AS median_alias)``, skew-safe.
 
     Null group keys are kept as groups. Output columns: keys, aggregates and the
-    median, or those of ``order``.
+    median, or those of ``order``. ``fixed_groups``: the keys come from a domain that doesn't
+    grow with the data, so a row per group may pass through the driver.
     """
     value = F.col(median_of) if isinstance(median_of, str) else median_of
     if method == "inline":
@@ -45,7 +48,7 @@ def aggregate_with_median(df: DataFrame, keys: list[str], aggs: list[Column],
     elif method == "approx":
         out = df.groupBy(*keys).agg(*aggs, F.percentile_approx(value, 0.5, accuracy).alias(median_alias))
     elif method == "exact":
-        out = _exact(df, keys, aggs, value.cast("double"), median_alias, accuracy)
+        out = _exact(df, keys, aggs, value.cast("double"), median_alias, accuracy, fixed_groups or not keys)
     else:
         raise ValueError(f"unknown median method {method!r}, not one of {METHODS}")
     return out.select(*order) if order else out
@@ -57,11 +60,16 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _local(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
 def _exact(df: DataFrame, keys: list[str], aggs: list[Column], value: Column, alias: str,
-           accuracy: int) -> DataFrame:
+           accuracy: int, fixed_groups: bool) -> DataFrame:
     reach = 2.0 / accuracy
     bracket = F.percentile_approx(value, F.array(F.lit(0.5 - reach), F.lit(0.5 + reach)), F.lit(accuracy))
-    base = _stored(df.groupBy(*keys).agg(*aggs, F.count(value).alias("__n"), bracket.alias("__at")), "median-brackets")
+    base = df.groupBy(*keys).agg(*aggs, F.count(value).alias("__n"), bracket.alias("__at"))
+    base = _local(base) if fixed_groups else _stored(base, "median-brackets")
     names = [c for c in base.columns if c not in ("__n", "__at")]
 
     if keys:

@@ -62,7 +62,7 @@ def seasonality(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float
         d, ["dow_name", "hour"],
         [F.count(F.lit(1)).alias("tickets"),
          F.avg(S.breach_indicator(HOURS, sla_hours, open_tickets)).alias("breach_rate")],
-        HOURS, "median_response", method=median_method,
+        HOURS, "median_response", method=median_method, fixed_groups=True,
         order=["dow_name", "hour", "tickets", "breach_rate", "median_response"])
     return sort_bounded(out, weekday_order("dow_name"), "hour")
 
@@ -75,7 +75,7 @@ def by_weekday(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float
         d, ["dow_name"],
         [F.avg(S.breach_indicator(HOURS, sla_hours, open_tickets)).alias("breach_rate"),
          F.count(F.lit(1)).alias("tickets")],
-        HOURS, "median_response", method=median_method,
+        HOURS, "median_response", method=median_method, fixed_groups=True,
         order=["dow_name", "median_response", "breach_rate", "tickets"])
     out = out.withColumn("pct_within", F.lit(1.0) - F.col("breach_rate").cast("double"))
     return sort_bounded(out, weekday_order("dow_name"))
