@@ -205,6 +205,49 @@ def test_longest_match(spark):
     assert got == {1: (17, 2, "7"), 2: (3, 0, "7"), 3: (0, -1, None)}
 
 
+def plain_longest(docs, items):
+    """By brute force: most words, first in the text, least item name."""
+    named = [(str(item) if item is not None else "null", plain_words(text)) for item, text in items]
+    out = []
+    for doc, text in docs:
+        w, best = plain_words(text), (0, 1, None)
+        for name, own in named:
+            for a in range(len(w)):
+                for b in range(len(own)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(own) and w[a + n] == own[b + n]:
+                        n += 1
+                    if n and (-n, a, name) < (-best[0], -best[1], best[2] or ""):
+                        best = (n, -a, name)
+        out.append((doc, best[0], -best[1], best[2]))
+    return collections.Counter(out)
+
+
+LONGEST_OPTIONS = [{}, {"shard_words": 40}, {"block_words": 10}, {"shard_words": 1, "block_words": 1}]
+
+
+@pytest.mark.parametrize("options", LONGEST_OPTIONS)
+def test_longest_match_in_every_copy(spark, options):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho"
+    rows = [(i, f"w{i} {item} v{i}") for i in range(6)] + [(9, "delta epsilon then pi rho")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(8, "other " + item), (7, item), (6, "pi rho")], "item_id long, text string")
+    got = {r.doc_id: (r.longest_words, r.longest_at, r.longest_item) for r in decontaminate.report(docs, items, **options).collect()}
+    assert got == {i: (17, 1, "7") for i in range(6)} | {9: (2, 0, "7")}
+
+
+@pytest.mark.parametrize("options", LONGEST_OPTIONS)
+def test_longest_match_by_brute_force(spark, options):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(list("abcde"), size)) for size in rng.integers(0, 30, 90)]
+    items = [(int(i), t) for i, t in enumerate(texts[:30])] + [(None, "a b"), (3, "c c c"), (40, None), (41, "zz a zz")]
+    docs = list(enumerate(texts[10:] + texts[:20] + ["a b c zz", "none here"]))
+    got = collections.Counter((r.doc_id, r.longest_words, r.longest_at, r.longest_item) for r in decontaminate.report(
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(2),
+        spark.createDataFrame(items, "item_id long, text string"), **options).collect())
+    assert got == plain_longest(docs, items)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(5)
     codes = rng.integers(1, 4, 300).astype(np.uint64)

@@ -2,9 +2,14 @@
 
 Every task builds, for each shard of whole documents, the suffix array of its words (prefix
 doubling, sorted as deep as the longest benchmark item). All suffixes of the benchmark are binary
-searched in it: neighbours of the place found give the longest verbatim match and where it lies;
-the interval of suffixes that begin with an item's window gives every place of the window. Found
-places are confirmed word by word, so a collision of word codes can't report a match.
+searched in it: the interval of suffixes that begin with an item's window gives every place of the
+window. The places found put the benchmark's suffixes among the shard's in one order; every suffix
+of the shard matches furthest with the nearest of them before or after it, so every document has
+its longest verbatim match, however many documents hold the same passage. Words are numbered
+within a shard, so a match is one of words, not of hashes.
+
+Of a document's matches of most words the first in the text is reported, and of the items that
+hold it the one with the least name: how rows fall into shards and blocks changes nothing.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one
 window. A word inside any occurrence of a window is hit. A document is contaminated if it has a
@@ -22,8 +27,10 @@ item_id is listed as "null". An empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +48,8 @@ BLOCK_WORDS = 1 << 20
 # Word bytes: ASCII letters and digits and every byte of a character beyond ASCII.
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
+_OTHER = 2**32 - 1  # number of benchmark words that are not in the shard
+
 REPORT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
@@ -52,9 +61,9 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_CLASS).split() if text else []
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
-    """32-bit codes of words, equal for equal words within a process; 0 is left for document ends."""
-    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64) % np.uint64(2**32 - 1) + np.uint64(1)
+def _codes(code, words: list[bytes], *more) -> np.ndarray:
+    """The numbers that `code` gives the words; 0 is left for document ends."""
+    return np.fromiter(map(code, words, *more), np.int64, len(words)).astype(np.uint64)
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -90,6 +99,8 @@ class Block:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
         self.names = [name for name, _ in items]
+        self.rank = np.empty(len(items), np.int64)  # place of each item's name among the names
+        self.rank[sorted(range(len(items)), key=self.names.__getitem__)] = np.arange(len(items))
         self.words = [w for _, ws in items for w in ws]
         lengths = np.array([len(ws) for _, ws in items], np.int64)
         ends = np.cumsum(lengths)
@@ -129,20 +140,63 @@ class Block:
             low[open_] = np.where(goes_up, mid + 1, low[open_])
             high[open_] = np.where(goes_up, high[open_], mid)
 
-    def agree(self, codes: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def agree(self, codes: np.ndarray, own: np.ndarray, at: np.ndarray, test: np.ndarray) -> np.ndarray:
         """Words in common of each test suffix and the training suffix at `at` (-1: none)."""
         n, same = len(codes), np.zeros(len(at), np.int64)
         live = np.flatnonzero(at >= 0)
         step = 0
         while len(live):
             place = at[live] + step
-            ok = (place < n) & (codes[np.minimum(place, n - 1)] == own[self.start[live] + step])
+            ok = (place < n) & (codes[np.minimum(place, n - 1)] == own[test[live] + step])
             live = live[ok]
             same[live] += 1
             step += 1
-            live = live[self.left[live] > step]
+            live = live[self.left[test[live]] > step]
         return same
 
+    def longest(self, codes: np.ndarray, order: np.ndarray, own: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
+        """(document, words, place in the shard, item name) of the longest match of each document
+        that has one."""
+        n = len(order)
+        place = self.search(codes, order, own, self.start, self.left, upper=False)
+        before = self.agree(codes, own, np.where(place > 0, order[np.maximum(place - 1, 0)], -1), self.start)
+        after = self.agree(codes, own, np.where(place < n, order[np.minimum(place, n - 1)], -1), self.start)
+        # Of the test suffixes at one place, the last in order agrees most with what follows, the
+        # first with what comes before.
+        spots, first = np.unique(np.sort(place), return_index=True)
+        last_here = np.lexsort((-after, place))[first]
+        first_here = np.lexsort((-before, place))[first]
+        spot = np.searchsorted(spots, np.arange(n), side="right")  # test places up to each training suffix
+        ats, sames = [], []
+        for some, test in ((np.flatnonzero(spot > 0), last_here[spot[spot > 0] - 1]),
+                           (np.flatnonzero(spot < len(spots)), first_here[spot[spot < len(spots)]])):
+            at = order[some]
+            # a match that goes on to the left is part of a longer one, a word earlier
+            inner = ((at > 0) & (self.start[test] > 0) & (self.item[test] == self.item[np.maximum(test - 1, 0)])
+                     & (codes[np.maximum(at - 1, 0)] == own[np.maximum(test - 1, 0)]))
+            at, test = at[~inner], test[~inner]
+            same = self.agree(codes, own, at, test)
+            ats.append(at[same > 0])
+            sames.append(same[same > 0])
+        at, same = np.concatenate(ats), np.concatenate(sames)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        turn = np.lexsort((at, -same, doc))
+        doc, first = np.unique(doc[turn], return_index=True)
+        at, same = at[turn][first], same[turn][first]
+        # the items that hold the match: test suffixes next to a training suffix that begins with it
+        low = self.search(codes, order, codes, at, same, upper=False)
+        high = self.search(codes, order, codes, at, same, upper=True)
+        turn = np.argsort(place, kind="stable")
+        least, greatest = np.searchsorted(place[turn], low), np.searchsorted(place[turn], high, side="right")
+        known: dict[tuple[int, int], str] = {}
+        for d, size, a, lo, hi, i, j in zip(*(v.tolist() for v in (doc, same, at, low, high, least, greatest))):
+            if (lo, size) not in known:
+                q = turn[i:j]
+                q = q[((after[q] >= size) & (place[q] < hi)) | ((before[q] >= size) & (place[q] > lo))]
+                items = self.item[q]
+                known[lo, size] = self.names[items[self.rank[items].argmin()]]
+            yield d, size, a, known[lo, size]
+
 
 def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Iterator[tuple]:
     docs = [words_of(t) for t in texts]
@@ -152,7 +206,8 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
     for d in docs:
         flat += d
         flat.append(b"")
-    codes = _codes(flat)
+    numbers = defaultdict(count(1).__next__)
+    codes = _codes(numbers.__getitem__, flat)
     codes[starts + lengths] = 0
     hit = np.zeros(len(flat), bool)
     items: list[set[str]] = [set() for _ in docs]
@@ -165,19 +220,11 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
         if order is None or block.depth > depth:
             depth = max(block.depth, window)
             order = suffix_array(codes, depth)
-        own = _codes(block.words)
-        place = block.search(codes, order, own, block.start, block.left, upper=False)
-        for at in (np.where(place > 0, order[np.maximum(place - 1, 0)], -1),
-                   np.where(place < len(order), order[np.minimum(place, len(order) - 1)], -1)):
-            same = block.agree(codes, own, at)
-            near = np.flatnonzero(same)
-            doc = np.searchsorted(starts, at[near], side="right") - 1
-            turn = np.lexsort((near, -same[near], doc))
-            found, first = np.unique(doc[turn], return_index=True)  # the longest match in each document
-            for d, q in zip(found.tolist(), near[turn][first].tolist()):
-                n, a, b = int(same[q]), int(at[q]), int(block.start[q])
-                if n > best[d][0] and flat[a:a + n] == block.words[b:b + n]:
-                    best[d] = (n, a - int(starts[d]), block.names[block.item[q]])
+        own = _codes(numbers.get, block.words, repeat(_OTHER))
+        for d, n, a, name in block.longest(codes, order, own, starts):
+            a -= int(starts[d])
+            if n > best[d][0] or n == best[d][0] and (a, name) < best[d][1:]:
+                best[d] = (n, a, name)
         test = block.windows
         low = block.search(codes, order, own, test, block.sizes, upper=False)
         high = block.search(codes, order, own, test, block.sizes, upper=True)
