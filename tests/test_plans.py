@@ -2,10 +2,16 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from conftest import SF001
+from ticketscope.operators import exports as EX
 from ticketscope.operators import metrics as M
+from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean
 from ticketscope.operators.filters import TicketFilter
+from ticketscope.plans.catalog import QUERIES
 from ticketscope.sources import fixtures as FX
 from ticketscope.sources import storage as ST
 
@@ -47,3 +53,21 @@ def test_holiday_and_strip_stay_in_generated_code(spark):
     c = clean(FX.raw_tickets_a(spark, SF001)).select("unique_key", "is_holiday", "borough")
     p = plan_of(c)
     assert "*(" in p                                  # whole-stage codegen around the project
+
+
+HOT_GROUP_QUERIES = ("kpi_skew_safe", "daily_summary_skew_safe", "export_daily_borough_hot_groups")
+
+
+@pytest.mark.parametrize("name", HOT_GROUP_QUERIES)
+def test_hot_group_queries_never_gather_a_group(spark, monkeypatch, name):
+    def median(*_):
+        raise AssertionError("F.median keeps every value of a group in one map")
+    monkeypatch.setattr(F, "median", median)
+    assert QUERIES[name](spark, SF001).columns
+
+
+def test_two_scan_median_equals_the_inline_one(spark):
+    c = clean(FX.raw_tickets_a(spark, SF001))
+    for run in (M.kpi, SM.daily_summary, EX.export_daily_borough):
+        exact, inline = (sorted(map(tuple, run(c, **o).collect()), key=str) for o in ({}, {"median_method": "inline"}))
+        assert exact == inline and exact

@@ -105,8 +105,8 @@ def q_kpi_open_breached(spark, sf):
 
 
 def q_kpi_skew_safe(spark, sf):
-    """The inline median, for comparison: the default path is the skew-safe one."""
-    return M.kpi(clean_a(spark, sf), None, SLA, median_method="inline")
+    """All response hours in one group: the two-scan median never gathers them."""
+    return M.kpi(clean_a(spark, sf), None, SLA)
 
 
 def q_top_types(spark, sf):
@@ -167,7 +167,7 @@ def q_daily_summary(spark, sf):
 
 
 def q_daily_summary_skew_safe(spark, sf):
-    return SM.newest_first(SM.daily_summary(clean_a(spark, sf), SLA, median_method="inline"))
+    return SM.newest_first(SM.daily_summary(clean_a(spark, sf), SLA))
 
 
 def q_type_summary(spark, sf):
@@ -209,8 +209,8 @@ def q_export_daily_borough(spark, sf):
 
 
 def q_export_daily_borough_hot_groups(spark, sf):
-    """The same export with the inline median, for comparison with the default path."""
-    return EX.export_daily_borough(clean_a(spark, sf), median_method="inline")
+    """The same export, whose two-scan median holds for hot days and boroughs too."""
+    return EX.export_daily_borough(clean_a(spark, sf))
 
 
 def q_export_type_breaches(spark, sf):
