@@ -163,3 +163,31 @@ def test_encoding_does_not_depend_on_neighbours():
     assert counts.tolist() == [1, 1, 1, 16, 1]
     alone = np.concatenate([quality_model.encode([t])[0] for t in texts])
     assert np.array_equal(x, alone)
+
+
+def bags_fitted(spark, monkeypatch, docs, labels, **options):
+    """The passages of each document that the quality model is fitted on, by label."""
+    seen = {}
+
+    def fit(self, x, counts, y, **_):
+        assert len(x) == counts.sum()
+        seen.update({v: sorted(counts[y == v].tolist()) for v in (0, 1)})
+        return self
+    monkeypatch.setattr(quality_model.Model, "fit", fit)
+    quality_model.train(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame(labels, "doc_id long, quality int"), "quality", F.lit(True), **options)
+    return seen
+
+
+def test_training_documents_are_whole(spark, monkeypatch):
+    docs = [(1, "w " * (64 * 1000)), (2, "w " * (64 * 200 + 1)), (3, None), (4, "x")]
+    labels = [(1, 0), (2, 1), (3, 0), (4, 1)]
+    assert bags_fitted(spark, monkeypatch, docs, labels) == {0: [1, 1000], 1: [1, 201]}
+    few = bags_fitted(spark, monkeypatch, [(i, "w " * 640) for i in range(40)], [(i, i % 2) for i in range(40)], sample_passages=100)
+    assert few == {0: [10] * 5, 1: [10] * 5}
+
+
+def test_training_sample_holds_few_rows_of_a_hot_id(spark, monkeypatch):
+    docs = [(1, f"text {i % 90}") for i in range(180)] + [(2, "y")]
+    got = bags_fitted(spark, monkeypatch, docs, [(1, 0), (1, 0), (2, 1), (2, 1)], sample_rows=7)
+    assert got == {0: [1] * 7, 1: [1]}

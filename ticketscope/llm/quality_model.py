@@ -6,10 +6,11 @@ tanh layer. Gated attention (tanh times sigmoid, softmax over the passages of a
 from document labels alone which passages tell, and the attention-weighted representation is
 scored. So a document with a junk passage among good ones can be told without passage labels.
 
-The model is fitted with numpy on a bounded sample of labelled rows (`sample_rows` of each label,
-by a hash of doc_id; only rows that the caller gives as training rows; of a training document
-of over `SAMPLE_PASSAGES` passages that many, evenly spread), so what the driver gets is bounded.
-Scoring runs over all documents and all their passages, in batches of bounded size.
+The model is fitted with numpy on a bounded sample of whole labelled documents: of each label, by a
+hash of doc_id, `sample_rows` of the rows that the caller gives as training rows, or as many as
+reach half of `sample_passages` if that is fewer. So what the driver gets is bounded by the
+passages and two documents, and no text is thinned. Rows of the same doc_id, label and text are
+taken once. Scoring runs over all documents and all their passages, in batches of bounded size.
 
 A null or blank text is a bag of one empty passage. Null labels are left out. Rows that repeat a
 doc_id are scored each. Without labelled rows of both kinds the scores are 1 (0 if all known labels
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import as_bytes, batch_of, slices, store
+from ticketscope.llm.common import WORD, as_bytes, batch_of, slices, store
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 2000
-SAMPLE_PASSAGES = 128
+SAMPLE_PASSAGES = 1 << 18  # 185 MB of features
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH_DOCS, RATE = 30, 64, 0.01
 CHUNK_BYTES = 2 << 20
@@ -171,20 +172,42 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for part in slices(b, "text", CHUNK_BYTES):
             x, counts = encode(as_bytes(batch_of(part, "text")))
             ends = np.cumsum(counts)
-            spread = [np.unique(np.linspace(e - n, e - 1, min(n, SAMPLE_PASSAGES)).astype(int)) for e, n in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays(
-                [batch_of(part, "doc_id"), batch_of(part, "label"), pa.array([x[k].tobytes() for k in spread], pa.binary())],
+                [batch_of(part, "doc_id"), batch_of(part, "label"),
+                 pa.array([x[e - n:e].tobytes() for e, n in zip(ends, counts)], pa.binary())],
                 names=["doc_id", "label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, sample_rows: int = SAMPLE_ROWS):
-    """A Model fitted on at most `sample_rows` documents of each label, or the constant score that
-    the known labels allow."""
+def _sample(docs: DataFrame, chosen: DataFrame, sample_rows: int, sample_passages: int) -> DataFrame:
+    """(doc_id, label, text) of the sample's documents. Rows of the chosen doc_ids are put in order
+    by short keys; only the texts of those taken are read."""
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("same"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    keys = ["label", "turn", "doc_id", "same"]
+    rows = (chosen.join(texts, "doc_id").groupBy(*keys)
+            .agg(F.max(F.greatest(F.ceil(words / PASSAGE_WORDS), F.lit(1))).alias("passages")))
+    taken = []
+    for v in (0, 1):
+        total = 0
+        for row in rows.filter(F.col("label") == v).orderBy(*keys).limit(sample_rows).collect():
+            if 2 * total >= sample_passages:
+                break
+            total += row["passages"]
+            taken.append((row["label"], row["doc_id"], row["same"]))
+    picked = docs.sparkSession.createDataFrame(taken, "label int, doc_id long, same long")
+    return (texts.join(F.broadcast(picked), ["doc_id", "same"]).groupBy("doc_id", "label", "same")
+            .agg(F.min("text").alias("text")).select("doc_id", "label", "text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, sample_rows: int = SAMPLE_ROWS,
+          sample_passages: int = SAMPLE_PASSAGES):
+    """A Model fitted on at most `sample_rows` whole documents of each label, or the constant score
+    that the known labels allow."""
     known = labels.filter(training & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
         "doc_id", F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(11), "doc_id").alias("turn"))
     picked = [known.filter(F.col("label") == v).orderBy("turn", "doc_id").limit(sample_rows) for v in (0, 1)]
-    chosen = store(picked[0].union(picked[1]).select("doc_id", "label"), "quality-sample")  # bounded: may be broadcast
-    rows = (chosen.join(docs.select("doc_id", "text"), "doc_id")
+    chosen = store(picked[0].union(picked[1]).distinct(), "quality-sample")  # bounded: may be broadcast
+    rows = (_sample(docs, chosen, sample_rows, sample_passages)
             .mapInArrow(_sample_batches, "doc_id long, label int, x binary").orderBy("doc_id", "x").toArrow())
     y = rows["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
