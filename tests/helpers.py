@@ -1,9 +1,14 @@
-"""Hand-made raw tickets covering the edge rows every operator must handle."""
+"""The test data's folders, and hand-made raw tickets covering the edge rows every operator must handle."""
 
 import datetime as dt
+import os
 
 from ticketscope.schema import RAW_SCHEMA
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+
 
 def ts(s):
     return dt.datetime.fromisoformat(s)

@@ -3,7 +3,7 @@
 import subprocess
 import sys
 
-from conftest import HERE
+from helpers import HERE
 
 CODE = """
 import sys

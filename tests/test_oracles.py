@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF01
+from helpers import SF01
 from oracle_compare import compare, duck
 from ticketscope.plans.catalog import QUERIES as TICKET_QUERIES
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from ticketscope.operators import exports as EX
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from helpers import edge_raw
 from ticketscope.operators import quality as Q
 from ticketscope.operators import sampling as SP

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from conftest import SF001
+from helpers import SF001
 from ticketscope.operators.quality import QualityError
 from ticketscope.plans import refresh as RF
 from ticketscope.sources import extract as E

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from helpers import edge_raw
 from ticketscope.operators.clean import clean
 from ticketscope.operators.filters import TicketFilter

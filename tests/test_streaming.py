@@ -1,7 +1,7 @@
 import datetime as dt
 import os
 
-from conftest import SF001
+from helpers import SF001
 from ticketscope.operators.clean import clean
 from ticketscope.sources import extract as E
 from ticketscope.sources import fixtures as FX

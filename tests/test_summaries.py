@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01, SF001
+from helpers import SF01, SF001
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.clean import clean
