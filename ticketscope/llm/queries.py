@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketscope.llm import (decontaminate, line_dedup, mixing, quality_model, quality_rules, simhash, token_store, toxicity,
-                             url_filter, warc)
+                             url_filter, warc, winnowing)
 from ticketscope.llm.common import read_table
 from ticketscope.llm.oracles import ORACLES  # noqa: F401  for the driver
 from ticketscope.session import ensure_checkpoint_dir, scratch_dir
@@ -86,5 +86,11 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return winnowing.compared(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_prints")
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_simhash, op4_url_filter, op5_toxicity,
-                                   op6_token_store, op7_line_dedup, op8_warc, op9_decontaminate, op10_quality_model)}
+                                   op6_token_store, op7_line_dedup, op8_warc, op9_decontaminate, op10_quality_model, op13_winnowing)}
