@@ -1,0 +1,120 @@
+"""Hard negatives against plain Python integers, and Strassen against the plain product."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ticketscope.llm import hard_negatives as hn
+
+SCHEMA = "vec_id long, embedding array<float>, label int, score string, place double, rank int"
+
+
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 40), st.integers(1, 9), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None)
+def test_strassen(m, d, n, leaf, seed):
+    r = np.random.default_rng(seed)
+    a, b = r.integers(-2**28, 2**28, (m, d)), r.integers(-2**28, 2**28, (n, d)).T
+    assert (hn.strassen(a, b, leaf) == a @ b).all()
+
+
+def test_strassen_wraps_to_the_exact_value():
+    a = np.full((8, 8), 2**61)
+    b = np.zeros((8, 8), np.int64)
+    b[0], b[1] = 3, -3  # every intermediate sum passes 64 bits, the product doesn't
+    b[2, 0] = 1
+    assert (hn.strassen(a, b, 1) == np.array([[2**61] + [0] * 7] * 8)).all()
+
+
+def plain(rows, every=50, n_pos=5, n_neg=3):
+    part = []
+    for place, (vec_id, v, label) in enumerate(rows):
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        if vec_id is not None and vec_id % 7 == 0:
+            label = (label + 1) % 10
+        part.append((place, vec_id, label, [math.floor(256 * x) for x in v]))
+
+    def order(s):
+        return -s[0], s[1] is None, s[1] or 0
+    out = []
+    for place, vec_id, label, v in part:
+        if vec_id is None or vec_id % every:
+            continue
+        scores = [(sum(a * b for a, b in zip(v, u)), i, same == label) for p, i, same, u in part if p != place]
+        for p_score, p_id, _ in sorted((s for s in scores if s[2]), key=order)[:n_pos]:
+            near = sorted((s for s in scores if not s[2] and 50 * p_score <= 100 * s[0] <= 95 * p_score), key=order)[:n_neg]
+            out += [(vec_id, p_id, k + 1, i, p_score, s) for k, (s, i, _) in enumerate(near)]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1.0, 9) for r in rows], SCHEMA)
+
+
+def vectors(n, d, seed, labels=4):
+    r = random.Random(seed)
+    return [(r.choice([i, i, i, 50 * (i // 9)]), [r.choice([0.0, 0.5, 1.0, r.uniform(-1, 1)]) for _ in range(d)], r.randrange(labels))
+            for i in range(n)]
+
+
+def as_float(rows):
+    return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in rows]
+
+
+def test_odd_rows(spark):
+    rows = vectors(150, 5, 1) + [
+        (50, None, 1), (100, [1.0, None], 1), (100, [math.nan], 1), (150, [math.inf], 2), (0, [1.0] * 5, None), (None, [1.0] * 5, 1),
+        (None, [0.5] * 5, 2), (None, [0.5] * 5, 2), (200, [], 1), (250, [1.0], 1), (300, [1.0] * 9, 1), (300, [1.0] * 9, 1), (7, [2.0] * 5, 9)]
+    rows = as_float(rows)
+    assert got(hn.mine(table(spark, rows))) == plain(rows)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_many_cells_and_tiles(spark, monkeypatch, seed):
+    for name, value in (("CELL_ANCHORS", 7), ("CELL_ROWS", 60), ("TILE_ROWS", 16), ("ANCHOR_ROWS", 3), ("LEAF", 2)):
+        monkeypatch.setattr(hn, name, value)
+    rows = as_float(vectors(400, 6, seed, 3))
+    # tasks run in workers that see the module's own constants, so hold the search to small tiles here too
+    assert got(hn.mine(table(spark, rows))) == plain(rows)
+
+
+def test_search_in_small_pieces(spark):
+    """The task's work on hand-made batches: heaps merge over tiles and batches."""
+    import pyarrow as pa
+    rows = as_float(vectors(120, 4, 8, 3))
+    prepared = hn.prepare(table(spark, rows)).toArrow().combine_chunks()
+    n = prepared.num_rows
+    goals = pa.nulls(n, pa.list_(pa.int64()))
+    tagged = prepared.append_column("goals", goals).append_column("cell", pa.array([1] * n))
+    anchors = tagged.filter(pa.compute.equal(pa.compute.bit_wise_and(tagged["vec_id"], 1), 0))
+    a = anchors.append_column("role", pa.array([0] * anchors.num_rows, pa.int32())).to_batches(max_chunksize=9)
+    c = tagged.append_column("role", pa.array([1] * n, pa.int32())).to_batches(max_chunksize=7)
+    few = pa.Table.from_batches(list(hn._search(iter(a + c), lambda r, b: hn.Positives(r, b, 5))))
+    c = tagged.append_column("role", pa.array([1] * n, pa.int32())).to_batches()
+    one = pa.Table.from_batches(list(hn._search(iter(a + c), lambda r, b: hn.Positives(r, b, 5))))
+    assert few.sort_by([("anchor", "ascending"), ("place", "ascending")]) == one.sort_by([("anchor", "ascending"), ("place", "ascending")])
+
+
+def test_one_vector_in_a_third_of_the_rows(spark):
+    rows = as_float([(i, [0.5, 0.25, 0.0], 1) for i in range(0, 900, 3)] + [(i, [0.3 + i / 5000, 0.2, 0.1], i % 4) for i in range(1, 900, 3)])
+    assert got(hn.mine(table(spark, rows))) == plain(rows)
+
+
+def test_none_and_too_long(spark):
+    assert hn.mine(table(spark, [])).collect() == []
+    with pytest.raises(ValueError, match="63 bits"):
+        hn.mine(table(spark, [(0, [1e20], 1)]))
+
+
+def test_other_anchors(spark):
+    rows = as_float(vectors(60, 3, 4))
+    assert got(hn.mine(table(spark, rows), anchor=F.col("vec_id") % 3 == 0, n_positives=2, n_negatives=1)) == plain(rows, 3, 2, 1)

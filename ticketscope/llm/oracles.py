@@ -188,5 +188,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m JOIN b USING (doc_id)
 """
 
+OP11 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v, true), z -> z[1]::HUGEINT * z[2])), 0)::BIGINT AS score
+  FROM e a CROSS JOIN e b
+  WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, p.other_id AS positive_id,
+       row_number() OVER (PARTITION BY anchor_id, p.other_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+       s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLES = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_url_filter": OP4, "op7_line_dedup": OP7, "op8_warc": OP8,
-           "op9_decontaminate": OP9}
+           "op9_decontaminate": OP9, "op11_hard_negatives": OP11}
