@@ -191,13 +191,13 @@ FROM m JOIN b USING (doc_id)
 OP11 = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
-         coalesce(list_sum(list_transform(list_zip(a.v, b.v, true), z -> z[1]::HUGEINT * z[2])), 0)::BIGINT AS score
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v, true), lambda z: z[1]::HUGEINT * z[2])), 0)::BIGINT AS score
   FROM e a CROSS JOIN e b
   WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 p AS (
@@ -211,5 +211,29 @@ WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.s
 QUALIFY rank <= 3
 """
 
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_CLASS}') AS w FROM documents),
+n AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM n),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * n * docs) // words AS m FROM n, total),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM n) GROUP BY r, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+i AS (
+  SELECT i, item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_LOWER}, '{_CLASS}')) AS term FROM benchmark)
+  GROUP BY i, item_id, term),
+w AS (
+  SELECT i, item_id, term, times * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+  FROM i JOIN f USING (term), total),
+s AS (
+  SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM w JOIN p USING (term) JOIN m USING (r)
+  GROUP BY i, item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 ORACLES = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_url_filter": OP4, "op7_line_dedup": OP7, "op8_warc": OP8,
-           "op9_decontaminate": OP9, "op11_hard_negatives": OP11}
+           "op9_decontaminate": OP9, "op11_hard_negatives": OP11, "op12_lexical_search": OP12}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm import (decontaminate, hard_negatives, line_dedup, mixing, quality_model, quality_rules, simhash,
-                             token_store, toxicity, url_filter, warc, winnowing)
+from ticketscope.llm import (decontaminate, hard_negatives, lexical_search, line_dedup, mixing, quality_model, quality_rules,
+                             simhash, token_store, toxicity, url_filter, warc, winnowing)
 from ticketscope.llm.common import read_table
 from ticketscope.llm.oracles import ORACLES  # noqa: F401  for the driver
 from ticketscope.session import ensure_checkpoint_dir, scratch_dir
@@ -91,6 +91,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return winnowing.compared(read_table(spark, sf_dir, "documents")).select(
@@ -99,4 +104,4 @@ def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_simhash, op4_url_filter, op5_toxicity,
                                    op6_token_store, op7_line_dedup, op8_warc, op9_decontaminate, op10_quality_model, op11_hard_negatives,
-                                   op13_winnowing)}
+                                   op12_lexical_search, op13_winnowing)}
