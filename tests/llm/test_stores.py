@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,7 +147,45 @@ def test_cache_is_bounded():
     enc = token_store.WordEncoder(PATH, limit=50)
     text = " ".join(f"Word{i}" for i in range(500))
     assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(enc) <= 60
+    assert len(enc.young) <= 25 and len(enc.old) <= 25
+    assert enc.piece(b"word499") and b"word499" in enc.young
+
+
+def whole(enc, text):
+    return enc.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def each(enc, texts):
+    return [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(pa.array(texts, pa.string()), END_ID).to_pylist()]
+
+
+def test_batches_encode_as_whole(enc):
+    texts = [*ODD, None, "", " \t\n", "à la.Carte, Être à\xa0b. c,d e.. f.,g it's. <|ENDOFTEXT|> A.B", "<|ENDOFTEXT|> Word. <|endoftext|>Word.\nX", "a.\x1cb A.\x0bB", *ODD]
+    expected = [whole(enc, t) + [END_ID] for t in texts]
+    assert each(enc, texts) == expected
+    assert enc.encode_all(pa.array(["x"] * 3 + texts).slice(3), END_ID).to_pylist() == enc.encode_all(pa.array(texts), END_ID).to_pylist()
+    assert each(enc, []) == [] and each(enc, [None]) == [[END_ID]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAbZßéÉàİ'\"<|>.,!12 \n\t\x1c\xa0sn", max_size=40), max_size=4))
+def test_any_batch_encodes_as_whole(texts):
+    enc = token_store.encoder(PATH)
+    assert each(enc, texts) == [whole(enc, t) + [END_ID] for t in texts]
+
+
+def test_another_tokenizer_file(tmp_path):
+    """A file of other rules is not encoded by the short cuts."""
+    import json
+    said = json.load(open(PATH, encoding="utf-8"))
+    said["normalizer"] = None
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(said))
+    assert token_store.known_rules(PATH) and not token_store.known_rules(str(other))
+    enc = token_store.WordEncoder(str(other))
+    texts = ["Some Words, here.", "SHOUTING", None]
+    assert each(enc, texts) == [whole(enc, t) + [END_ID] for t in texts]
+    assert each(enc, texts[:2]) != each(token_store.encoder(PATH), texts[:2])
 
 
 def huffman_cost(counts):

@@ -22,6 +22,7 @@ empty file and result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
@@ -35,13 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import as_bytes, batch_of, store
+from ticketscope.llm.common import as_bytes, batch_of, slices, store
 from ticketscope.session import scratch_dir
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
 CODE_BITS = 20
 CACHE_WORDS = 600_000
+SLICE_BYTES = 16 << 20
 
 # What the fast path takes: ASCII without white space, apostrophe and "<" (special tokens begin
 # with it), and Latin-1 letters.
@@ -57,36 +59,65 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder(dict):
+# What the rules below are written for. A tokenizer file that says anything else is encoded text by
+# text with the library alone. Fixed values of the file format:
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None}
+
+
+def known_rules(path: str) -> bool:
+    """Whether a tokenizer file splits and normalises text as WordEncoder's short cuts do."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    return (said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER
+            and all(said["model"].get(k) == v for k, v in _MODEL.items())
+            and all(t["content"].startswith("<") and not t["lstrip"] and not t["rstrip"] for t in said.get("added_tokens", [])))
+
+
+class WordEncoder:
     """From a piece of text without ASCII white space to its ids as little-endian bytes.
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of its
     pieces one after the other. Simple pieces go straight to the library's BPE model, all others
-    through the whole tokenizer. Memory: at most `limit` words are kept.
+    through the whole tokenizer. Memory: two generations of at most `limit` / 2 pieces; a piece that
+    is met again moves to the younger, and when that is full the older is given up, so frequent
+    pieces stay however many rare ones pass.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit, self.alphabet = Tokenizer.from_file(path), limit, _byte_alphabet()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.by_word = known_rules(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def piece(self, piece: bytes) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                ids = self._fresh(piece)
+            if len(self.young) >= self.limit // 2:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+        return ids
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def _fresh(self, piece: bytes) -> bytes:
         body = piece[:-1] if piece[-1:] in (b".", b",") else piece
         if body.isalpha():  # ASCII letters alone
             low = body.lower()
             if low != piece:
-                ids = self[low] if body is piece else self[low] + self[piece[-1:]]
-            else:
-                ids = self._pack([t.id for t in self.model.tokenize(low.decode())])
-        else:
-            ids = self._mixed(piece)
-        self[piece] = ids
-        return ids
+                return self.piece(low) if body is piece else self.piece(low) + self.piece(piece[-1:])
+            return self._pack([t.id for t in self.model.tokenize(low.decode())])
+        return self._mixed(piece) if piece else b""
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -98,12 +129,48 @@ class WordEncoder(dict):
         low = text.lower()
         parts = _PIECES.findall(low)
         if len(parts) > 1 or low != text:
-            return b"".join(self[p.encode()] for p in parts)
+            return b"".join([self.piece(p.encode()) for p in parts])
         word = piece.decode("latin-1").translate(self.alphabet)
         return self._pack([t.id for t in self.model.tokenize(word)])
 
     def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        if not self.by_word:
+            return self._pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return b"".join(map(self.piece, text.split()))
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and the end id. Each distinct piece is looked up once, its ids are
+        dealt out by number."""
+        end = np.array([end_id], self.dtype).tobytes()
+        if not self.by_word:
+            return pa.array([self.encode(t) + end for t in as_bytes(texts)], pa.large_binary())
+        pieces = pa.compute.ascii_split_whitespace(_simplified(texts))
+        counts = pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbered = pieces.flatten().dictionary_encode()
+        each = [self.piece(p) for p in as_bytes(numbered.dictionary)] + [end]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        known = np.frombuffer(b"".join(each), self.dtype)
+        first = np.cumsum(size) - size
+        ends = np.cumsum(counts)
+        number = np.insert(numbered.indices.to_numpy(zero_copy_only=False), ends, len(each) - 1)
+        sizes = size[number]
+        upto = np.cumsum(sizes)
+        at = np.repeat(first[number] - (upto - sizes), sizes)
+        at += np.arange(len(at))
+        bounds = np.concatenate([[0], upto[ends + np.arange(len(ends))]]) * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype("<i8").tobytes()), pa.py_buffer(known[at].tobytes())])
+
+
+def _simplified(texts: pa.Array) -> pa.Array:
+    """Texts of the same ids with fewer distinct pieces: A-Z lower-cased (but where a special token's
+    name may begin, which is read as it stands), a full stop or comma between a letter and white
+    space set apart."""
+    whole = texts.cast(pa.large_string()).fill_null("").take(np.arange(len(texts)))  # not a slice: ascii_lower misplaces those
+    low = pa.compute.if_else(pa.compute.match_substring(whole, "<|"), whole, pa.compute.ascii_lower(whole))
+    return pa.compute.replace_substring_regex(low, r"([a-z])([.,])([ \n])", r"\1 \2\3")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}  # one per tokenizer file and worker, of bounded size
@@ -117,10 +184,10 @@ def encoder(path: str) -> WordEncoder:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
-    end = np.array([end_id], enc.dtype).tobytes()
-    for b in batches:
-        ids = [enc.encode(t) + end for t in as_bytes(batch_of(b, "text"))]
-        yield pa.RecordBatch.from_arrays([batch_of(b, "doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    for batch in batches:
+        for b in slices(batch, "text", SLICE_BYTES):
+            ids = enc.encode_all(batch_of(b, "text"), end_id).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch_of(b, "doc_id"), ids], names=["doc_id", "ids"])
 
 
 def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -135,11 +202,10 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 def _count_batches(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for ids in batch_of(b, "ids").to_pylist():
-            n = np.bincount(np.frombuffer(ids, dtype))
-            if len(n) > len(total):
-                total = np.append(total, np.zeros(len(n) - len(total), np.int64))
-            total[:len(n)] += n
+        n = np.bincount(np.frombuffer(b"".join(batch_of(b, "ids").to_pylist()), dtype))
+        if len(n) > len(total):
+            total = np.append(total, np.zeros(len(n) - len(total), np.int64))
+        total[:len(n)] += n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
