@@ -343,6 +343,10 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
                  select count(*)::bigint as rows_in_window, count(*)::bigint as rows_to_fetch,
                  cast(ceil(count(*) / 700.0) as bigint) as pages, 'out/since=2024-01-10' as folder
                  from raw_t where {WINDOW_WHERE}""",
+        "raw_pages": f"""with raw_t as ({RAW_A}),
+            placed as (select unique_key, row_number() over (order by created_date, unique_key) - 1 as place from raw_t)
+            select count(*) as rows, arg_min(unique_key, place) as first_key, arg_max(unique_key, place) as last_key
+            from placed group by place // 700""",
         "raw_roundtrip": f"with raw_t as ({RAW_A}) select {RAW_COLS} from raw_t",
         "raw_union_missing_columns": f"""with raw_t as ({RAW_A}),
                  split_t as (select *, cast(unique_key as bigint) % 2 = 0 as whole from raw_t)

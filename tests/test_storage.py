@@ -198,3 +198,38 @@ def test_replace_dir_swaps(spark, tmp_dir):
     with pytest.raises(OSError):
         files.replace_dir(spark, f"{tmp_dir}/missing", f"{tmp_dir}/old")
     assert os.listdir(f"{tmp_dir}/old") == ["new.txt"]          # a failed move leaves the table
+
+
+def _pages(folder):
+    return [pq.read_table(f) for f in sorted(glob.glob(os.path.join(folder, "*.parquet"))) if pq.ParquetFile(f).metadata.num_rows]
+
+
+def test_pages_are_exact(spark, tmp_dir):
+    raw = edge_raw(spark)
+    n = raw.count()
+    for size in (1, 3, 4, 100):
+        pages = _pages(E.write_raw(raw, f"{tmp_dir}/{size}", dt.date(2024, 1, 1), page_size=size))
+        assert [p.num_rows for p in pages] == [min(size, n - at) for at in range(0, n, size)]
+        times = [(t is None, t, k) for p in pages for t, k in zip(p["created_date"].to_pylist(), p["unique_key"].to_pylist())]
+        assert times == sorted(times, key=lambda x: (x[0], x[1] or dt.datetime.max, x[2]))
+        assert E.extract_plan(raw, "1990-01-01", "2030-01-01", size).first().pages == -(-(n - 1) // size)  # one row has no creation time
+
+
+def test_pages_of_equal_rows(spark, tmp_dir):
+    rows = edge_raw(spark).limit(1).crossJoin(spark.range(1000)).drop("id")
+    pages = _pages(E.write_raw(rows, tmp_dir, dt.date(2024, 1, 1), page_size=64))
+    assert [p.num_rows for p in pages] == [64] * 15 + [1000 - 15 * 64]
+    empty = E.write_raw(rows.limit(0), f"{tmp_dir}/none", dt.date(2024, 1, 1))
+    assert spark.read.schema(E.RAW_SCHEMA).parquet(empty).count() == 0
+
+
+def test_mixed_pages_are_scans(spark, tmp_dir):
+    """Filters and column lists reach the files; footers alone are read before."""
+    raw = edge_raw(spark)
+    raw.write.parquet(f"{tmp_dir}/a")
+    raw.drop("agency").withColumn("city", F.lit(None).cast("int")).write.parquet(f"{tmp_dir}/b")
+    df = E.read_raw_mixed(spark, tmp_dir).where("borough = 'QUEENS'").select("unique_key")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(borough), EqualTo(borough,QUEENS)]") == 2 and "Python" not in plan and "Arrow" not in plan
+    assert plan.count("ReadSchema: struct<unique_key:string,borough:string>") == plan.count("ReadSchema") == 2
+    assert df.count() == 2 * raw.where("borough = 'QUEENS'").count()

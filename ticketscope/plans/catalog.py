@@ -391,6 +391,18 @@ def q_raw_roundtrip(spark, sf):
     return E.read_raw(spark, out)
 
 
+def q_raw_pages(spark, sf):
+    """The files that the sink leaves: rows, first and last key in order of creation."""
+    out = scratch_dir(spark, "raw-pages")
+    raw = FX.raw_tickets_a(spark, sf)
+    (since, _), (_, until) = _windows(raw)
+    E.write_raw(E.extract(raw, since, until), out, since, page_size=700)
+    at = F.struct("created_date", "unique_key")
+    return (E.read_raw(spark, out).groupBy(F.input_file_name().alias("file"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.min_by("unique_key", at).alias("first_key"), F.max_by("unique_key", at).alias("last_key"))
+            .drop("file"))
+
+
 def q_raw_union_missing_columns(spark, sf):
     out = scratch_dir(spark, "raw-mixed")
     raw = FX.raw_tickets_a(spark, sf)

@@ -1,26 +1,21 @@
 """Raw-ticket extract: window, lenient parsing, bounded extract, paged sink, raw scans.
 
 The window predicate and column list of an extract are pushed into the scan of a
-landed dump, the optional row cap is an ordered prefix, and the sink writes files
-of at most ``page_size`` rows.
+landed dump, the optional row cap is an ordered prefix, and the sink writes exact
+pages of ``page_size`` rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.functions.time import utc_clock
 from ticketscope.operators.filters import ntz_literal
 from ticketscope.operators.sampling import first_rows
 from ticketscope.schema import NUMERIC_COLUMNS, RAW_COLUMNS, RAW_SCHEMA, TIMESTAMP_COLUMNS
-from ticketscope.sources import files
+from ticketscope.sources import catalogue, files, paging
 
 DAYS_PER_YEAR = 365
 
@@ -108,15 +103,14 @@ def dry_run(df: DataFrame, out_dir: str, since, until, page_size: int = 50000,
 
 
 def write_raw(df: DataFrame, out_dir: str, since: dt.date, page_size: int = 50000) -> str:
-    """Write the extract as Parquet files of at most ``page_size`` rows with the full
-    raw contract schema. A window that is run again (same ``since``, a later end)
-    replaces its pages; other windows are left alone."""
+    """Write the extract as pages of ``page_size`` rows in order of creation (then key), one Parquet
+    file a page and only the last not full, with the full raw contract schema. A window that is run
+    again (same ``since``, a later end) replaces its pages; other windows are left alone."""
     path = raw_folder(out_dir, since)
     typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
                         else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
-    (typed.sortWithinPartitions("created_date").write.mode("overwrite")
-     .option("partitionOverwriteMode", "static").option("maxRecordsPerFile", int(page_size)).parquet(path))
-    return path
+    order = [F.col("created_date").asc_nulls_last(), F.col("unique_key").asc_nulls_last()]
+    return paging.write_pages(typed, path, order, page_size)
 
 
 def _check_files(spark: SparkSession, root: str) -> None:
@@ -131,82 +125,14 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
 
 
-_EPOCH_UNITS = {"s": 1_000_000, "ms": 1000, "us": 1}
-
-
-def _micros(column: pa.Array) -> pa.Array:
-    """Microseconds since 1970 of a timestamp, date or epoch-nanosecond column, floored."""
-    kind = column.type
-    if pa.types.is_date(kind):
-        return _scaled(column.cast(pa.date32()).cast(pa.int32()).cast(pa.int64()), 86_400_000_000)
-    if pa.types.is_timestamp(kind) and kind.unit != "ns":
-        return _scaled(column.cast(pa.int64()), _EPOCH_UNITS[kind.unit])
-    nanos = column.cast(pa.int64())
-    known = np.asarray(nanos.is_valid())
-    return pa.array(nanos.fill_null(0).to_numpy(zero_copy_only=False) // 1000, pa.int64(), mask=~known)
-
-
-def _scaled(column: pa.Array, factor: int) -> pa.Array:
-    return pa.compute.multiply(column, pa.scalar(factor, pa.int64()))
-
-
-def _page_columns(batch: pa.RecordBatch, names: dict[str, str]) -> Iterator[pa.Array]:
-    """The contract columns of a page of any layout, as the types of ``names``."""
-    for name, kind in names.items():
-        source = name.removesuffix("__text")
-        at = batch.schema.get_field_index(source)
-        target = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]
-        column = batch.column(at) if at >= 0 else None
-        if column is not None and pa.types.is_dictionary(column.type):
-            column = column.dictionary_decode()
-        text = column is not None and (pa.types.is_string(column.type) or pa.types.is_large_string(column.type))
-        wants_text = kind == "string"
-        parsed_elsewhere = source in TIMESTAMP_COLUMNS + NUMERIC_COLUMNS and text != wants_text
-        if column is None or pa.types.is_null(column.type) or parsed_elsewhere:
-            yield pa.nulls(batch.num_rows, target)
-        elif kind == "long":
-            yield _micros(column)
-        else:
-            yield column.cast(target)
-
-
-def _decode_pages(batches: Iterator[pa.RecordBatch], names: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for content in b.column(0):
-            for page in pq.ParquetFile(pa.BufferReader(content.as_buffer())).iter_batches(batch_size=20_000):
-                yield pa.RecordBatch.from_arrays(list(_page_columns(page, names)), names=list(names))
-
-
 def read_raw_mixed(spark: SparkSession, *roots: str) -> DataFrame:
-    """Raw pages of any writer, each *file* with its own schema, as one contract table.
+    """Raw pages of any writer, each *file* with its own layout, as one contract table.
 
-    Every file is read as a binary row and decoded in the task that holds it, so a
-    folder may mix layouts: absent or entirely null columns, text, nanosecond, zone-aware
-    and date timestamps, numbers as text. Unparseable text becomes null, absent columns are null,
-    columns outside the contract are left out. Pages are extract pages of bounded size
-    (a file of over 2 GB is an error).
+    A folder may mix layouts: absent or entirely null columns, text, nanosecond, zone-aware and
+    date timestamps, numbers as text. Files of one layout are one Spark scan (``catalogue``).
+    Unparseable text becomes null, absent columns are null, columns outside the contract are left
+    out. No files is an error.
     """
     for root in roots:
         _check_files(spark, root)
-    names: dict[str, str] = {}
-    for f in RAW_SCHEMA:
-        if f.name in TIMESTAMP_COLUMNS:
-            names |= {f.name: "long", f.name + "__text": "string"}
-        elif f.name in NUMERIC_COLUMNS:
-            names |= {f.name: "double", f.name + "__text": "string"}
-        else:
-            names[f.name] = "string"
-    pages = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-             .load(list(roots)).select("content"))
-    rows = pages.mapInArrow(lambda it: _decode_pages(it, names), ", ".join(f"{n} {t}" for n, t in names.items()))
-    out = []
-    for f in RAW_SCHEMA:
-        text = F.col(f.name + "__text") if f.name + "__text" in names else None
-        if f.name in TIMESTAMP_COLUMNS:
-            clock = utc_clock(F.timestamp_micros(f.name))
-            out.append(F.coalesce(clock, text.try_cast("timestamp_ntz")).alias(f.name))
-        elif text is not None:
-            out.append(F.coalesce(F.col(f.name), text.try_cast("double")).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return rows.select(*out)
+    return catalogue.read_pages(spark, *roots)
