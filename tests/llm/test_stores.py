@@ -117,9 +117,87 @@ def test_warc_empty(spark, pages):
     assert warc.read_pages(spark, path).count() == 0
 
 
-def test_warc_damage_is_found():
-    data = warc.member(b"x" * 1000)
-    assert zlib.decompress(data, 31) == b"x" * 1000 and gzip.decompress(data) == b"x" * 1000
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
+
+
+def warc_rows(n, first=0):
+    return [(f"urn:x:{first + i}", "response", f"http://h/{i}", None, None, None, f"payload {first + i} ".encode() * (i + 1)) for i in range(n)]
+
+
+def written(spark, rows, path, mode="append"):
+    warc.register(spark)
+    spark.createDataFrame(rows, RECORD).coalesce(1).write.format("warc").mode(mode).save(path)
+
+
+def read_back(spark, path, columns=RECORD, **options):
+    return {r.record_id: r for r in spark.read.format("warc").schema(columns).options(**options).load(path).collect()}
+
+
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    path = str(tmp_path / "w")
+    written(spark, warc_rows(10), path)
+    written(spark, warc_rows(5, 10), path)
+    got = read_back(spark, path)
+    assert {k: bytes(r.payload) for k, r in got.items()} == {r[0]: r[6] for r in warc_rows(10) + warc_rows(5, 10)}
+    written(spark, warc_rows(3, 100), path, "overwrite")
+    assert set(read_back(spark, path)) == {"urn:x:100", "urn:x:101", "urn:x:102"}
+    written(spark, warc_rows(1, 200), path)
+    assert len(read_back(spark, path)) == 4
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 2
+
+
+def as_dict(row):
+    return dict(zip(("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_length", "payload"), row))
+
+
+def fails(spark, path, *words, columns=RECORD, **options):
+    with pytest.raises(Exception) as e:
+        read_back(spark, path, columns, **options)
+    assert all(w in str(e.value) for w in words), str(e.value)[-1500:]
+
+
+def test_warc_damage_is_found(spark, tmp_path):
+    """Files cut off or changed in the middle raise an error that names file and offset."""
+    warc.register(spark)
+    data = [warc.record(as_dict(r)) for r in warc_rows(3)]
+    members = [warc.member(d) for d in data]
+    plain_members = [gzip.compress(d) for d in data]
+    light = "record_id string"
+    for name, whole, cuts in (("a.warc.gz", members, len(members[0]) + len(members[1]) // 2), ("b.warc.gz", plain_members, len(plain_members[0]) + 60),
+                              ("c.warc", data, len(data[0]) + len(data[1]) - 30), ("d.warc.gz", members, len(members[0]) + 5),
+                              ("e.warc", data, len(data[0]) + 20)):
+        folder = tmp_path / name.split(".")[0]
+        folder.mkdir()
+        (folder / name).write_bytes(b"".join(whole))
+        assert len(read_back(spark, str(folder))) == 3 and len(read_back(spark, str(folder), light)) == 3
+        (folder / name).write_bytes(b"".join(whole)[:cuts])
+        for columns in (RECORD, light):
+            fails(spark, str(folder), name, "offset", columns=columns)
+    folder = tmp_path / "changed"
+    folder.mkdir()
+    changed = warc.record(as_dict(warc_rows(1, 7)[0]) | {"payload_digest": "A" * 32})
+    (folder / "f.warc.gz").write_bytes(members[0] + warc.member(changed))
+    fails(spark, str(folder), "f.warc.gz", f"offset {len(members[0])}", "digest")
+    assert len(read_back(spark, str(folder), verify="false")) == 2
+    (folder / "f.warc.gz").write_bytes(members[0] + b"garbage that is no member")
+    fails(spark, str(folder), "f.warc.gz", f"offset {len(members[0])}")
+    (folder / "f.warc.gz").unlink()
+    (folder / "g.warc").write_bytes(data[0] + b"NOT A RECORD\r\n\r\n" + data[1])
+    fails(spark, str(folder), "g.warc", f"offset {len(data[0])}")
+
+
+def test_warc_foreign_members(spark, tmp_path):
+    """Several records in a member, and records over several members."""
+    warc.register(spark)
+    rows = warc_rows(4)
+    data = b"".join(warc.record(as_dict(r)) for r in rows)
+    for name, content in (("one", gzip.compress(data)), ("two", gzip.compress(data[:700]) + gzip.compress(data[700:])),
+                          ("ends", gzip.compress(data + b"\r\n\r\n")), ("mixed", warc.member(warc.record(as_dict(rows[0]))) + gzip.compress(data[len(warc.record(as_dict(rows[0]))):]))):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x.warc.gz").write_bytes(content)
+        assert {k: bytes(r.payload) for k, r in read_back(spark, str(folder)).items()} == {r[0]: r[6] for r in rows}, name
+        assert len(read_back(spark, str(folder), "record_id string")) == 4
 
 
 @pytest.fixture(scope="module")

@@ -1,15 +1,18 @@
 """WARC archives as a PySpark Python data source, "warc".
 
-Writing: each task writes files of up to `max_file_bytes`; the commit writes a manifest of the files
-of the attempts that succeeded, so files of a lost attempt are never read. Every record is a gzip
-member of its own whose extra field "sl" holds the member's compressed and uncompressed length.
-
-Reading: the manifest (or a listing) is planned into partitions of about `partition_bytes`. Filters
-on record and header columns are pushed down. For each record the reader inflates its head only,
-parses the headers, tests the filters, and skips to the next member by the "sl" lengths when the
-record or its payload isn't wanted; members without that field are inflated and thrown away. The
-payload is decoded only if the schema asks for the column `payload`; with `verify` its digest is
-computed again and a damaged record raises an error.
+Writing: each task writes files of up to `max_file_bytes`; each commit writes a manifest of its own of
+the files of the attempts that succeeded, so files of a lost attempt are never read. Appending adds a
+manifest, overwriting deletes the earlier ones (then the files that they name). Every record is a
+gzip member of its own whose extra field "sl" holds the member's compressed and uncompressed length.
+
+Reading: the manifests (or a listing, where there is none) are planned into partitions of about
+`partition_bytes`. Filters on record and header columns are pushed down. For each record the reader
+inflates its head only, parses the headers, tests the filters, and skips to the next member by the
+"sl" lengths when the record or its payload isn't wanted. A member without that field may hold
+several records, or one record several members: it is read as one stream, record after record by
+their Content-Length. The payload is decoded only if the schema asks for the column `payload`; with
+`verify` its digest is computed again. What can't be read (a record cut off, bytes that are no
+record, a damaged member, a wrong digest) raises an error that names the file and the offset.
 
 Files are opened by pyarrow's file systems, so folders may be in any store it knows.
 
@@ -41,7 +44,7 @@ from pyspark.sql.types import StructType
 MAX_FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
 HEAD_BYTES = 4096
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest.*\.json$")
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,9 +103,19 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int]] = field(default_factory=list)
 
 
+def _manifests(system: fs.FileSystem, folder: str) -> dict[str, list]:
+    """The manifests of a folder and the (name, size) of their files."""
+    out = {}
+    for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if MANIFEST.match(info.base_name):
+            with system.open_input_stream(info.path) as f:
+                out[info.base_name] = [tuple(x) for x in json.loads(f.read())]
+    return out
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
         self.max_file_bytes = int(options.get("max_file_bytes", MAX_FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -130,8 +143,14 @@ class WarcWriter(DataSourceArrowWriter):
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
         files = sorted(f for m in messages if m for f in m.files)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        earlier = _manifests(system, folder) if self.overwrite else {}
+        with system.open_output_stream(f"{folder}/_manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(files).encode())
+        for name in earlier:
+            system.delete_file(f"{folder}/{name}")
+        for name, _ in (f for old in earlier.values() for f in old):
+            if system.get_file_info(f"{folder}/{name}").type == fs.FileType.File:
+                system.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, folder = _open(self.path)
@@ -164,10 +183,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, folder = _open(self.path)
-        if system.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{folder}/{MANIFEST}") as f:
-                files = [tuple(x) for x in json.loads(f.read())]
-        else:
+        known = _manifests(system, folder)
+        files = sorted(f for listed in known.values() for f in listed)
+        if not known:
             found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
             files = [(x.base_name, x.size) for x in found if re.search(r"\.warc(\.gz)?$", x.base_name)]
         out, names, total = [], [], 0
@@ -194,7 +212,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for name in partition.names:
             with system.open_input_file(f"{folder}/{name}") as f:
-                for row in self._records(f, name.endswith(".gz")):
+                for row in self._records(f, name):
                     rows.append({c: row.get(c) for c in self.columns})
                     held += len(row.get("payload") or b"") + 200
                     if held > 4 << 20:
@@ -203,24 +221,31 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def _records(self, f, packed: bool) -> Iterator[dict]:
-        size, at = f.size(), 0
-        while at < size:
-            take = _Member(f, at, size) if packed else _Plain(f, at, size)
-            head = take.until(b"\r\n\r\n")
-            if head is None:
-                return
-            fields = _fields(head)
-            length = int(fields.get("content-length", 0))
-            row = {c: fields.get(h) for c, h in HEADERS.items()}
-            for c in ("record_id", "refers_to"):
-                row[c] = row[c].strip("<>") if row[c] is not None else None
-            row["payload_digest"] = row["payload_digest"].removeprefix("sha1:") if row["payload_digest"] else None
-            if self._wanted(row):
-                if {"payload", "payload_length"} & set(self.columns):
+    def _records(self, f, name: str) -> Iterator[dict]:
+        size, at, stream = f.size(), 0, None
+        while stream is not None or at < size:
+            try:
+                take = stream or (_Member if name.endswith(".gz") else _Plain)(f, at, size)
+                begin = take.upto(HEAD_BYTES)
+                if len(begin) < HEAD_BYTES and not begin.strip(b"\r\n"):
+                    return  # nothing but line ends
+                head = take.until(b"\r\n\r\n")
+                if head is None or not head.startswith(b"WARC/"):
+                    raise ValueError("no record")
+                fields = _fields(head)
+                length = int(fields["content-length"])
+                row = {c: fields.get(h) for c, h in HEADERS.items()}
+                for c in ("record_id", "refers_to"):
+                    row[c] = row[c].strip("<>") if row[c] is not None else None
+                row["payload_digest"] = row["payload_digest"].removeprefix("sha1:") if row["payload_digest"] else None
+                wanted = self._wanted(row)
+                if wanted and {"payload", "payload_length"} & set(self.columns):
                     self._block(row, fields, take, len(head), length)
+                at, stream = take.after(len(head) + length)
+            except (KeyError, ValueError, zlib.error, struct.error) as e:
+                raise ValueError(f"{name}, from offset {at}: {e}") from e
+            if wanted:
                 yield row
-            at = take.end(len(head) + length + 4)
 
     def _block(self, row: dict, fields: dict, take, start: int, length: int) -> None:
         http = fields.get("content-type", "").startswith("application/http")
@@ -232,6 +257,8 @@ class WarcReader(DataSourceReader):
         if "payload" in self.columns and not revisit:
             skip = start + len(body or b"")
             row["payload"] = take.upto(skip + own)[skip:]
+            if len(row["payload"]) < own:
+                raise ValueError("a record is cut off")
             if self.verify and row["payload_digest"] and base32_sha1(row["payload"]) != row["payload_digest"]:
                 raise ValueError(f"payload digest of {row['record_id']} doesn't match")
 
@@ -263,19 +290,26 @@ class _Plain:
                 return None
             n *= 2
 
-    def end(self, length: int) -> int:
-        return self.at + length
+    def after(self, length: int) -> tuple[int, _Plain | None]:
+        """Where the next record begins, and the stream that holds it, if it goes on in this one."""
+        end = self.at + length + 4
+        if end > self.size:
+            raise ValueError("a record is cut off")
+        return end, None
 
 
 class _Member(_Plain):
-    """A gzip member that begins at `at`, inflated no further than asked for."""
+    """Gzip members from `at` on, inflated no further than asked for. A member with its length in
+    the head is read by itself; one without goes on into the next."""
 
     def __init__(self, f, at: int, size: int) -> None:
         super().__init__(f, at, size)
         f.seek(at)
         head = f.read(64)
+        if head[:3] != b"\x1f\x8b\x08":
+            raise ValueError("no gzip member")
         self.whole = None
-        if head[:3] == b"\x1f\x8b\x08" and head[3] & 4:
+        if head[3:4] and head[3] & 4:
             n = struct.unpack_from("<H", head, 10)[0]
             extra, i = head[12:12 + n], 0
             while i + 4 <= len(extra):
@@ -283,30 +317,46 @@ class _Member(_Plain):
                 if key == b"sl" and size_ == 8:
                     self.whole = struct.unpack_from("<I", extra, i + 4)[0]
                 i += 4 + size_
-        self.read_at, self.unzip = at, zlib.decompressobj(31)
+        if self.whole and at + self.whole > size:
+            raise ValueError("a record is cut off")
+        self.read_at, self.unzip, self.rest = at, zlib.decompressobj(31), b""
+
+    def _more(self) -> bytes:
+        """Compressed bytes to go on with."""
+        if not self.rest:
+            self.f.seek(self.read_at)
+            self.rest = self.f.read(HEAD_BYTES if not self.data else 1 << 18)
+            self.read_at += len(self.rest)
+        return self.rest
 
     def upto(self, n: int) -> bytes:
-        while len(self.data) < n and not self.unzip.eof:
-            tail = self.unzip.unconsumed_tail
-            if not tail:
-                self.f.seek(self.read_at)
-                tail = self.f.read(HEAD_BYTES if not self.data else 1 << 18)
-                self.read_at += len(tail)
-                if not tail:
+        parts, have = [self.data], len(self.data)
+        while have < n and (tail := self._more()):
+            if self.unzip.eof:  # the next member of the stream
+                if self.whole or not tail.startswith(b"\x1f"):
                     break
-            self.data += self.unzip.decompress(tail, n - len(self.data))
+                self.unzip = zlib.decompressobj(31)
+            part = self.unzip.decompress(tail, n - have)
+            self.rest = self.unzip.unconsumed_tail if not self.unzip.eof else self.unzip.unused_data
+            parts.append(part)
+            have += len(part)
+        self.data = b"".join(parts)
         return self.data[:n]
 
-    def end(self, length: int) -> int:
+    def after(self, length: int) -> tuple[int, _Plain | None]:
         if self.whole:
-            return self.at + self.whole
-        while not self.unzip.eof:  # no length in the head: inflate to the end
-            self.data = b""
-            before = self.read_at
-            self.upto(1 << 20)
-            if not self.data and self.read_at == before and not self.unzip.eof:
-                return self.size
-        return self.read_at - len(self.unzip.unused_data)
+            return self.at + self.whole, None
+        if len(self.upto(length + 4)) < length:
+            raise ValueError("a record is cut off")
+        self.data = self.data[length + 4:]
+        if self.upto(1):
+            return self.read_at - len(self.rest), self
+        if not self.unzip.eof:
+            raise ValueError("a gzip member is cut off")
+        end = self.read_at - len(self.rest)
+        if end < self.size:
+            raise ValueError("bytes after the last member")
+        return end, None
 
 
 class WarcDataSource(DataSource):
@@ -324,7 +374,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
