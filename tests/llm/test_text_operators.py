@@ -248,6 +248,33 @@ def test_longest_match_by_brute_force(spark, options):
     assert got == plain_longest(docs, items)
 
 
+def test_repeated_windows_take_linear_time():
+    import time
+    block = decontaminate.Block([("1", [b"same"] * 1200)] + [(str(i), [b"same"] * 40) for i in range(2, 40)], 13)
+
+    class Held:
+        value = block
+    start = time.time()
+    (n, hit, items, longest, at, name), other = decontaminate._search_shard(
+        [b"same " * 20_000, b"same " * 12 + b"and others"], [Held], 13)
+    assert (n, hit, len(items), longest, at, name) == (20_000, 20_000, 39, 1200, 0, "1")
+    assert other == (14, 0, [], 12, 0, "1")
+    assert time.time() - start < 5  # a loop over windows times places took minutes
+
+
+def test_many_blocks_with_repeated_items(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array(list("abcdefgh"))
+    items = [(i % 20, " ".join(rng.choice(vocabulary, size))) for i, size in enumerate(rng.integers(1, 40, 60))]
+    items += items[:20]
+    docs = [(i, " ".join(rng.choice(vocabulary, 30)) + " " + items[i][1]) for i in range(50)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(repr, decontaminate.report(df, bench).collect()))
+    assert whole == sorted(map(repr, decontaminate.report(df, bench, block_words=7, shard_words=50).collect()))
+    with pytest.raises(ValueError, match="most_bytes"):
+        decontaminate.report(df, bench, most_bytes=100)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(5)
     codes = rng.integers(1, 4, 300).astype(np.uint64)

@@ -16,8 +16,10 @@ window. A word inside any occurrence of a window is hit. A document is contamina
 hit word and 20 * n_hit >= n_words (the ratio is a parameter).
 
 The benchmark goes to the tasks in blocks of at most `block_words` words, each broadcast on its
-own and searched one after the other, so neither side's size is limited; shards hold at most
-`shard_words` words unless a single document is longer.
+own and searched one after the other. Tasks hold all blocks, so a benchmark of over `most_bytes`
+bytes of text is an error (raise the bound with the workers' memory, or run parts of the benchmark
+one after the other); it is checked before anything is broadcast. Shards hold at most `shard_words`
+words unless a single document is longer; the number of documents isn't limited.
 
 A null or blank text has no words and is clean. Null or blank items match nothing. Rows that
 repeat a doc_id or an item_id count each as a row; a repeated item_id is listed once; a null
@@ -44,6 +46,7 @@ WINDOW = 13
 RATIO = 20
 SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 1 << 20
+MOST_BYTES = 32 << 20
 
 # Word bytes: ASCII letters and digits and every byte of a character beyond ASCII.
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -198,6 +201,33 @@ class Block:
             yield d, size, a, known[lo, size]
 
 
+def _occurrences(block: Block, order: np.ndarray, starts: np.ndarray, low: np.ndarray,
+                 high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of the shard lie in an occurrence of a window, and the (document, item) pairs.
+
+    Equal windows share one interval of the suffix array and are worked on once; the intervals of
+    one size don't overlap, so there are at most as many occurrences a size as words."""
+    found = np.flatnonzero(high > low)
+    n = len(order)
+    owner = block.item[block.windows[found]]
+    keys, first, which = np.unique(low[found] * (n + 1) + block.sizes[found], return_index=True, return_inverse=True)
+    low, high, sizes = low[found][first], high[found][first], block.sizes[found][first]
+    counts = high - low
+    ends = np.cumsum(counts)
+    at = order[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - counts), counts)]
+    change = np.bincount(at, minlength=n + 1) - np.bincount(at + np.repeat(sizes, counts), minlength=n + 1)
+    docs = np.searchsorted(starts, at, side="right") - 1
+    seen = np.unique(np.repeat(np.arange(len(keys)), counts) * len(starts) + docs)  # (interval, document)
+    interval, docs = seen // len(starts), seen % len(starts)
+    held = np.unique(which * len(block.names) + owner)  # (interval, item)
+    begin = np.searchsorted(held, np.arange(len(keys) + 1) * len(block.names))
+    many = (begin[1:] - begin[:-1])[interval]
+    upto = np.cumsum(many)
+    item = held[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begin[:-1][interval] - (upto - many), many)] % len(block.names)
+    pairs = np.unique(np.repeat(docs, many) * len(block.names) + item)
+    return np.cumsum(change[:n]) > 0, np.stack([pairs // len(block.names), pairs % len(block.names)], axis=1)
+
+
 def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Iterator[tuple]:
     docs = [words_of(t) for t in texts]
     lengths = np.array([len(d) for d in docs], np.int64)
@@ -225,16 +255,12 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
             a -= int(starts[d])
             if n > best[d][0] or n == best[d][0] and (a, name) < best[d][1:]:
                 best[d] = (n, a, name)
-        test = block.windows
-        low = block.search(codes, order, own, test, block.sizes, upper=False)
-        high = block.search(codes, order, own, test, block.sizes, upper=True)
-        for q in np.flatnonzero(high > low):
-            size, b = int(block.sizes[q]), int(test[q])
-            wanted = block.words[b:b + size]
-            for a in order[low[q]:high[q]].tolist():
-                if flat[a:a + size] == wanted:
-                    hit[a:a + size] = True
-                    items[int(np.searchsorted(starts, a, side="right")) - 1].add(block.names[block.item[b]])
+        low = block.search(codes, order, own, block.windows, block.sizes, upper=False)
+        high = block.search(codes, order, own, block.windows, block.sizes, upper=True)
+        marks, pairs = _occurrences(block, order, starts, low, high)
+        hit |= marks
+        for d, i in pairs.tolist():
+            items[d].add(block.names[i])
     n_hit = np.add.reduceat(hit, starts, dtype=np.int64) if len(flat) else []
     for d, n in enumerate(lengths.tolist()):
         yield n, int(n_hit[d]), sorted(items[d]), *best[d]
@@ -258,8 +284,11 @@ def _report_batches(batches: Iterator[pa.RecordBatch], blocks: list, window: int
                     [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
+def _blocks(benchmark: DataFrame, window: int, block_words: int, most_bytes: int) -> list:
     """Broadcasts of at most `block_words` words each, unless a single item has more."""
+    size = benchmark.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text; most_bytes is {most_bytes}")
     context, out, items, total = benchmark.sparkSession.sparkContext, [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of(row[1].encode() if row[1] is not None else None)
@@ -275,18 +304,20 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO,
-           shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+           shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
+           most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per document: its words, those hit, the items found, the longest verbatim match (words,
     place in the document, item) and whether it is contaminated."""
-    run = partial(_report_batches, blocks=_blocks(benchmark, window, block_words), window=window,
+    run = partial(_report_batches, blocks=_blocks(benchmark, window, block_words, most_bytes), window=window,
                   ratio=ratio, shard_words=shard_words, keep=False)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, REPORT)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO,
-                        shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+                        shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
+                        most_bytes: int = MOST_BYTES) -> DataFrame:
     """The clean documents, all columns."""
-    run = partial(_report_batches, blocks=_blocks(benchmark, window, block_words), window=window,
+    run = partial(_report_batches, blocks=_blocks(benchmark, window, block_words, most_bytes), window=window,
                   ratio=ratio, shard_words=shard_words, keep=True)
     return docs.mapInArrow(run, docs.schema)
 

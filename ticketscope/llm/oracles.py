@@ -124,11 +124,21 @@ found AS (SELECT s.doc_id, s.i, g.n, g.item_id FROM spots s JOIN grams g ON s.gr
 hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
 ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id),
+same AS (  -- equal words of a document and an item; runs of them along a diagonal are verbatim matches
+  SELECT doc_id, item_id, i, i - j AS diagonal
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d)
+  JOIN (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM b) USING (word)),
+runs AS (
+  SELECT doc_id, item_id::VARCHAR AS item, min(i) AS place, count(*) AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM same)
+  GROUP BY doc_id, item_id, diagonal, run),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place, item) = 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(list, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       coalesce(n, 0)::BIGINT AS longest_words, coalesce(place, -1)::BIGINT AS longest_at, item AS longest_item
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _STEP = "ln(1.01e0 / 0.99e0)"
