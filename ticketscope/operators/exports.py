@@ -10,14 +10,14 @@ from ticketscope.operators.filters import resolved
 from ticketscope.operators.median import aggregate_with_median
 
 
-def export_daily_borough(clean_df: DataFrame, median_method: str = "exact") -> DataFrame:
+def export_daily_borough(clean_df: DataFrame, median_method: str = "exact", **median) -> DataFrame:
     """Resolved tickets by date × borough: tickets (non-null keys), median, % within (stored flag)."""
     d = resolved(clean_df)
     out = aggregate_with_median(
         d, ["date", "borough"],
         [F.count("unique_key").alias("tickets"),
          F.avg(F.col("within_sla").cast("int")).alias("__within")],
-        "response_hours", "median_response", method=median_method)
+        "response_hours", "median_response", method=median_method, **median)
     return out.select("date", "borough", "tickets", "median_response",
                       S.percent(F.col("__within")).alias("pct_within_sla")).orderBy(
         F.col("date").asc_nulls_last(), F.col("borough").asc_nulls_last())

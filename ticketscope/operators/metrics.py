@@ -33,13 +33,13 @@ def _within_rate(sla_hours: float, open_tickets: str):
 
 
 def kpi(df: DataFrame, flt: TicketFilter | None = None, sla_hours: float = 24.0,
-        open_tickets: str = "exclude", median_method: str = "exact") -> DataFrame:
+        open_tickets: str = "exclude", median_method: str = "exact", **median) -> DataFrame:
     """One row: ``med_hrs``, ``pct_within``, ``tickets`` (empty input → null, null, 0)."""
     d = _scope(df, flt, open_tickets)
     return aggregate_with_median(
         d, [], [_within_rate(sla_hours, open_tickets).alias("pct_within"),
                 F.count(F.lit(1)).alias("tickets")],
-        HOURS, "med_hrs", method=median_method,
+        HOURS, "med_hrs", method=median_method, **median,
         order=["med_hrs", "pct_within", "tickets"])
 
 

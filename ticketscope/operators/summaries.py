@@ -34,7 +34,7 @@ def _count_columns(sla_hours: float):
 
 
 def daily_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool = False,
-                  median_method: str = "exact") -> DataFrame:
+                  median_method: str = "exact", **median) -> DataFrame:
     """Date × borough × complaint type: tickets, median, share within the SLA.
 
     Open tickets are in ``tickets`` and count as outside the SLA. Unordered: a stored
@@ -43,7 +43,7 @@ def daily_summary(clean_df: DataFrame, sla_hours: float = 24.0, detail: bool = F
     d = clean_df.where(F.col("created_dt").isNotNull())
     counts = _count_columns(sla_hours)
     out = aggregate_with_median(d, ["date", "borough", "complaint_type"], counts, HOURS,
-                                "median_response", method=median_method)
+                                "median_response", method=median_method, **median)
     out = out.withColumn("pct_within", S.safe_ratio(F.col("within"), F.col("tickets")))
     out = out.withColumn("sla_hours", F.lit(float(sla_hours)))
     cols = DAILY_COLUMNS + (["open_tickets", "breaches", "within", "sla_hours"] if detail else [])

@@ -28,6 +28,7 @@ from ticketscope.operators.clean import clean, rethreshold
 from ticketscope.operators.filters import TicketFilter
 from ticketscope.plans import refresh as RF
 from ticketscope.plans import serving as V
+from ticketscope.plans import upkeep as UP
 from ticketscope.schema import SAMPLE_COLUMNS
 from ticketscope.session import scratch_dir
 from ticketscope.sources import csv_export as CSV
@@ -49,6 +50,9 @@ DATED_FILTER = TicketFilter(start=dt.date(2024, 1, 8), end=dt.date(2024, 1, 14))
 WINDOW = (dt.date(2024, 1, 10), dt.date(2024, 1, 12))
 PRUNE_FILTER = TicketFilter(start=dt.date(1996, 3, 1), end=dt.date(1996, 6, 30))
 
+#: Median settings that force the narrowing of hot groups at test size.
+NARROW = {"accuracy": 20, "window_values": 50}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -56,6 +60,10 @@ def clean_a(spark: SparkSession, sf: str) -> DataFrame:
     return clean(FX.raw_tickets_a(spark, sf), sla_hours=SLA)
 
 
+def clean_skewed(spark: SparkSession, sf: str) -> DataFrame:
+    return clean(FX.skewed_tickets_a(spark, sf), sla_hours=SLA)
+
+
 def clean_a_window(spark: SparkSession, sf: str, flt: TicketFilter) -> DataFrame:
     """Clean tickets of fixture A for a dated filter: the raw scan is narrowed first by the
     filter's conservative source-time window, the exact filter runs on local time later."""
@@ -105,8 +113,9 @@ def q_kpi_open_breached(spark, sf):
 
 
 def q_kpi_skew_safe(spark, sf):
-    """All response hours in one group: the two-scan median never gathers them."""
-    return M.kpi(clean_a(spark, sf), None, SLA)
+    """All response hours in one group, a wide bracket and small windows: the candidates are
+    narrowed in passes, and no window holds more than 50 values."""
+    return M.kpi(clean_skewed(spark, sf), None, SLA, **NARROW)
 
 
 def q_top_types(spark, sf):
@@ -167,11 +176,13 @@ def q_daily_summary(spark, sf):
 
 
 def q_daily_summary_skew_safe(spark, sf):
-    return SM.newest_first(SM.daily_summary(clean_a(spark, sf), SLA))
+    """Nine tenths of the tickets in one date, borough and complaint type."""
+    return SM.newest_first(SM.daily_summary(clean_skewed(spark, sf), SLA, **NARROW))
 
 
 def q_type_summary(spark, sf):
-    return SM.type_summary(SM.daily_summary(clean_a(spark, sf), SLA, detail=True))
+    """By way of the daily counts; their medians, which it doesn't use, aren't computed."""
+    return SM.type_summary(SM.daily_summary(clean_a(spark, sf), SLA, detail=True, median_method="none"))
 
 
 def q_dow_hour_summary(spark, sf):
@@ -209,8 +220,8 @@ def q_export_daily_borough(spark, sf):
 
 
 def q_export_daily_borough_hot_groups(spark, sf):
-    """The same export, whose two-scan median holds for hot days and boroughs too."""
-    return EX.export_daily_borough(clean_a(spark, sf))
+    """The same export with nine tenths of the tickets in one date and borough."""
+    return EX.export_daily_borough(clean_skewed(spark, sf), **NARROW)
 
 
 def q_export_type_breaches(spark, sf):
@@ -529,6 +540,56 @@ def q_incremental_late_pages(spark, sf):
     return ST.read_clean(spark, f"{root}/clean", ST.PARTITIONED_SCHEMA).drop("year")
 
 
+def _kept_up(spark, sf, root, update_last=True):
+    """Landings out of order, the summaries kept up after each (but the last, unless asked for):
+    first tickets of every month but the last, some still open; then those as closed, and the rest."""
+    raw, eid = FX.raw_tickets_a(spark, sf), F.col("unique_key").cast("bigint")
+    # every fifth ticket 40 or 80 days older, so that there are several months
+    age = F.make_dt_interval((F.pmod(eid, F.lit(5)) == 0).cast("int") * 40 * (1 + F.pmod(eid, F.lit(2)).cast("int")))
+    aged = raw.withColumns({c: F.col(c) - age for c in ("created_date", "closed_date", "resolution_action_updated_date")})
+    late, reopened = F.pmod(eid, F.lit(10)) == 5, F.pmod(eid, F.lit(50)) == 1
+    first = aged.where(~late).withColumns({c: F.when(~reopened, F.col(c)) for c in ("closed_date", "resolution_action_updated_date")})
+    for last, landing in ((False, first), (True, aged.where(late | reopened))):
+        landing.write.mode("append").parquet(f"{root}/raw")
+        STR.refresh_once(spark, f"{root}/raw", f"{root}/clean/{ST.PARTITIONED}", f"{root}/_checkpoint", sla_hours=SLA)
+        if update_last or not last:
+            UP.update(spark, f"{root}/clean", f"{root}/summaries", SLA)
+    return ST.read_tickets(spark, f"{root}/clean", view=None)
+
+
+def q_summaries_incremental(spark, sf):
+    """The weekday-hour summary, merged from the runs of months done at different times."""
+    root = scratch_dir(spark, "upkeep")
+    _kept_up(spark, sf, root)
+    return SIO.read_summaries(spark, f"{root}/summaries")["dow_hour"].select(*SM.DOW_HOUR_COLUMNS)
+
+
+def q_summaries_incremental_daily(spark, sf):
+    root = scratch_dir(spark, "upkeep-daily")
+    _kept_up(spark, sf, root)
+    return SIO.read_summaries(spark, f"{root}/summaries")["daily"].select(*SM.DAILY_COLUMNS)
+
+
+def q_summaries_incremental_types(spark, sf):
+    root = scratch_dir(spark, "upkeep-types")
+    _kept_up(spark, sf, root)
+    return SIO.read_summaries(spark, f"{root}/summaries")["complaint_type"].select(*SM.TYPE_COLUMNS)
+
+
+def q_serve_seasonality_routed(spark, sf):
+    """The default route: counts and exact medians from what is stored."""
+    root = scratch_dir(spark, "upkeep-serve")
+    _kept_up(spark, sf, root)
+    return V.serve_seasonality(None, None, SLA, summaries=UP.current(spark, f"{root}/clean", f"{root}/summaries"))
+
+
+def q_serve_after_refresh(spark, sf):
+    """The table has changed since the summaries were built: they aren't used."""
+    root = scratch_dir(spark, "upkeep-stale")
+    tickets = _kept_up(spark, sf, root, update_last=False)
+    return V.serve_top_types(tickets, None, SLA, 10, summaries=UP.current(spark, f"{root}/clean", f"{root}/summaries"))
+
+
 def q_rebuild_drops_months(spark, sf):
     """Tickets of which every fourth is 400 days older, processed whole and then without those: the
     months that only they had are gone from both copies."""

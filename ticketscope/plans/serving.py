@@ -6,12 +6,14 @@ Spark has no automatic view matching, so the routing is explicit:
   set, from the daily summary when one is (dates are whole days, so filtering
   the ``date`` grain is exact), else live;
 * weekday × hour — ticket counts and breach rates from the weekday-hour
-  summary when no date range is set; the median is not mergeable, so the
-  routed median is merged from per-row KLL sketches and flagged approximate, or,
-  on request, computed from the tickets;
+  summary when no date range is set; the median from the stored response runs,
+  which merge exactly, where they are kept (``plans.upkeep``); else merged from
+  per-row KLL sketches and flagged approximate, or, on request, computed from the
+  tickets;
 * weekday lines — always live.
 
-A route is taken only when the summary was built for the same SLA. Counts are
+A route is taken only when the summary was built for the same SLA. Summaries of
+``upkeep.current`` are also known to agree with the table as it is. Counts are
 kept per policy, so any ``open_tickets`` policy is answered exactly.
 """
 
@@ -25,6 +27,7 @@ from ticketscope.functions.time import sort_bounded, weekday_order
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
 from ticketscope.operators.filters import TicketFilter
+from ticketscope.operators.median import median_of_counts
 
 
 def summary_sla(df: DataFrame) -> float | None:
@@ -82,8 +85,9 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
                       sla_hours: float = 24.0, open_tickets: str = "exclude",
                       summaries: dict | None = None, summary_sla_hours: float | None = None,
                       exact_median: bool = False) -> DataFrame:
-    """Weekday × hour cells; ``median_exact`` tells whether the median is exact. A routed one is
-    merged from sketches unless ``exact_median`` asks for the tickets' own."""
+    """Weekday × hour cells; ``median_exact`` tells whether the median is exact. A routed one comes
+    from the response runs if the summaries have them; else it is merged from sketches unless
+    ``exact_median`` asks for the tickets' own."""
     flt = flt or TicketFilter()
     s = summaries or {}
     dh = s.get("dow_hour")
@@ -95,6 +99,10 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
     if exact_median:
         med = M.seasonality(clean_df, flt, sla_hours, open_tickets).select("dow_name", "hour", "median_response")
         out = counts.join(med, ["dow_name", "hour"], "left")
+    elif "runs" in s:
+        runs = flt.apply_dimensions(s["runs"])
+        med = median_of_counts(runs, ["dow_name", "hour"], SM.HOURS, "n", "median_response")
+        out = counts.join(med, ["dow_name", "hour"], "left")
     elif "median_sketch" in rows.columns:
         merged = (rows.groupBy("dow_name", "hour")
                   .agg(F.kll_merge_agg_double("median_sketch").alias("__m")))
@@ -106,7 +114,7 @@ def serve_seasonality(clean_df: DataFrame | None, flt: TicketFilter | None = Non
     else:
         out = counts.withColumn("median_response", F.lit(None).cast("double"))
     return sort_bounded(out.select("dow_name", "hour", "tickets", "breach_rate", "median_response",
-                                   F.lit(exact_median).alias("median_exact")),
+                                   F.lit(exact_median or "runs" in s).alias("median_exact")),
                         weekday_order("dow_name"), "hour")
 
 

@@ -90,6 +90,19 @@ def raw_tickets_b(spark: SparkSession, sf_dir: str, full: bool = False) -> DataF
     return j.select(*cols)
 
 
+# Nine tickets of ten in one hour, borough and complaint type, their response times kept.
+_HOT = "cast(unique_key as bigint) % 10 <> 0"
+_HOT_TIME = "timestamp_ntz '2024-01-10 15:00:00'"
+
+
+def skewed_tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture A with nine tenths of the tickets in one group of every grouping."""
+    raw = raw_tickets_a(spark, sf_dir)
+    own = {"created_date": _HOT_TIME, "borough": "'ASIA'", "complaint_type": "'click 0'"}
+    own |= {c: f"{c} + ({_HOT_TIME} - created_date)" for c in ("closed_date", "resolution_action_updated_date")}
+    return raw.selectExpr(*[f"case when {_HOT} then {own[c]} else {c} end as {c}" if c in own else c for c in raw.columns])
+
+
 def _iso_text(ts):
     """ISO text of a zone-less timestamp (``2024-01-01T00:00:07.179575``), zone independent."""
     return F.regexp_replace(ts.cast("string"), " ", "T")
