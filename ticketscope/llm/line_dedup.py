@@ -38,7 +38,7 @@ from ticketscope.llm.common import as_bytes, batch_of, store
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 1 << 14
-SALTS = 4
+SALT_ROWS = 1 << 19  # members of a shard that one task reads
 _BLANK = b" \t\n\x0b\x0c\r"
 _LAST = 2**63 - 1  # stands for a null doc_id
 _MEMBERS = "hi long, lo long, doc long"
@@ -251,11 +251,15 @@ class LineIndex:
 
     def drops(self, members: DataFrame) -> DataFrame:
         """(doc, hi, lo) of the lines to drop."""
-        salted = members.withColumn("shard", self._shard(self.shards)).withColumn(
-            "salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).withColumn("filter", F.lit(None).cast("binary"))
-        ahead = self.filters.select(
+        placed = members.withColumn("shard", self._shard(self.shards))
+        # one row per shard: how many tasks read its members, a line in many documents among them
+        sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_ROWS)).cast("int").alias("salts"))
+        sizes = store(sizes, "line-salts")
+        salted = (placed.join(sizes, "shard").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).drop("salts")
+                  .withColumn("filter", F.lit(None).cast("binary")))
+        ahead = self.filters.join(sizes, "shard").select(
             F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("doc"),
-            "shard", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), "filter")
+            "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter")
         maybe = (ahead.unionByName(salted).repartition("shard", "salt")
                  .sortWithinPartitions("shard", "salt", F.col("filter").isNull())
                  .mapInArrow(_screen_batches, _MEMBERS))
