@@ -80,7 +80,7 @@ def test_judge_catches_junk_in_its_group(spark):
     good = [(i, " ".join(f"wort{(i * 7 + j) % 97}" for j in range(60 + i % 9)), "de", "s") for i in range(300)]
     junk = [(1000 + i, " ".join(f"wort{(i * 7 + j) % 97}###" for j in range(60)), "de", "s") for i in range(30)]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[i].kept and got[i].level == "source" for i, *_ in good)
+    assert all(got[i].kept for i, *_ in good)
     assert not any(got[i].kept for i, *_ in junk)
 
 
@@ -283,8 +283,11 @@ def test_suffix_array_order():
 
 
 def plain_judge(rows):
-    """Verdicts from sorted values: rates, log buckets, quartiles per group, fences."""
+    """Verdicts from sorted weighted values: rates, log buckets, quartiles of a source with its language and all, fences."""
+    import functools
+    import itertools
     import math
+    from fractions import Fraction
     measured = [(r.doc_id, r.lang, r.source, dict(zip(quality_rules.COUNTS, quality_rules.measure(
         None if r.text is None else r.text.encode())))) for r in rows]
 
@@ -295,19 +298,24 @@ def plain_judge(rows):
 
     def rounded(v):
         return 0.0 if v < quality_rules.LEAST else math.exp(math.ceil(math.log(v) / step) * step) * 0.99
-    out = []
-    for doc, lang, source, c in measured:
-        for same in (lambda m: m[1:3] == (lang, source), lambda m: m[1] == lang, lambda m: True):
-            group = [m[3] for m in measured if same(m)]
-            if len(group) >= quality_rules.MIN_DOCS:
-                break
-        broken = set()
+
+    @functools.cache
+    def fences(lang, source):
+        near = [[m[3] for m in measured if same(m)] for same in (
+            lambda m: m[1:3] == (lang, source), lambda m: m[1] == lang, lambda m: True)]
+        limits = {}
         for name, (*_, spread, both) in quality_rules.RATES.items():
-            v = sorted(rounded(rate(g, name)) for g in group)
-            q1, q3 = v[math.ceil(len(v) * 0.25) - 1], v[math.ceil(len(v) * 0.75) - 1]
+            v = sorted((rounded(rate(g, name)), Fraction(1 if level == 0 else quality_rules.PRIOR_DOCS, 1 if level == 0 else len(group)))
+                       for level, group in enumerate(near) for g in group)
+            total = sum(w for _, w in v)
+            upto = list(itertools.accumulate(w for _, w in v))
+            q1, q3 = (next(x for (x, _), u in zip(v, upto) if 4 * u >= k * total) for k in (1, 3))
             wide = quality_rules.REACH * max(q3 - q1, spread)
-            if rate(c, name) > q3 + wide or both and rate(c, name) < q1 - wide:
-                broken.add(name)
+            limits[name] = (q1 - wide if both else -1.0, q3 + wide)
+        return limits
+    out = []
+    for doc, lang, source, c in measured:
+        broken = {name for name, (low, high) in fences(lang, source).items() if not low <= rate(c, name) <= high}
         failed = c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]
         out.append((doc, failed, not failed and not broken))
     return sorted(out, key=str)
@@ -317,3 +325,15 @@ def test_judge_by_brute_force(spark, odd):
     for df in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
         got = sorted(((r.doc_id, r.base_failed, r.kept) for r in quality_rules.judge(df).collect()), key=str)
         assert got == plain_judge(df.collect())
+
+
+def test_thresholds_change_smoothly_with_size(spark):
+    """One more row of a source moves its fences a little, at every size."""
+    from ticketscope.llm.quality_rules import COUNTS, thresholds
+    def rows(n):
+        own = [("en", "s", *(100 if c == "n_words" else 400 + i if c == "word_chars" else 10 for c in COUNTS)) for i in range(n)]
+        return own + [("en", "t", *(100 if c == "n_words" else 700 + i % 90 if c == "word_chars" else 10 for c in COUNTS)) for i in range(600)]
+    schema = "lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
+    high = [{r.source: r.fences["chars_per_word"].high for r in thresholds(spark.createDataFrame(rows(n), schema)).collect()}["s"]
+            for n in (198, 199, 200, 201, 202)]
+    assert all(abs(a - b) < 0.2 for a, b in zip(high, high[1:])), high

@@ -172,29 +172,37 @@ m AS (
          length(text) - length(replace(text, '!', '')) AS n_marks
   FROM d LEFT JOIN r USING (doc_id)),
 v AS ({_RATE_ROWS}),
-x AS (
-  SELECT *, CASE WHEN v < 1e-4 THEN 0e0 ELSE exp(ceil(ln(v) / {_STEP}) * {_STEP}) * 0.99e0 END AS held FROM v),
-lv AS (
-  SELECT x.*, y.level, y.nth, CASE WHEN y.nth < 2 THEN lang END AS l, CASE WHEN y.nth < 1 THEN source END AS s
-  FROM x, (VALUES ('source', 0), ('lang', 1), ('all', 2)) AS y(level, nth)),
-q AS (
-  SELECT level, nth, l, s, rate, any_value(spread) AS spread, any_value(two_sided) AS two_sided, count(*) AS n,
-         quantile_disc(held, 0.25) AS q1, quantile_disc(held, 0.75) AS q3
-  FROM lv GROUP BY level, nth, l, s, rate),
+x AS (SELECT *, CASE WHEN v < 1e-4 THEN -1000000 ELSE ceil(ln(v) / {_STEP})::INTEGER END AS bucket FROM v),
+c AS (SELECT lang, source, rate, bucket, count(*)::HUGEINT AS n FROM x GROUP BY lang, source, rate, bucket),
+cl AS (SELECT lang, rate, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rate) AS size FROM c GROUP BY lang, rate, bucket),
+ca AS (SELECT rate, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rate) AS size FROM c GROUP BY rate, bucket),
+gr AS (SELECT DISTINCT c.lang, c.source, c.rate, cl.size AS size_l, ca.size AS size_a
+       FROM c JOIN cl ON c.rate = cl.rate AND c.lang IS NOT DISTINCT FROM cl.lang JOIN ca ON c.rate = ca.rate),
+wt AS (  -- the source's own rows, and 200 rows' worth of its language and of all rows, in whole numbers
+  SELECT gr.*, c.bucket, c.n * size_l * size_a AS w
+  FROM gr JOIN c ON gr.rate = c.rate AND gr.lang IS NOT DISTINCT FROM c.lang AND gr.source IS NOT DISTINCT FROM c.source
+  UNION ALL SELECT gr.*, cl.bucket, 200 * cl.n * size_a FROM gr JOIN cl ON gr.rate = cl.rate AND gr.lang IS NOT DISTINCT FROM cl.lang
+  UNION ALL SELECT gr.*, ca.bucket, 200 * ca.n * size_l FROM gr JOIN ca ON gr.rate = ca.rate),
+up AS (
+  SELECT lang, source, rate, bucket, sum(sum(w)) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto,
+         sum(sum(w)) OVER (PARTITION BY lang, source, rate) AS total
+  FROM wt GROUP BY lang, source, rate, bucket),
+qb AS (
+  SELECT lang, source, rate, min(bucket) FILTER (WHERE 4 * upto >= total) AS b1, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS b3
+  FROM up GROUP BY lang, source, rate),
 f AS (
-  SELECT *, 4e0 * greatest(q3 - q1, spread) AS wide FROM q WHERE n >= 200 OR level = 'all'),
+  SELECT *, CASE WHEN b1 = -1000000 THEN 0e0 ELSE exp(b1 * {_STEP}) * 0.99e0 END AS q1,
+         CASE WHEN b3 = -1000000 THEN 0e0 ELSE exp(b3 * {_STEP}) * 0.99e0 END AS q3 FROM qb),
 j AS (
-  SELECT v.doc_id, v.nr, v.rate, f.level,
-         v.v > f.q3 + f.wide OR (f.two_sided AND v.v < f.q1 - f.wide) AS outside
-  FROM v JOIN f ON v.rate = f.rate AND (f.nth > 1 OR f.l IS NOT DISTINCT FROM v.lang)
-                AND (f.nth > 0 OR f.s IS NOT DISTINCT FROM v.source)
-  QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.rate ORDER BY f.nth) = 1),
+  SELECT v.doc_id, v.nr, v.rate, v.v > f.q3 + 4e0 * greatest(q3 - q1, spread)
+         OR (two_sided AND v.v < f.q1 - 4e0 * greatest(q3 - q1, spread)) AS outside
+  FROM v JOIN f ON v.rate = f.rate AND f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source),
 b AS (
-  SELECT doc_id, any_value(level) AS level, coalesce(string_agg(rate, ',' ORDER BY nr) FILTER (WHERE outside), '') AS broken
+  SELECT doc_id, coalesce(string_agg(rate, ',' ORDER BY nr) FILTER (WHERE outside), '') AS broken
   FROM j GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND broken = '' AS kept, broken, level
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND broken = '' AS kept, broken
 FROM m JOIN b USING (doc_id)
 """
 

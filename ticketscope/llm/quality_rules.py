@@ -4,9 +4,12 @@
 2. Each rate goes to a logarithmic bucket; bucket counts per (lang, source, rate) are the quantile
    sketch. Counts add up, so sketches merge exactly in any order, over tasks, sources and
    languages, and a quantile is right within `ACCURACY` of its value.
-3. Per (lang, source) the fences of a rate are quartile +- `reach` times the quartile distance
-   (at least the rate's least spread). Groups of under `min_docs` rows use the merged sketch of
-   their language, and that of all rows if the language is small as well.
+3. The sketch of each (lang, source) is merged with those of its language and of all rows, each
+   weighing as much as `prior_docs` rows: a large source has its own thresholds, a small one those of
+   what is around it, and they change smoothly with its size. Weights are whole numbers (a count
+   times the sizes of the other groups), so the result is exact in any order.
+   The fences of a rate are quartile +- `reach` times the quartile distance (at least the rate's
+   least spread).
 4. The measured rows are joined with the thresholds of their group and judged.
 
 Null texts count as empty: no words, so they fail the base rule. A null lang or source is a group
@@ -32,7 +35,7 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 ACCURACY = 0.01
 LEAST = 1e-4  # smaller rates share one bucket
-MIN_DOCS = 200
+PRIOR_DOCS = 200
 REACH = 4.0
 
 #: rate -> (numerator, denominator, added to the denominator, least spread, lower fence too).
@@ -136,64 +139,60 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "rate", "bucket").agg(F.sum("docs").alias("docs"))
 
 
-def quantiles(sketches: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """Per group and rate: `rows`, and a column per share."""
+def blended(sketches: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
+    """(lang, source, rate, bucket, weight): each source's sketch with those of its language and of
+    all rows. The weight of a bucket is n + prior * l / L + prior * a / A times L * A, for counts n, l
+    and a in the source, the language (of L rows) and all rows (A)."""
+    def whole(c):
+        return F.col(c).cast("decimal(12,0)")
+    by_lang, every = merge(sketches, ["lang"]), merge(sketches, [])
+    sizes = {"l": by_lang.groupBy(F.col("lang").alias("of_lang"), F.col("rate").alias("of_rate")).agg(F.sum("docs").alias("size_l")),
+             "a": every.groupBy(F.col("rate").alias("all_rate")).agg(F.sum("docs").alias("size_a"))}
+    groups = sketches.select("lang", "source", "rate").distinct()
+    zero = F.lit(0).cast("long")
+    near = groups.join(by_lang.withColumnsRenamed({"lang": "of_lang", "rate": "of_rate"}),
+                       (F.col("rate") == F.col("of_rate")) & F.col("lang").eqNullSafe(F.col("of_lang")))
+    keys = ["lang", "source", "rate", "bucket"]
+    parts = (sketches.select(*keys, F.col("docs").alias("n"), zero.alias("l"), zero.alias("a"))
+             .union(near.select(*keys, zero, "docs", zero))
+             .union(groups.join(every, "rate").select(*keys, zero, zero, "docs")))
+    return (parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in "nla"))
+            .join(sizes["l"], (F.col("rate") == F.col("of_rate")) & F.col("lang").eqNullSafe(F.col("of_lang")))
+            .join(sizes["a"], F.col("rate") == F.col("all_rate"))
+            .select(*keys, (whole("n") * whole("size_l") * whole("size_a")
+                               + prior_docs * (whole("l") * whole("size_a") + whole("a") * whole("size_l")))
+                    .cast("decimal(38,0)").alias("weight")))
+
+
+def quantiles(sketches: DataFrame, by: list[str], quarters: dict[str, int]) -> DataFrame:
+    """Per group and rate a column per number of quarters, from (by, rate, bucket, weight)."""
     group = Window.partitionBy(*by, "rate")
-    upto = F.sum("docs").over(group.orderBy("bucket"))
-    ranked = sketches.withColumn("upto", upto).withColumn("rows", F.sum("docs").over(group))
+    ranked = (sketches.withColumn("upto", F.sum("weight").over(group.orderBy("bucket")))
+              .withColumn("total", F.sum("weight").over(group)))
     # the middle of a bucket, in relative terms
     value = F.when(F.col("bucket") <= _LOWEST, F.lit(0.0)).otherwise(
         F.exp(F.col("bucket") * _LOG_STEP) * (1 - ACCURACY))
     return (ranked.withColumn("value", value).groupBy(*by, "rate")
-            .agg(F.max("rows").alias("rows"),
-                 *(F.min(F.when(F.col("upto") >= share * F.col("rows"), F.col("value"))).alias(name)
-                   for name, share in shares.items())))
+            .agg(*(F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("value"))).alias(name) for name, k in quarters.items())))
 
 
-def fences(sketches: DataFrame, by: list[str], reach: float = REACH) -> DataFrame:
-    """Per group: its `rows`, and `fences`, a map from rate to (low, high)."""
+def thresholds(rows: DataFrame, prior_docs: int = PRIOR_DOCS, reach: float = REACH) -> DataFrame:
+    """(lang, source, fences): one row per lang and source; fences is a map from rate to (low, high)."""
+    own = store(sketch(rows), "quality-sketch")
     least = F.create_map(*(F.lit(x) for n, r in RATES.items() for x in (n, r[3])))
     both = F.col("rate").isin([n for n, r in RATES.items() if r[4]])
-    q = quantiles(sketches, by, {"q1": 0.25, "q3": 0.75}).withColumn(
+    q = quantiles(blended(own, prior_docs), ["lang", "source"], {"q1": 1, "q3": 3}).withColumn(
         "wide", reach * F.greatest(F.col("q3") - F.col("q1"), least[F.col("rate")]))
     fence = F.struct(F.when(both, F.col("q1") - F.col("wide")).otherwise(F.lit(-1.0)).alias("low"),
                      (F.col("q3") + F.col("wide")).alias("high"))
-    return q.groupBy(*by).agg(F.max("rows").alias("rows"),
-                              F.map_from_entries(F.collect_list(F.struct("rate", fence))).alias("fences"))
-
-
-#: From fine to coarse: which of lang and source name a group.
-LEVELS = (("source", True, True), ("lang", True, False), ("all", False, False))
+    return q.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rate", fence))).alias("fences"))
 
 
-def _with_levels(rows: DataFrame) -> DataFrame:
-    """Each row once per level, with the level's keys (null where the level has none)."""
-    none = F.lit(None).cast("string")
-    keys = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(n).alias("level"), (F.col("lang") if lang else none).alias("l"),
-                              (F.col("source") if source else none).alias("s")) for i, (n, lang, source) in enumerate(LEVELS)))
-    return rows.select("*", F.inline(keys))
-
-
-def thresholds(rows: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
-    """(lang, source, level, fences): one row per lang and source, with the fences of the finest
-    level of at least `min_docs` rows, or else of all rows."""
-    own = store(sketch(rows), "quality-sketch")
-    merged = merge(_with_levels(own), ["level", "l", "s"])
-    known = fences(merged, ["level", "l", "s"], reach).withColumnsRenamed({"level": "of_level", "l": "of_l", "s": "of_s"})
-    groups = _with_levels(own.select("lang", "source").distinct())
-    joined = groups.join(known, (F.col("level") == F.col("of_level")) & F.col("l").eqNullSafe(F.col("of_l"))
-                         & F.col("s").eqNullSafe(F.col("of_s")))
-    fit = (F.col("rows") >= min_docs) | (F.col("level") == LEVELS[-1][0])
-    return (joined.filter(fit).groupBy("lang", "source")
-            .agg(F.min_by(F.struct("level", "fences"), "rank").alias("finest"))
-            .select("lang", "source", "finest.level", "finest.fences"))
-
-
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
-    """Per document: its counts, `base_failed`, `kept`, the `broken` rates and the threshold level."""
+def judge(docs: DataFrame, prior_docs: int = PRIOR_DOCS, reach: float = REACH) -> DataFrame:
+    """Per document: its counts, `base_failed`, `kept` and the `broken` rates."""
     rows = store(measured(docs), "quality-measured")
-    limits = store(thresholds(rows, min_docs, reach), "quality-thresholds").select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "level", "fences")
+    limits = store(thresholds(rows, prior_docs, reach), "quality-thresholds").select(
+        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "fences")
     # `limits` is a stored table: its true size decides whether Spark broadcasts it
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang"))
                        & F.col("source").eqNullSafe(F.col("of_source")), "left")
@@ -204,4 +203,4 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> Da
     return (joined.withColumn("broken", F.array_compact(F.array(*outside)))
             .withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
-            .select("doc_id", "lang", "source", *COUNTS, "base_failed", "kept", "broken", "level"))
+            .select("doc_id", "lang", "source", *COUNTS, "base_failed", "kept", "broken"))

@@ -27,7 +27,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                         "kept", F.concat_ws(",", "broken").alias("broken"), "level")
+                         "kept", F.concat_ws(",", "broken").alias("broken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
