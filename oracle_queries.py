@@ -269,6 +269,7 @@ def oracles() -> dict[str, str]:
             "summaries_incremental_daily": _on(out["daily_summary"], AGED_A),
             "summaries_incremental_types": _on(out["type_summary"], AGED_A),
             "serve_seasonality_routed": _on(out["serve_seasonality"], AGED_A),
+            "incremental_moved_tickets": LATE_A.replace("- to_days", "+ to_days"),
             "serve_after_refresh": _on(out["top_types"], AGED_A)}
     return out
 

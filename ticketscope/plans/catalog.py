@@ -540,6 +540,18 @@ def q_incremental_late_pages(spark, sf):
     return ST.read_clean(spark, f"{root}/clean", ST.PARTITIONED_SCHEMA).drop("year")
 
 
+def q_incremental_moved_tickets(spark, sf):
+    """All tickets, then every fourth again with times that are 400 days later: they change their month."""
+    root = scratch_dir(spark, "moved")
+    raw = FX.raw_tickets_a(spark, sf)
+    times, shift = ("created_date", "closed_date", "resolution_action_updated_date"), F.expr("interval 400 days")
+    moved = raw.where(F.pmod(F.col("unique_key").cast("bigint"), F.lit(4)) == 0).withColumns({c: F.col(c) + shift for c in times})
+    for landing in (raw, moved):
+        landing.write.mode("append").parquet(f"{root}/raw")
+        STR.refresh_once(spark, f"{root}/raw", f"{root}/clean", f"{root}/_checkpoint", sla_hours=SLA)
+    return ST.read_clean(spark, f"{root}/clean", ST.PARTITIONED_SCHEMA).drop("year")
+
+
 def _kept_up(spark, sf, root, update_last=True):
     """Landings out of order, the summaries kept up after each (but the last, unless asked for):
     first tickets of every month but the last, some still open; then those as closed, and the rest."""
