@@ -86,7 +86,7 @@ COLUMNS = {
 def test_registered(spark):
     registered = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered)
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
     for prefix in COLUMNS:
         assert sum(n.startswith(prefix) for n in registered) == 1
 
@@ -100,3 +100,19 @@ def test_result_columns(spark, prefix):
     assert df.count() == read_table(spark, SF, table).count()
     if prefix == "op3_":
         assert df.filter(F.length("fingerprint") != 16).count() == 0
+
+
+NEW_COLUMNS = {
+    "op11_": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op12_": ["item_id", "rank", "doc_id", "score"],
+    "op13_": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]}
+
+
+@pytest.mark.parametrize("prefix", NEW_COLUMNS)
+def test_columns_and_types_of_the_search_operators(spark, prefix):
+    name, = (n for n in queries.QUERIES if n.startswith(prefix))
+    df = queries.QUERIES[name](spark, SF)
+    assert df.columns[:len(NEW_COLUMNS[prefix])] == NEW_COLUMNS[prefix]
+    types = dict(df.dtypes)
+    assert all(types[c] == ("int" if c == "rank" else "string" if "sha256" in c or "fingerprint" in c else
+                            "double" if c.startswith("near") else "bigint") for c in NEW_COLUMNS[prefix])
