@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -164,16 +165,18 @@ def blended(sketches: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
                     .cast("decimal(38,0)").alias("weight")))
 
 
-def quantiles(sketches: DataFrame, by: list[str], quarters: dict[str, int]) -> DataFrame:
-    """Per group and rate a column per number of quarters, from (by, rate, bucket, weight)."""
+def quantiles(sketches: DataFrame, by: list[str], shares: dict[str, float], weight: str = "docs") -> DataFrame:
+    """Per group and rate a column per share, from (by, rate, bucket, weight). Ranks are compared in
+    whole numbers."""
     group = Window.partitionBy(*by, "rate")
-    ranked = (sketches.withColumn("upto", F.sum("weight").over(group.orderBy("bucket")))
-              .withColumn("total", F.sum("weight").over(group)))
+    ranked = (sketches.withColumn("upto", F.sum(weight).over(group.orderBy("bucket")))
+              .withColumn("total", F.sum(weight).over(group)))
     # the middle of a bucket, in relative terms
     value = F.when(F.col("bucket") <= _LOWEST, F.lit(0.0)).otherwise(
         F.exp(F.col("bucket") * _LOG_STEP) * (1 - ACCURACY))
     return (ranked.withColumn("value", value).groupBy(*by, "rate")
-            .agg(*(F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("value"))).alias(name) for name, k in quarters.items())))
+            .agg(*(F.min(F.when(k.denominator * F.col("upto") >= k.numerator * F.col("total"), F.col("value"))).alias(name)
+                   for name, k in ((name, Fraction(str(share))) for name, share in shares.items()))))
 
 
 def thresholds(rows: DataFrame, prior_docs: int = PRIOR_DOCS, reach: float = REACH) -> DataFrame:
@@ -181,7 +184,7 @@ def thresholds(rows: DataFrame, prior_docs: int = PRIOR_DOCS, reach: float = REA
     own = store(sketch(rows), "quality-sketch")
     least = F.create_map(*(F.lit(x) for n, r in RATES.items() for x in (n, r[3])))
     both = F.col("rate").isin([n for n, r in RATES.items() if r[4]])
-    q = quantiles(blended(own, prior_docs), ["lang", "source"], {"q1": 1, "q3": 3}).withColumn(
+    q = quantiles(blended(own, prior_docs), ["lang", "source"], {"q1": 0.25, "q3": 0.75}, "weight").withColumn(
         "wide", reach * F.greatest(F.col("q3") - F.col("q1"), least[F.col("rate")]))
     fence = F.struct(F.when(both, F.col("q1") - F.col("wide")).otherwise(F.lit(-1.0)).alias("low"),
                      (F.col("q3") + F.col("wide")).alias("high"))
