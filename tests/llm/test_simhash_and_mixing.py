@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import itertools
 import math
 
@@ -162,6 +163,42 @@ def test_training_order(docs, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Null ids for all rows but a few, one id for a third of the others, rows alike in every column."""
+    rows = [(None if i % 3 else i % 2, f"w{i % 5} " * (i % 7), "ab"[i % 2], i % 4) for i in range(600)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(5)
+
+
+def test_hot_ids_in_mix(hot):
+    """Starts by a plain running sum over (hash, size): rows of one id and size are told by nothing else."""
+    rows = mixing.mix(hot).collect()
+    got = collections.Counter((r.doc_id, r.source, r.size, r.taken) for r in rows)
+    target = {r.source: (r.source_size, math.floor(r.target)) for r in rows}
+    want = collections.Counter()
+    for s, (whole, goal) in target.items():
+        def key(r):
+            return hashlib.md5(f"20:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r.size
+        start = 0
+        for r in sorted((r for r in rows if r.source == s), key=key):
+            want[r.doc_id, s, r.size, sum(max(0, min(r.size, goal - whole * e - start)) for e in (0, 1))] += 1
+            start += r.size
+    assert got == want
+
+
+def test_training_order_of_rows_alike(hot):
+    plan = collections.Counter()
+    for r in mixing.mix(hot).collect():
+        plan[r.doc_id, r.source, r.size] += len(r.positions)
+    copies = mixing.training_order(hot)
+    assert copies.columns == hot.columns
+    rows = [tuple(r) for r in copies.collect()]
+    got = collections.Counter((d, s, len(t.split())) for d, t, s, _ in rows)
+    assert got == +plan
+    held = collections.Counter(tuple(r) for r in hot.collect())
+    assert all(n <= 2 * held[r] for r, n in collections.Counter(rows).items())
+
+
 def test_no_python_in_mix(docs):
     plan = mixing.mixed(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

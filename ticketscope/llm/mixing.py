@@ -11,8 +11,10 @@ target and inverted (a quadratic per piece), and gives the training position of
 copy. The copy that passes the target is taken in part: taken counts the words up to the target.
 So each source's taken words are its target, rounded down to a word.
 
-Running sums never gather a source in one task: sums per (source, first digit) and (source, first
-digit, second digit) of the hash are added up first, rows only meet within one small cell.
+Running sums never gather a source in one task: sums per first digits of the hash, per second
+digits, per (hash, size) and per partition of the stored sizes are added up first, so rows only meet
+in one cell if they share doc_id, size and the partition that they were read in. A null doc_id, or
+one that a third of the rows repeat, is spread like this.
 
 Null texts have size 0 (taken 0). A null source is a source of its own, last in order. A null
 doc_id is hashed as such. Rows that repeat a doc_id are documents of their own, ordered by size;
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import WORD, null_safe_keys, store
+from ticketscope.llm.common import WORD, store
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -93,27 +95,46 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
         schedules=SCHEDULES, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and positions: the training
     time in [0, 1] of each copy taken."""
+    return _mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")),
+                weights, budget, max_epochs, schedules, seed)
+
+
+def _starts(rows: DataFrame, on: list[str], levels: list[str], target: DataFrame) -> DataFrame:
+    """(on, levels, base, columns of target): the sizes of a source's rows before each cell. Each
+    level's cells are summed up and put in order within the cell above, so no window holds a whole
+    source. The source's own row of `target` joins the few cells of the first level."""
+    extra = [c for c in target.columns if c not in on]
+    before = (Window.unboundedPreceding, -1)
+    cells = [rows.groupBy(*on, *levels).agg(F.sum("size").alias("size"))]
+    for depth in range(len(levels) - 1, 0, -1):
+        cells.insert(0, cells[0].groupBy(*on, *levels[:depth]).agg(F.sum("size").alias("size")))
+    base = None
+    for depth, sums in enumerate(cells):
+        above, here = [*on, *levels[:depth]], [*on, *levels[:depth + 1]]
+        inside = F.coalesce(F.sum("size").over(Window.partitionBy(*above).orderBy(levels[depth]).rowsBetween(*before)), F.lit(0))
+        own = sums.select(*here, inside.alias("inside"))
+        base = own.withColumnRenamed("inside", "base").join(target, on) if base is None else (
+            own.join(base, above).select(*here, (F.col("base") + F.col("inside")).alias("base"), *extra))
+    return base
+
+
+def _mix(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, schedules=SCHEDULES,
+         seed: int = SEED) -> DataFrame:
+    """`mix` of (doc_id, source, size); further columns are carried along."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = store(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("key", key)
-                 .withColumn("d1", F.substring("key", 1, DIGITS)).withColumn("d2", F.substring("key", 1 + DIGITS, DIGITS)),
-                 "mix-sizes")
+    levels = ["d1", "d2", "d3", "d4"]
+    rows = store(sized.withColumn("d3", key)
+                 .withColumn("d1", F.substring("d3", 1, DIGITS)).withColumn("d2", F.substring("d3", 1 + DIGITS, DIGITS))
+                 .withColumn("d3", F.concat(F.substring("d3", 1 + 2 * DIGITS, 32), F.lpad(F.hex("size"), 16, "0")))
+                 .withColumn("d4", F.spark_partition_id()), "mix-sizes")
     rows, on = null_safe_keys_text(rows)
-    cells = rows.groupBy(*on, "d1", "d2").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
-    tops = cells.groupBy(*on, "d1").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
-    totals = tops.groupBy(*on).agg(F.sum("size").alias("source_size"), F.first("source").alias("source"))
+    totals = rows.groupBy(*on).agg(F.sum("size").alias("source_size"), F.first("source").alias("source"))
     target = source_targets(totals.select("source", "source_size"), weights, budget, max_epochs)
-    target, _ = null_safe_keys_text(target)
-    to_here = (Window.unboundedPreceding, -1)
-    top_start = F.coalesce(F.sum("size").over(Window.partitionBy(*on).orderBy("d1").rowsBetween(*to_here)), F.lit(0))
-    cell_start = F.coalesce(F.sum("size").over(Window.partitionBy(*on, "d1").orderBy("d2").rowsBetween(*to_here)), F.lit(0))
-    starts = (cells.select(*on, "d1", "d2", cell_start.alias("cell_start"))
-              .join(tops.select(*on, "d1", top_start.alias("top_start")), [*on, "d1"])
-              .join(target.drop("source"), on)
-              .select(*on, "d1", "d2", (F.col("cell_start") + F.col("top_start")).alias("base"),
-                      "source_size", "target", "turn"))
-    inside = Window.partitionBy(*on, "d1", "d2").orderBy("key", "doc_id", "size").rowsBetween(*to_here)
+    target = null_safe_keys_text(target)[0].drop("source")
+    inside = Window.partitionBy(*on, *levels).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-              .join(starts, [*on, "d1", "d2"]).withColumn("start", F.col("base") + F.col("inside")))
+              .join(_starts(rows, on, levels, target), [*on, *levels])
+              .withColumn("start", F.col("base") + F.col("inside")))
 
     goal = F.floor("target")
 
@@ -122,7 +143,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
     copies = [part(e) for e in range(max_epochs)]
     share = [(F.col("start") + F.col("source_size") * e) / F.col("target") for e in range(max_epochs)]
     positions = F.array_compact(F.array(*(F.when(c > 0, _due(s, F.col("turn"), schedules)) for c, s in zip(copies, share))))
-    return placed.select("doc_id", "source", "size", "source_size", "target",
+    return placed.select(*sized.columns, "source_size", "target",
                          sum(copies[1:], copies[0]).cast("long").alias("taken"), positions.alias("positions"))
 
 
@@ -140,14 +161,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The training set: a row per copy taken, with the columns of `docs`, range-sorted by training
     position. Texts stay whole, so the last copy of a source may pass its target by a part of
-    one document. Of rows that repeat a doc_id each gets the positions of one of them: rows of
-    one doc_id and size are alike, others are told apart by their size."""
-    plan = store(mix(docs, **options).filter("taken > 0"), "mix-plan")
-    plan, keys = null_safe_keys(plan.select("doc_id", F.col("size").alias("__size"), F.col("source").alias("__s"), "positions"),
-                                "doc_id", "__k")
-    same = Window.partitionBy(*keys).orderBy("__size", "__s", F.col("positions")[0])
-    plan = plan.withColumn("__n", F.row_number().over(same)).drop("doc_id", "__size", "__s")
-    rows, _ = null_safe_keys(docs, "doc_id", "__k")
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(n_words(F.col("text")), "source")))
-    copies = rows.join(plan, [*keys, "__n"]).select(*docs.columns, F.explode("positions").alias("__position"))
+    one document. Rows are told apart by a digest of all their columns; of rows that are alike in
+    every column one is read and given the positions of all."""
+    row = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("__row"))
+    plan = store(_mix(sized, **options).filter("taken > 0").select("__row", "positions"), "mix-plan")
+    often = store(plan.groupBy("__row").count().filter("count > 1").select("__row"), "mix-alike")
+    rows = docs.withColumn("__row", row)
+    once = rows.join(plan.join(often, "__row", "left_anti"), "__row")
+    alike = rows.join(often, "__row", "left_semi").dropDuplicates(["__row"]).join(plan.join(often, "__row", "left_semi"), "__row")
+    copies = once.unionByName(alike).select(*docs.columns, F.explode("positions").alias("__position"))
     return copies.orderBy("__position", "doc_id").select(*docs.columns)
