@@ -198,6 +198,16 @@ union all select 'non_negative_hours', neg, neg = 0 from tot
 union all select 'min_rows', greatest(1000 - rows, 0)::bigint, rows >= 1000 from tot"""
 
 
+# Every seventh ticket without a creation time.
+UNDATED_A = "with " + clean_sql(f"""
+select * replace (case when cast(unique_key as bigint) % 7 <> 0 then created_date end as created_date) from ({RAW_A})""")
+
+
+def _batch_quality(clean: str, least: int) -> str:
+    return _quality(clean, 0).replace("1000", str(least)) + """
+union all select 'undated_rows', count_if(created_date is null)::bigint, true from raw_t"""
+
+
 def _holiday_dates() -> str:
     return f"""{CLEAN_B},
 span as (select min(year(created_dt)) as first_year, max(year(created_dt)) as last_year
@@ -447,6 +457,8 @@ select p_partkey as id, {strip_sql('p_name')} as stripped, {titled_part} as titl
         "view_csv_roundtrip": q(f"""select unique_key, created_dt, borough, complaint_type, {RH},
                  within_sla from clean_t where {DEMO_WHERE}
                  order by created_dt asc nulls last, unique_key asc nulls last limit 1200"""),
+        "batch_quality": _batch_quality(UNDATED_A, 0),
+        "batch_quality_rejected": _batch_quality(CLEAN_B, 1000),
         "batch_refresh": q(f"""select complaint_type, borough, count(*)::bigint as tickets,
                  coalesce(cast(count(*) - count_if({RH} <= {s}) as double)
                           / nullif(count(*), 0), 0.0) as breach_rate

@@ -517,6 +517,27 @@ def q_batch_refresh(spark, sf):
         *SM.TYPE_COLUMNS)
 
 
+def q_batch_quality(spark, sf):
+    """The gates counted by the batch job's own write, of tickets of which every seventh has no creation time."""
+    root = scratch_dir(spark, "gates")
+    undated = F.pmod(F.col("unique_key").cast("bigint"), F.lit(7)) == 0
+    raw = FX.raw_tickets_a(spark, sf).withColumn("created_date", F.when(~undated, F.col("created_date")))
+    raw.write.parquet(f"{root}/raw")
+    RF.process(spark, f"{root}/raw", f"{root}/clean", SLA)
+    return RF.read_report(spark, f"{root}/clean")
+
+
+def q_batch_quality_rejected(spark, sf):
+    """The same of tickets with repeated keys and negative hours: the run fails, the report is stored."""
+    root = scratch_dir(spark, "gates-rejected")
+    FX.raw_tickets_b(spark, sf, full=True).write.parquet(f"{root}/raw")
+    try:
+        RF.process(spark, f"{root}/raw", f"{root}/clean", SLA, min_rows=1000)
+    except Q.QualityError:
+        return RF.read_report(spark, f"{root}/clean")
+    raise AssertionError("repeated keys were published")
+
+
 def q_incremental_clean(spark, sf):
     root = scratch_dir(spark, "stream")
     _land_raw(spark, sf, f"{root}/raw")

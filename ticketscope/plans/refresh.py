@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ticketscope.operators import exports as EX
 from ticketscope.operators import quality as Q
@@ -25,30 +25,44 @@ from ticketscope.sources import storage as ST
 from ticketscope.sources import summaries_io as SIO
 
 
+#: The gates of the last run, below ``root``: (gate, violations, ok).
+REPORT = "quality"
+
+
 def process(spark: SparkSession, raw_dir: str, root: str, sla_hours: float = 24.0,
-            min_rows: int = 0) -> dict[str, str]:
+            min_rows: int = 0, max_undated: int | None = None) -> dict[str, str]:
     """Clean the raw pages and write both clean datasets under ``root``.
 
     The cleaned rows are written once to a staging folder next to the target (shared
-    storage: it cuts the lineage, so a lost executor never forces a re-clean); the
-    gates then read only the columns they need from it. Nothing is published when a
-    gate fails (the staging folder is left for inspection). On success the staged
+    storage: it cuts the lineage, so a lost executor never forces a re-clean). That write
+    counts its rows, the negative hours and the raw rows without a creation time, which
+    are left out (more than ``max_undated`` of them fail the run); only the keys are read
+    again, to count duplicates. The report is stored in ``root/quality`` in any case. Nothing
+    is published when a gate fails (the staging folder is left for inspection). On success the staged
     table becomes the single dataset and feeds the partitioned one, which is built
     aside and swapped in whole, so months that are gone from the raw pages are gone
     from both. Pages may come from any writer, each file with its own schema.
     """
-    cleaned = clean(E.read_raw_mixed(spark, raw_dir), sla_hours=sla_hours)
+    gates = Q.WriteGates()
+    cleaned = clean(gates.landed(E.read_raw_mixed(spark, raw_dir)), sla_hours=sla_hours)
     staging = os.path.join(root, "_staging", f"clean-{uuid.uuid4().hex[:12]}")
-    ST.write_clean(cleaned, staging)
-    Q.enforce(ST.read_clean(spark, staging), min_rows=min_rows)
+    ST.write_clean(gates.cleaned(cleaned), staging)
+    report = os.path.join(root, REPORT)
+    gates.report(ST.read_clean(spark, staging, cleaned.schema), min_rows, max_undated).coalesce(1).write.mode("overwrite").parquet(report)
+    Q.enforce_report(read_report(spark, root))
     single = os.path.join(root, ST.SINGLE)
     files.replace_dir(spark, staging, single)
     part, fresh = os.path.join(root, ST.PARTITIONED), f"{staging}-by-month"
-    ST.write_clean_partitioned(ST.read_clean(spark, single), fresh)
+    ST.write_clean_partitioned(ST.read_clean(spark, single, cleaned.schema), fresh)
     files.replace_dir(spark, fresh, part)
     return {"single": single, "partitioned": part}
 
 
+def read_report(spark: SparkSession, root: str) -> DataFrame:
+    """The gates of the last ``process`` run into ``root``."""
+    return spark.read.schema(Q.REPORT_SCHEMA).parquet(os.path.join(root, REPORT))
+
+
 def precompute(spark: SparkSession, root: str, out_dir: str, sla_hours: float = 24.0,
                detail: bool = True) -> dict[str, str]:
     """Write the daily, complaint-type and weekday-hour summaries of the clean table."""

@@ -32,11 +32,8 @@ REQUIRED_COLUMNS = [
     "response_hours", "within_sla", "hour", "dow_name", "month_name",
 ]
 
-# Default columns of the data-sample grid.
-SAMPLE_COLUMNS = [
-    "unique_key", "created_dt", "borough", "complaint_type", "descriptor",
-    "response_hours", "within_sla", "hour", "dow_name", "month_name",
-]
+# Default columns of the data-sample grid.
+SAMPLE_COLUMNS = list(REQUIRED_COLUMNS)
 
 
 def _raw_type(name: str) -> T.DataType:
@@ -50,26 +47,11 @@ def _raw_type(name: str) -> T.DataType:
 RAW_SCHEMA = T.StructType([T.StructField(c, _raw_type(c), True) for c in RAW_COLUMNS])
 """Typed raw ticket contract (after lenient parsing)."""
 
-CLEAN_SCHEMA = T.StructType([
-    T.StructField("unique_key", T.StringType()),
-    T.StructField("created_dt", T.TimestampNTZType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("hour", T.IntegerType()),
-    T.StructField("day_of_week", T.IntegerType()),
-    T.StructField("dow_name", T.StringType()),
-    T.StructField("month", T.IntegerType()),
-    T.StructField("month_name", T.StringType()),
-    T.StructField("is_holiday", T.BooleanType()),
-    T.StructField("borough", T.StringType()),
-    T.StructField("complaint_type", T.StringType()),
-    T.StructField("descriptor", T.StringType()),
-    T.StructField("agency", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("open_data_channel_type", T.StringType()),
-    T.StructField("response_hours", T.DoubleType()),
-    T.StructField("within_sla", T.BooleanType()),
-    T.StructField("latitude", T.DoubleType()),
-    T.StructField("longitude", T.DoubleType()),
-    T.StructField("incident_zip", T.StringType()),
-    T.StructField("city", T.StringType()),
-])
+_CLEAN_TYPES = {
+    "created_dt": T.TimestampNTZType(), "date": T.DateType(), "hour": T.IntegerType(),
+    "day_of_week": T.IntegerType(), "month": T.IntegerType(), "is_holiday": T.BooleanType(),
+    "response_hours": T.DoubleType(), "within_sla": T.BooleanType(),
+    "latitude": T.DoubleType(), "longitude": T.DoubleType(),
+}
+
+CLEAN_SCHEMA = T.StructType([T.StructField(c, _CLEAN_TYPES.get(c, T.StringType())) for c in CLEAN_COLUMNS])
