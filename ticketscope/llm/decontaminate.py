@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketscope.llm.common import as_bytes, batch_of, slices
+from ticketscope.llm.common import as_bytes, batch_of, hands_back, slices
 
 WINDOW = 13
 RATIO = 20
@@ -266,6 +266,7 @@ def _search_shard(texts: list[bytes | None], blocks: list, window: int) -> Itera
         yield n, int(n_hit[d]), sorted(items[d]), *best[d]
 
 
+@hands_back
 def _report_batches(batches: Iterator[pa.RecordBatch], blocks: list, window: int, ratio: int,
                     shard_words: int, keep: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),

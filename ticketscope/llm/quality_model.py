@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import WORD, as_bytes, batch_of, slices, store
+from ticketscope.llm.common import WORD, as_bytes, batch_of, hands_back, slices, store
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 2000
@@ -167,6 +167,7 @@ class Model:
         return self.forward(*encode(texts))["score"]
 
 
+@hands_back
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in slices(b, "text", CHUNK_BYTES):
@@ -217,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, training: Column, samp
     return Model(x).fit(x, np.array([len(b) for b in bags]), y)
 
 
+@hands_back
 def _score_batches(batches: Iterator[pa.RecordBatch], model, keep: float | None) -> Iterator[pa.RecordBatch]:
     model = model.value
     for b in batches:

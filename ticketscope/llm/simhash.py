@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketscope.llm.common import as_bytes, batch_of, null_safe_keys, store
+from ticketscope.llm.common import as_bytes, batch_of, hands_back, null_safe_keys, store
 from ticketscope.session import scratch_dir, scratch_scope
 from ticketscope.sources import files
 
@@ -64,6 +64,7 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
+@hands_back
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], words: int, name: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = _signed([fingerprint(t, words) for t in as_bytes(batch_of(b, "text"))])
@@ -94,6 +95,7 @@ def _counts(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints.view(np.uint8).reshape(-1, 8)).astype(np.int64)
 
 
+@hands_back
 def _tile_batches(batches: Iterator[pa.RecordBatch], radius: int, visits: bool) -> Iterator[pa.RecordBatch]:
     """(tile, visitor, fp): each fingerprint at home, with `visits` also in the upper neighbours."""
     offsets = _offsets(radius) if visits else []
@@ -172,6 +174,7 @@ class _Forest:
         return self.prints[child], self.prints[self.label[child]]
 
 
+@hands_back
 def _compare_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (tile, part, visitor): a part's homes, then its visitors."""
     key, forest = None, _Forest()

@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import as_bytes, batch_of, slices, store
+from ticketscope.llm.common import as_bytes, batch_of, hands_back, slices, store
 from ticketscope.session import scratch_dir
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
 CODE_BITS = 20
 CACHE_WORDS = 600_000
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 # What the fast path takes: ASCII without white space, apostrophe and "<" (special tokens begin
 # with it), and Latin-1 letters.
@@ -157,8 +157,10 @@ class WordEncoder:
         number = np.insert(numbered.indices.to_numpy(zero_copy_only=False), ends, len(each) - 1)
         sizes = size[number]
         upto = np.cumsum(sizes)
-        at = np.repeat(first[number] - (upto - sizes), sizes)
-        at += np.arange(len(at))
+        # one entry per id: by far the largest arrays, so of half the width where that will do
+        width = np.int32 if max(int(sizes.sum()), len(known)) < 1 << 31 else np.int64
+        at = np.repeat((first[number] - (upto - sizes)).astype(width), sizes)
+        at += np.arange(len(at), dtype=width)
         bounds = np.concatenate([[0], upto[ends + np.arange(len(ends))]]) * self.dtype.itemsize
         return pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype("<i8").tobytes()), pa.py_buffer(known[at].tobytes())])
@@ -182,6 +184,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+@hands_back
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
@@ -199,9 +202,10 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.sparkSession.read.schema(encoded.schema).parquet(path)
 
 
+@hands_back
 def _count_batches(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, "ids", SLICE_BYTES)):
         n = np.bincount(np.frombuffer(b"".join(batch_of(b, "ids").to_pylist()), dtype))
         if len(n) > len(total):
             total = np.append(total, np.zeros(len(n) - len(total), np.int64))
@@ -292,6 +296,7 @@ def decode(payload: bytes, checkpoints: np.ndarray, n_ids: int, table: tuple[np.
     return out.T.reshape(-1)[:n_ids]
 
 
+@hands_back
 def _write_batches(batches: Iterator[pa.RecordBatch], book, dtype: str, segment_ids: int) -> Iterator[pa.RecordBatch]:
     shard, segment = TaskContext.get().partitionId(), 0
     book: Codebook = book.value
@@ -345,6 +350,7 @@ def read_codebook(spark: SparkSession, path: str) -> Codebook:
     return Codebook(rows["id"].to_numpy(), rows["length"].to_numpy())
 
 
+@hands_back
 def _read_batches(batches: Iterator[pa.RecordBatch], book, with_ids: bool) -> Iterator[pa.RecordBatch]:
     book = book.value
     table = book.table()
