@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import SF001
+from ticketscope.operators import median as MED
 from ticketscope.operators import metrics as M
 from ticketscope.operators import summaries as SM
-from ticketscope.operators.clean import clean
+from ticketscope.operators.clean import clean, with_partition_keys
 from ticketscope.operators.filters import TicketFilter
 from ticketscope.plans import serving as V
 from ticketscope.plans import upkeep as UP
@@ -17,7 +18,7 @@ from ticketscope.sources import files, stamps
 from ticketscope.sources import fixtures as FX
 from ticketscope.sources import storage as ST
 from ticketscope.sources import summaries_io as SIO
-from ticketscope.streaming.refresh import merge_batch
+from ticketscope.streaming.refresh import index_keys, merge_batch
 
 
 def rows_of(df):
@@ -98,3 +99,32 @@ def test_runs_merge_exactly(spark):
     runs = spark.createDataFrame(rows, "dow_name string, hour int, borough string, complaint_type string, response_hours double, n long")
     got = {(r.borough, r.complaint_type): (r.tickets, r.open_tickets, r.within, r.median_response) for r in UP.dow_hour_from_runs(runs, 1.5).collect()}
     assert got == {("a", None): (11, 5, 3, statistics.median([1.0] * 3 + [2.0] * 3)), ("a", "x"): (1, 0, 0, 9.0)}
+
+
+def test_index_is_written_as_the_table_is_read(spark, tmp_dir, tickets):
+    """No month is gathered in a task: a month of several files is indexed by several tasks."""
+    table = f"{tmp_dir}/{ST.PARTITIONED}"
+    rows = with_partition_keys(tickets).select(*ST.PARTITIONED_SCHEMA.names)
+    rows.repartition(3).write.partitionBy("year", "month").parquet(table)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        keys = index_keys(spark, table)
+        january = keys.where("month = 1")
+        assert january.select(F.input_file_name()).distinct().count() >= 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows_of(keys) == rows_of(rows.select("unique_key", "year", "month"))
+    assert rows_of(index_keys(spark, table)) == rows_of(keys)  # nothing has changed
+
+
+def test_medians_of_counts_are_stored_once(spark, monkeypatch):
+    """Groups that pass a window whole aren't written a second time; larger ones are narrowed as before."""
+    rows = [("a", float(v), 1 + v % 3) for v in range(50)] + [(None, 4.0, 2), (None, 6.0, 2), ("open", None, 9)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    want = {k: statistics.median(m) for k in ("a", None) if (m := [v for g, v, n in rows if g == k for _ in range(n)])}
+    stored, plain = [], MED._stored
+    monkeypatch.setattr(MED, "_stored", lambda *a: stored.append(a) or plain(*a))
+    assert {r.k: r.m for r in MED.median_of_counts(df, ["k"], "v", "n", "m").collect()} == want
+    assert len(stored) == 1
+    assert {r.k: r.m for r in MED.median_of_counts(df, ["k"], "v", "n", "m", window_values=5).collect()} == want
+    assert len(stored) > 2

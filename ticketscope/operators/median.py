@@ -75,10 +75,17 @@ def median_of_counts(df: DataFrame, keys: list[str], value: str, count: str, ali
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v"))
               .agg(F.sum(count).alias("__c")))
     totals = _stored(counts, "median-candidates")
+    if _largest(totals, keys) <= window_values:  # the groups pass a window whole, which gives their sums as well
+        return _middle(totals.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))), keys, alias)
     of = totals.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     return _middle(_narrowed(_joined(totals, of, keys, ["__n"]), keys, window_values), keys, alias)
 
 
+def _largest(counts: DataFrame, by: list[str]) -> int:
+    """The most values of a group."""
+    return counts.groupBy(*by).agg(F.count("__v").alias("__m")).agg(F.max("__m")).first()[0] or 0
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
@@ -109,7 +116,7 @@ def _narrowed(counts: DataFrame, by: list[str], window_values: int) -> DataFrame
     counts = _stored(counts, "median-candidates")
     left = None
     while True:
-        most = counts.groupBy(*by).agg(F.count("__v").alias("__m")).agg(F.max("__m")).first()[0] or 0
+        most = _largest(counts, by)
         if most <= window_values or left is not None and most >= left:
             return counts
         left = most

@@ -78,8 +78,9 @@ def index_keys(spark: SparkSession, clean_dir: str) -> DataFrame:
     if changed:
         of = F.create_map(*[x for (y, m), s in now.items() for x in (F.lit(y * 100 + m), F.lit(s))])
         rows = _months_of(storage.read_clean(spark, clean_dir, storage.PARTITIONED_SCHEMA), changed)
+        # every file of the table lies in one month, so the index is written as it is read: no month
+        # is gathered in a task, and it has about as many files as the table
         (rows.select("unique_key", of[F.col("year") * 100 + F.col("month")].alias("stamp"), "year", "month")
-         .hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "unique_key")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path))
     if not now:  # a table without files has no index
         return spark.createDataFrame([], _KEY_SCHEMA).drop("stamp")
